@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, exact_dedup, token_count
+from . import bpe_chunks, exact_dedup, id_blocks, secret_scan, token_count
+from ._shared import shared_path
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -20,10 +21,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"), shared_path(spark, "secret-ledger"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = id_blocks.write_ids(table(spark, sf_dir, "documents"), vocabulary_path())
+    return id_blocks.read_digests(spark, manifest)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -33,7 +43,9 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op3_token_counts": op3_token_counts,
+    "op5_id_blocks": op5_id_blocks,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_codec": op9_bpe_codec,
 }
