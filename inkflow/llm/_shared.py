@@ -86,3 +86,17 @@ def text_slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) ->
             yield base + i, base + j, raw[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
         base += n
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, how: str = "inner", share: int = 2000) -> DataFrame:
+    """rows with the columns of their group; groups has one row a key, and in column size how many of the total rows are its own.
+
+    Groups with more than a share-th of all rows, of which there are fewer than share, are broadcast, so their rows stay
+    where they are; only rows of the others are shuffled.
+    """
+    least = max(1000, total // share)
+    hot = groups.where(F.col(size) > least)
+    if total <= least or hot.isEmpty():
+        return rows.join(groups, keys, how)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) <= least), keys, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), keys).select(*cold.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, exact_dedup, id_blocks, secret_scan, token_count
+from . import bpe_chunks, exact_dedup, id_blocks, jaccard_join, secret_scan, token_count
 from ._shared import shared_path
 
 
@@ -29,6 +29,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op5_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = id_blocks.write_ids(table(spark, sf_dir, "documents"), vocabulary_path())
     return id_blocks.read_digests(spark, manifest)
@@ -45,6 +49,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_id_blocks": op5_id_blocks,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_codec": op9_bpe_codec,
