@@ -6,9 +6,10 @@
 2. All classes order their shingles alike: rare by the sketch first. Two sets of the required overlap share a shingle
    among the first n - ceil(t n) + 1 of each (prefix filter), so only these are posted to the inverted index. A list
    that the sketch says may be long is dealt over several tasks.
-3. Round one: on each list the smallest set of each range of sizes is the query for the others: a star, not all pairs. T-occurrence
-   search decides which of them reach the overlap, and links make components.
-4. Round two: lists that still hold several components give every pair across components that the size and position
+3. On each list a few members are queries for all others: stars, not all pairs. T-occurrence search decides which
+   reach the overlap, and links make components. TURNS turns, each with other queries, and only on lists that still hold
+   several components and for pairs across these.
+4. Lists that then still hold several components give every pair across components that the size and position
    filters leave, in blocks of bounded size; the same search decides, and the components are joined.
 
 T-occurrence search (search()): a query's shingles have inverted lists over the candidates. The L longest are set aside
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,6 +47,8 @@ SKETCH_BITS, CHUNK = 18, 1 << 12
 #: Members of a list, or candidates of a query, that one task handles together.
 BLOCK = 4000
 SEARCH_BLOCK = 256
+#: Turns of stars, and queries on a list in each after the first.
+TURNS, QUERIES = 2, 6
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -196,24 +199,25 @@ def _passes(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent:
     return (100 * small >= percent * large) & (np.minimum(n - i, m - j) >= need)
 
 
-def _stars(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a: the query, b) with one query for each list and range of sizes."""
+def _stars(lists: DataFrame, percent: int, queries: int, skip: int) -> DataFrame:
+    """Pairs (a: a query, b) across components: on each list and range of sizes, a few members are queries for all others.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, head = None, None
-        for batch in batches:
-            a, b = [], []
-            rows = zip(*(batch.column(c).to_pylist() for c in ("token", "deal", "size", "place", "node")))
-            for token, deal, size, place, node in rows:
-                if (token, deal) != last or 100 * head[0] < percent * size:
-                    last, head = (token, deal), (size, place, node)
-                elif node != head[2] and min(head[0] - head[1], size - place) >= overlap(head[0], size, percent):
-                    a.append(head[2])
-                    b.append(node)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
-
-    ordered = lists.repartition("token", "deal").sortWithinPartitions("token", "deal", "size", "node")
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    Queries are the members with the token at the earliest places, but for the first skip of them: a set with few shingles
+    that are rarer than a shared one is the likeliest to link with many others. Two sets of one range may pass the size filter.
+    """
+    band = F.floor(F.log("size") / math.log(100 / percent))
+    by = Window.partitionBy("token", "deal", "band").orderBy("place", "node")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    member = F.struct("size", "place", "node", "root")
+    rows = lists.withColumn("band", band).select("size", "place", "node", "root", F.array(*(F.nth_value(member, i + 1).over(whole) for i in range(skip, skip + queries))).alias("heads"))
+
+    def may(q: Column) -> Column:
+        need = F.ceil(F.lit(percent) * (q["size"] + F.col("size")) / F.lit(100 + percent))
+        sizes = F.lit(100) * F.least(q["size"], F.col("size")) >= F.lit(percent) * F.greatest(q["size"], F.col("size"))
+        return q.isNotNull() & (q["root"] != F.col("root")) & sizes & (F.least(q["size"] - q["place"], F.col("size") - F.col("place")) >= need)
+
+    pairs = rows.select("node", F.explode(F.filter("heads", may)).alias("q")).select(F.col("q.node").alias("a"), F.col("node").alias("b"))
+    return pairs.distinct()
 
 
 def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
@@ -257,26 +261,29 @@ def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
     return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int, search_block: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by T-occurrence search with each a as the query over blocks of its b."""
-    spark = docs.sparkSession
-    pairs = save(pairs, "jaccard-pairs")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _texts_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """node, text: one text of each class in nodes, as a table."""
     heads = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    heads = save(heads.join(wanted, "node", "left_semi"), "jaccard-heads")
+    heads = save(heads.join(nodes, "node", "left_semi"), "jaccard-heads")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = list(sets(batch.column("text"), k))
-            keep = [i for i, s in enumerate(own) if len(s) and digest(s) == batch.column("node")[i].as_py()]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(own[i]) for i in keep], pa.binary()), batch.column("text").take(pa.array(keep, pa.int64()))], ["node", "text"])
+            own = [digest(s) if len(s) else b"" for s in sets(batch.column("text"), k)]
+            keep = [i for i, (name, node) in enumerate(zip(own, batch.column("node").to_pylist())) if name == node]
+            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.binary()), batch.column("text").take(pa.array(keep, pa.int64()))], ["node", "text"])
 
     t, h = texts(docs).alias("t"), heads.hint("shuffle_hash").alias("h")
     full = t.join(h, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))).select("h.node", "t.text")
     # rows that repeat a doc_id with another text drop out by their digest, and with the same text by their node
     full = save(full.mapInArrow(named, "node binary, text string"), "jaccard-texts")
     if full.count() > heads.count():
-        full = full.dropDuplicates(["node"])
+        full = save(full.dropDuplicates(["node"]), "jaccard-texts")
+    drop(docs.sparkSession, heads)
+    return full
+
+
+def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_block: int) -> DataFrame:
+    """The pairs (a, b) of classes that link, by T-occurrence search with each a as the query over blocks of its b."""
     fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / search_block).cast("int"))
     dealt = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
     candidates = dealt.join(full.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "text")
@@ -302,9 +309,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percen
             yield done()
 
     ordered = candidates.unionByName(queries).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    links = save(ordered.mapInArrow(run, "a binary, b binary"), "jaccard-links")
-    drop(spark, full, heads)
-    return links
+    return save(ordered.mapInArrow(run, "a binary, b binary"), "jaccard-links")
 
 
 def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -319,21 +324,39 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int =
     lists = posted.withColumns({"before": F.lag("node").over(by_token), "low": F.min("node").over(whole), "high": F.max("node").over(whole)})
     lists = lists.where("low <> high and (before is null or before <> node)").drop("before", "low", "high")
     lists = save(lists, "jaccard-lists")
-    stars = save(_stars(lists, percent), "jaccard-stars")
-    first = components(_verified(stars, docs, rows, k, percent, search_block))
-    first = save(first, "jaccard-first")
-    rooted = lists.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    full = _texts_of(lists.select("node").distinct(), docs, rows, k)
+    tried = linked = None
+    for turn in range(TURNS):
+        pairs = _stars(lists.withColumn("root", F.col("node")) if linked is None else lists, percent, QUERIES if turn else 1, 1 + QUERIES * (turn - 1) if turn else 0)
+        pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b")
+        if tried is not None:
+            pairs = pairs.join(tried, ["x", "y"], "left_anti")
+        pairs = save(pairs, "jaccard-pairs")
+        tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
+        linked = _joined(linked, _verified(pairs.select("a", "b"), full, k, percent, search_block))
+        lists = _still_open(lists, linked)
+    open_lists = lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    still = lists.join(open_lists, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    across = _across(still, percent, block).join(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
+    across = save(across, "jaccard-pairs")
+    linked = _joined(linked, _verified(across, full, k, percent, search_block))
+    drop(spark, full)
+    return rows, linked
+
+
+def _joined(linked: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, root) of earlier ones and new links."""
+    if linked is not None:
+        links = linked.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(links)
+    return save(components(links), "jaccard-classes")
+
+
+def _still_open(lists: DataFrame, linked: DataFrame) -> DataFrame:
+    """The lists that hold several components, with each member's root."""
+    rooted = lists.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = save(rooted, "jaccard-rooted")
-    open_lists = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")).where("low <> high")
-    open_lists = open_lists.select("token", F.ceil(F.col("members") / block).cast("int").alias("blocks"))
-    still = rooted.join(open_lists, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    across = _across(still, percent, block)
-    tried = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    across = across.join(tried, ["a", "b"], "left_anti")
-    second = _verified(across, docs, rows, k, percent, search_block)
-    drop(spark, lists, rooted, stars)
-    linked = first.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(second)
-    return rows, save(components(linked), "jaccard-classes")
+    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return rooted.join(several, "token", "left_semi")
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK) -> DataFrame:
