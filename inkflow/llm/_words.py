@@ -6,6 +6,8 @@ then mixed. It doesn't depend on where the word stands, so equal words have equa
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BASE = 0x9E3779B97F4A7C55 | 1
@@ -14,6 +16,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+#: Letters, digits and all bytes beyond ASCII: words without their punctuation.
+BARE = np.zeros(256, bool)
+BARE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -52,13 +57,13 @@ def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np
     return mix(spans ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int) -> list[int]:
+def _cuts(data: np.ndarray, is_word: np.ndarray, limit: int) -> list[int]:
     """Where a slice can be cut without cutting a word: whole when it is short."""
     cuts, at = [0], 0
     while len(data) - at > 2 * limit:
-        gap = np.flatnonzero(~_IS_WORD[data[at + limit : at + 2 * limit]])
+        gap = np.flatnonzero(~is_word[data[at + limit : at + 2 * limit]])
         if not len(gap):
-            far = np.flatnonzero(~_IS_WORD[data[at + limit :]])
+            far = np.flatnonzero(~is_word[data[at + limit :]])
             if not len(far):
                 break
             gap = far
@@ -67,28 +72,30 @@ def _cuts(data: np.ndarray, offsets: np.ndarray, limit: int) -> list[int]:
     return [*cuts, len(data)]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of the words (runs without ASCII white space; A-Z in lower case) of the texts, and where each text's words start (one more than texts)."""
-    found, heads = [], []
+def spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD, limit: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of the texts, window by window: the window's start, its bytes, the words' starts and ends in it."""
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
-    cuts = _cuts(data, offsets, limit)
+    cuts = _cuts(data, is_word, limit)
     for a, b in zip(cuts[:-1], cuts[1:]):
         part = data[a:b]
-        inside = _IS_WORD[part]
+        inside = is_word[part]
         before = np.empty_like(inside)
         before[:1] = False
         before[1:] = inside[:-1]
-        starts = np.flatnonzero(inside & (~before | first[a:b]))
         after = np.empty_like(inside)
         after[-1:] = False
         after[:-1] = inside[1:]
-        ends = np.flatnonzero(inside & (~after | first[a + 1 : b + 1])) + 1
-        found.append(span_hashes(_LOWER[part] if lower else part, starts, ends))
+        yield a, part, np.flatnonzero(inside & (~before | first[a:b])), np.flatnonzero(inside & (~after | first[a + 1 : b + 1])) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = _IS_WORD, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words (runs of word bytes, by default of all but ASCII white space; A-Z in lower case) of the texts, and where each text's words start (one more than texts)."""
+    found, heads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, part, starts, ends in spans(data, offsets, is_word, limit):
+        found.append(span_hashes(_LOWER[part], starts, ends))
         heads.append(starts + a)
-    hashes = np.concatenate(found) if found else np.zeros(0, np.uint64)
-    heads_all = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-    return hashes, np.searchsorted(heads_all, offsets)
+    return np.concatenate(found), np.searchsorted(np.concatenate(heads), offsets)
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:

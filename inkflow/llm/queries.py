@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_chunks, exact_dedup, id_blocks, jaccard_join, secret_scan, token_count
+from . import bpe_chunks, byte_cnn, decontaminate, exact_dedup, id_blocks, jaccard_join, secret_scan, token_count, toxicity
 from ._shared import shared_path
 
 
@@ -25,6 +25,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"), shared_path(spark, "secret-ledger"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -38,6 +42,11 @@ def op5_id_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_blocks.read_digests(spark, manifest)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.fit_model(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -46,13 +55,21 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.encoding_digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return byte_cnn.quality(docs, byte_cnn.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_decontaminate": op2_decontaminate,
     "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_id_blocks": op5_id_blocks,
+    "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_bpe_codec": op9_bpe_codec,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
