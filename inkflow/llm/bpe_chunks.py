@@ -212,14 +212,14 @@ def decode_ids(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of every whole text, encoded and decoded again."""
+def encoding_digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas) and decoded_sha256 of every whole text, encoded and decoded again; with_ids: and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, vocab = store(path), vocabulary(path)
         pool, start, length = decimals(path)
         for batch in batches:
-            count, ids_sha, text_sha = [], [], []
+            count, ids_sha, text_sha, lists = [], [], [], []
             for _, _, raw, offsets in text_slices(batch.column("text")):
                 ids, at = own.encode(raw, offsets)
                 named_len = length[ids]
@@ -228,8 +228,15 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
                 data, data_at = decode(vocab, ids, at)
                 data_at = data_at.tolist()
                 count += np.diff(at).tolist()
+                if with_ids:
+                    lists.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 ids_sha += [hashlib.sha256(named[a : max(a, b - 1)]).hexdigest() for a, b in zip(named_at[:-1], named_at[1:])]
                 text_sha += [hashlib.sha256(_as_text(data[a:b])).hexdigest() for a, b in zip(data_at[:-1], data_at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return texts(docs).mapInArrow(run, DIGESTS)
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                columns.append(pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return texts(docs).mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)

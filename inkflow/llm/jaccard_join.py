@@ -369,3 +369,10 @@ def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int =
     full = rows.where("node is not null")
     out = join_groups(full, named, ["node"], "n_rows", full.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
+    """docs, all columns, with one document of each group of similar ones: that with the smallest doc_id. Rows with a null doc_id stay."""
+    groups = similar_groups(docs, **options)
+    copies = save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-copies")
+    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
