@@ -18,7 +18,7 @@ from ._words import span_hashes
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
 #: Distinct pre-tokens (of at most KEPT_BYTES) that a Python worker remembers before it starts anew.
-KEPT_PIECES, KEPT_BYTES = 300_000, 64
+KEPT_PIECES, KEPT_BYTES = 1_500_000, 64
 _CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 
@@ -232,11 +232,12 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # hashes of what is remembered, in order, and their places
+        self.places = np.zeros(0, np.int32)
         self.pool = np.empty(1 << 16, np.int32)
         self.pool_end = 0
-        self.at = np.empty(1 << 14, np.int64)
-        self.count = np.empty(1 << 14, np.int64)
+        self.at = np.empty(1 << 14, np.int32)
+        self.count = np.empty(1 << 14, np.int32)
         self.n = 0
 
     def _store(self, ids: np.ndarray, counts: np.ndarray) -> int:
@@ -254,14 +255,18 @@ class Encoder:
 
     def look_up(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
         """The place of each pre-token in at and count."""
-        if self.n > self.kept:
+        if self.n > self.kept or self.pool_end > 1 << 26:
             self.forget()
         hashes = span_hashes(raw, starts, ends)
         hashes[number >= 0] ^= np.uint64(0xA5A5A5A5A5A5A5A5)
         keys, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        names = keys.tolist()
-        place = np.array([self.known.get(k, -1) for k in names], np.int64)
-        new = np.flatnonzero(place < 0)
+        slot = np.searchsorted(self.keys, keys)
+        old = np.zeros(len(keys), bool)
+        if len(self.keys):
+            old = self.keys[np.minimum(slot, len(self.keys) - 1)] == keys
+        place = np.empty(len(keys), np.int64)
+        place[old] = self.places[slot[old]]
+        new = np.flatnonzero(~old)
         if len(new):
             s = sample[new]
             special = number[s] >= 0
@@ -271,9 +276,9 @@ class Encoder:
             if special.any():
                 first = self._store(number[s[special]], np.ones(int(special.sum()), np.int64))
                 place[new[special]] = first + np.arange(int(special.sum()))
-            short = (ends[s] - starts[s]) <= KEPT_BYTES
-            for i in new[short].tolist():
-                self.known[names[i]] = int(place[i])
+            short = new[(ends[s] - starts[s]) <= KEPT_BYTES]
+            self.keys = np.insert(self.keys, slot[short], keys[short])
+            self.places = np.insert(self.places, slot[short], place[short])
         return place[inverse]
 
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -298,7 +303,7 @@ class Encoder:
             return none, np.zeros(len(offsets), np.int64), none, none
         place = self.look_up(raw, starts, ends, number)
         total = bounds(self.count[place])
-        ids = ragged_take(self.pool, self.at[place], self.count[place]).astype(np.int64)
+        ids = ragged_take(self.pool, self.at[place].astype(np.int64), self.count[place]).astype(np.int64)
         return ids, total[np.searchsorted(starts, offsets)], starts[inner], total[:-1][inner]
 
 
