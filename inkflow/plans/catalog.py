@@ -1,10 +1,562 @@
-"""Queries over the driver's tables, one for each operator, and their DuckDB SQL."""
+"""Queries over the driver's tables, one or more for each operator, and the DuckDB SQL that gives the same rows where SQL can."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from ..functions import text as ft
+from ..functions import units as fu
+from ..functions import values as fv
+from ..operators import grid, order, relate
+from ..sinks import html as sink_html
+from ..sinks import package as sink_package
+from ..sources import registry
+from ..sources import text as source_text
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rows(names: tuple[str, ...], *values: tuple) -> Column:
+    """An array of structs."""
+    return F.array(*(F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in zip(names, x))) for x in values))
+
+
+# --- scalar functions -------------------------------------------------------------------------------------------------
+
+
+def _on_documents(f: Callable[[Column], Column]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "documents").select("doc_id", F.sha2(f(F.col("text")).cast("binary"), 256).alias("value"))
+
+    return run
+
+
+_SCALARS: dict[str, tuple[Callable[[Column], Column], str]] = {
+    "sanitize_text": (ft.sanitize, r"regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')"),
+    "xml_escape": (ft.xml_escape, "replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"),
+    "html_escape": (ft.html_escape, "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;')"),
+    "text_escape": (ft.text_escape, "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"),
+    "decode_entities": (lambda c: ft.decode_entities(ft.html_escape(c)), "replace(text, '''', '&#039;')"),
+    "replace_emoji": (lambda c: ft.replace_emoji(F.replace(c, F.lit("th"), F.lit("☀️"))), "replace(text, 'th', '□')"),
+    "normalize_title": (ft.title_candidate, r"trim(regexp_replace(text, '\s+', ' ', 'g'))"),
+    "hyperlink_command": (lambda c: ft.hyperlink_command(F.concat(F.lit("https://x.org/?q="), F.replace(c, F.lit(" "), F.lit("")))), r"""regexp_replace('https://x.org/?q=' || replace(text, ' ', ''), '([\\:?])', '\\\1', 'g') || ';1;0;1;'"""),
+}
+for _name, (_f, _sql) in _SCALARS.items():
+    QUERIES[_name] = _on_documents(_f)
+    ORACLE_SQL[_name] = f"SELECT doc_id, sha256({_sql}) AS value FROM documents"
+
+
+@query("""
+    SELECT doc_id, least(40, length(text) + length(regexp_replace(text, '[^\\x{1100}-\\x{D7FF}\\x{3000}-\\x{303F}]', '', 'g'))) AS width, len(string_split(text, chr(10))) AS n_lines
+    FROM documents""")
+def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", ft.display_width(F.col("text")).alias("width"), ft.line_count(F.col("text")).cast("long").alias("n_lines")).withColumn("width", F.col("width").cast("long"))
+
+
+@query("SELECT doc_id, i AS pos, regexp_extract_all(text, '\\*\\*(.+?)\\*\\*', 1)[i + 1] AS span FROM documents, unnest(range(0, len(regexp_extract_all(text, '\\*\\*(.+?)\\*\\*', 1)))) AS u(i)")
+def emphasis_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(F.col("text").contains("**")).select("doc_id", F.posexplode(ft.strong_spans(F.col("text"))).alias("pos", "span")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(r"""
+    SELECT l_orderkey, l_linenumber, c,
+           regexp_matches(v, '^[-+]?[\d,]+(\.\d+)?%?$') OR regexp_matches(v, '^[-+]?\d{1,3}(,\d{3})+(\.\d+)?$') OR regexp_matches(v, '^[₩$€¥]\s?[-+]?[\d,]+(\.\d+)?$') AS is_numeric
+    FROM (SELECT l_orderkey, l_linenumber, unnest(['l_partkey', 'l_returnflag', 'discount', 'price', 'l_linestatus']) AS c,
+                 unnest([l_partkey::VARCHAR, l_returnflag, (l_discount * 100)::INT::VARCHAR || '%', '$ ' || l_partkey::VARCHAR, '1,234.' || l_linestatus]) AS v FROM lineitem)""")
+def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("l_partkey").cast("string")
+    percent = F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))
+    cells = rows(("c", "v"), ("l_partkey", key), ("l_returnflag", F.col("l_returnflag")), ("discount", percent), ("price", F.concat(F.lit("$ "), key)), ("l_linestatus", F.concat(F.lit("1,234."), F.col("l_linestatus"))))
+    each = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(cells).alias("x"))
+    return each.select("l_orderkey", "l_linenumber", "x.c", fv.is_numeric_cell(F.col("x.v")).alias("is_numeric"))
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.2f MB', floor(n / 1048576.0 * 100 + 0.5) / 100) END AS shown,
+           CASE WHEN n < 100000 THEN 'xs' WHEN n < 1000000 THEN 'sm' ELSE 'lg' END AS bucket, floor(p_retailprice / 1000 + 0.5)::BIGINT AS seconds
+    FROM (SELECT *, (p_partkey * p_size * 37)::BIGINT AS n FROM part)""")
+def size_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = (F.col("p_partkey") * F.col("p_size") * 37).cast("long")
+    return table(spark, sf_dir, "part").select("p_partkey", ft.format_bytes(n).alias("shown"), fu.size_bucket(n).alias("bucket"), fu.duration_bucket(F.col("p_retailprice")).alias("seconds"))
+
+
+@query("""
+    SELECT p_partkey, floor(mm * 283.465 + 0.5)::BIGINT AS units, CASE WHEN p_size IN (130, 150, 160, 180, 200) THEN p_size ELSE 160 END AS spacing,
+           b * 100 AS body, (b + 6) * 100 AS h1, greatest((b + 1) * 100, 800) AS h4, greatest((b - 1) * 100, 800) AS code,
+           greatest(12000, CASE WHEN p_size % 2 = 0 THEN 84188 ELSE 59528 END - 2 * floor(mm * 283.465 + 0.5)::BIGINT) AS width,
+           CASE WHEN least(6, greatest(1, p_size % 9)) <= 4 THEN least(6, greatest(1, p_size % 9)) WHEN least(6, greatest(1, p_size % 9)) = 5 THEN 10 ELSE 11 END::VARCHAR AS char_id
+    FROM (SELECT *, (p_size - 25) / 2.0 AS mm, greatest(6, least(36, p_size)) AS b FROM part)""")
+def page_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mm = (F.col("p_size") - 25) / 2.0
+    sizes = fu.heading_sizes(F.col("p_size"), F.lit("standard"))
+    width = fu.content_width(F.lit("A4"), F.col("p_size") % 2 == 0, fu.mm_to_units(mm), fu.mm_to_units(mm))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", fu.mm_to_units(mm).alias("units"), fu.line_spacing(F.col("p_size")).alias("spacing"), sizes["body"].alias("body"), sizes["h1"].alias("h1"), sizes["h4"].alias("h4"), sizes["code"].alias("code"), width.alias("width"), fu.heading_ids(F.col("p_size") % 9)["char_id"].alias("char_id")
+    )
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN w > 40000 THEN 40000 ELSE w END AS width, CASE WHEN w > 40000 THEN floor(h * 40000.0 / w + 0.5)::BIGINT ELSE h END AS height,
+           CASE WHEN p_size % 3 = 0 THEN '#FFA500' WHEN p_size % 3 = 1 THEN '#' || upper(printf('%02x', p_size)) || '80FF' ELSE '#AABBCC' END AS colour
+    FROM (SELECT *, (p_size * 40 * 75)::BIGINT AS w, ((p_partkey % 500 + 1) * 75)::BIGINT AS h FROM part)""")
+def image_sizes_and_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = fu.image_size((F.col("p_size") * 40).cast("long"), F.col("p_partkey") % 500 + 1)
+    raw = F.when(F.col("p_size") % 3 == 0, "Orange").when(F.col("p_size") % 3 == 1, F.concat(F.lit("rgb("), F.col("p_size").cast("string"), F.lit(", 128, 999)"))).otherwise(" #abc ")
+    return table(spark, sf_dir, "part").select("p_partkey", size["width"].alias("width"), size["height"].alias("height"), fv.hex_colour(raw).alias("colour"))
+
+
+@query(r"""
+    SELECT p_partkey, lower(regexp_extract(n, '\.([^.]*)$', 1)) AS ext, regexp_replace(n, '\.[^.]+$', '') AS base, regexp_replace(replace(p_name, ' ', '_'), '\.[^.]+$', '') || '.hwpx' AS package
+    FROM (SELECT *, replace(p_name, ' ', '_') || '.' || p_brand || '.TXT' AS n FROM part)""")
+def file_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    under = F.replace("p_name", F.lit(" "), F.lit("_"))
+    n = F.concat(under, F.lit("."), F.col("p_brand"), F.lit(".TXT"))
+    return table(spark, sf_dir, "part").select("p_partkey", ft.extension(n).alias("ext"), ft.base_name(n).alias("base"), ft.package_name(under).alias("package"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '지원하지 않는 포맷' WHEN o_orderkey % 5 = 1 THEN '파일 크기' WHEN o_orderkey % 5 = 2 THEN '파싱 오류' WHEN o_orderkey % 5 = 3 THEN '브라우저 다운로드 차단' ELSE '변환 처리' END AS category
+    FROM orders""")
+def error_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(F.lit("Unsupported: size"), F.lit("파일 크기 초과 (50MB)"), F.lit("JSON 파싱 오류"), F.lit("blocked by the browser"), F.lit("?")), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", fv.error_category(said).alias("category"))
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN printf('%d.%d.%d', a, b, c + 1) ELSE printf('%d.%d.0', a, b + 1) END AS next
+    FROM (SELECT *, (o_orderkey % 7)::INT AS a, (o_orderkey % 11)::INT AS b, (o_orderkey % 13)::INT AS c FROM orders)""")
+def next_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", fu.next_version(F.concat_ws(".", k % 7, k % 11, k % 13), k % 2 == 0).alias("next"))
+
+
+# --- plain text ---------------------------------------------------------------------------------------------------------
+
+
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, text: the turns as paragraphs; the first turn of every third is a heading, and every fourth turn is a list of its sentences."""
+    t = table(spark, sf_dir, "conversations")
+    said = F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")
+    shown = F.when((F.col("turn") == 0) & (F.col("conv_id") % 3 == 0), F.concat(F.lit("# "), said)).when(F.col("turn") % 4 == 3, F.concat(F.lit("- "), F.replace(said, F.lit(". "), F.lit(".\n- ")))).otherwise(said)
+    return relate.joined_text(t.select("conv_id", "turn", shown.alias("text")), ["conv_id"], "turn", "text", "\n\n")
+
+
+_TURNS = r"""
+    turns AS (SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '\s+', ' ', 'g') AS said FROM conversations),
+    shown AS (SELECT conv_id, turn, CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN '# ' || said WHEN turn % 4 = 3 THEN '- ' || replace(said, '. ', '.' || chr(10) || '- ') ELSE said END AS p FROM turns),
+    whole AS (SELECT conv_id, string_agg(p, chr(10) || chr(10) ORDER BY turn, p) AS t FROM shown GROUP BY conv_id),
+    parts AS (SELECT conv_id, i - 1 AS pos, trim(string_split_regex(t, '\n{2,}')[i], E' \t\n') AS p FROM whole, unnest(range(1, len(string_split_regex(t, '\n{2,}')) + 1)) AS u(i)),
+    lines AS (SELECT *, list_filter(string_split(p, chr(10)), lambda x: trim(x) <> '') AS l FROM parts WHERE p <> ''),
+    kinds AS (SELECT *, CASE WHEN regexp_full_match(p, '#{1,6}\s+[^\n]+') THEN 'heading' WHEN len(list_filter(l, lambda x: NOT regexp_matches(x, '^\s*(?:[-*+]\s|\d+\.\s)'))) = 0 THEN 'list' WHEN p LIKE '```%' THEN 'code' ELSE 'para' END AS type FROM lines)"""
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, pos, type, CASE WHEN type = 'heading' THEN trim(regexp_extract(p, '^#+\\s+(.*)$', 1)) WHEN type = 'list' THEN NULL ELSE p END AS text, CASE WHEN type = 'list' THEN len(l) END AS n_items FROM kinds")
+def txt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = source_text.text_blocks(conversations(spark, sf_dir), "conv_id", F.col("text"))
+    return blocks.select("conv_id", F.col("pos").cast("long").alias("pos"), "type", "text", F.when(F.col("items").isNotNull(), F.size("items")).cast("long").alias("n_items"))
+
+
+@query(f"""WITH {_TURNS}, firsts AS (SELECT conv_id, min(pos) AS pos FROM kinds WHERE type = 'heading' GROUP BY conv_id),
+    body AS (SELECT k.* FROM kinds k LEFT JOIN firsts f ON f.conv_id = k.conv_id AND f.pos = k.pos WHERE f.pos IS NULL)
+    SELECT w.conv_id, coalesce(any_value(trim(regexp_extract(h.p, '^#+\\s+(.*)$', 1))), '텍스트 문서') AS title, 1 AS n_title, count(*) FILTER (b.type = 'para') AS n_para, count(*) FILTER (b.type = 'list') AS n_list
+    FROM whole w LEFT JOIN firsts f ON f.conv_id = w.conv_id LEFT JOIN kinds h ON h.conv_id = w.conv_id AND h.pos = f.pos LEFT JOIN body b ON b.conv_id = w.conv_id GROUP BY w.conv_id""")
+def txt_block_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, blocks = source_text.text_documents(conversations(spark, sf_dir), "conv_id", F.col("text"))
+    out = relate.summary(blocks.withColumn("depth", F.lit(0)), docs, "conv_id")
+    return out.select("conv_id", "title", "n_title", "n_para", "n_list")
+
+
+@query("""
+    WITH code AS (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, count(*) AS block_count, sum(len(string_split(text, chr(10))))::BIGINT AS line_count FROM code GROUP BY conv_id""")
+def code_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", F.lit("code").alias("type"), "text")
+    return relate.code_audit(code, "conv_id")
+
+
+@query("""
+    SELECT conv_id, turn::VARCHAR AS block_id, len(string_split(t, chr(10))) AS line_count, string_split(t, chr(10))[1] AS first_line, string_split(t, chr(10))[-1] AS last_line
+    FROM (SELECT conv_id, turn, replace(coalesce(text, ''), '. ', '.' || chr(10)) AS t FROM conversations)""")
+def code_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("string").alias("block_id"), F.lit("code").alias("type"), F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n")).alias("text"))
+    return relate.code_edges(code, "conv_id").withColumn("line_count", F.col("line_count").cast("long"))
+
+
+@query("""
+    SELECT conv_id, t.text AS title, t.turn AS pos FROM (SELECT conv_id, min_by({'text': trim(regexp_replace(text, '\\s+', ' ', 'g')), 'turn': turn}, turn) AS t FROM conversations
+    WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY conv_id)""")
+def title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.lit(0).alias("depth"), F.lit("para").alias("type"), "text")
+    return order.first_candidates(blocks, "conv_id").select("conv_id", F.col("text").alias("title"), "pos")
+
+
+@query("""
+    SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'asked' WHEN doc_id % 4 = 1 THEN 'file ' || doc_id WHEN doc_id % 4 = 2 THEN 'source ' || source ELSE 'lang ' || lang END AS title,
+           CASE WHEN doc_id % 4 = 0 THEN 'custom' WHEN doc_id % 4 = 1 THEN 'filename' WHEN doc_id % 4 = 2 THEN 'parsed' ELSE 'first' END AS title_source
+    FROM documents""")
+def title_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").withColumn("k", F.col("doc_id") % 4)
+    docs = d.select("doc_id", F.when(F.col("k") == 2, F.concat(F.lit(" source  "), "source")).when(F.col("k") == 3, " Table of  Contents").otherwise("x").alias("title"), F.when(F.col("k") == 3, "docx").otherwise("md").alias("ext"), F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("file_base"), "k")
+    blocks = d.select("doc_id", F.posexplode(F.array(F.lit("목차"), F.concat(F.lit("lang "), "lang"))).alias("pos", "text")).select("doc_id", "pos", "text", F.lit(0).alias("depth"), F.lit("heading").alias("type"))
+    return order.titles(docs, blocks, "doc_id", F.when(F.col("k") == 0, "asked"), F.when(F.col("k") == 1, "filename").otherwise("document"))
+
+
+# --- pages --------------------------------------------------------------------------------------------------------------
+
+
+def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.parse(table(spark, sf_dir, "pages"), "page_id", F.lit("html"), F.col("html"))
+
+
+@query("""
+    SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages""")
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", ft.decode_entities(ft.trim_space(F.regexp_extract("html", r"<title>(.*?)</title>", 1))).alias("title"))
+
+
+@query()
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = registry.part_table(parsed_pages(spark, sf_dir), "page_id", "blocks")
+    return blocks.select("page_id", "block_id", "parent_id", "depth", "pos", "type", "level", F.coalesce("text", ft.runs_text(F.col("runs"))).alias("text"))
+
+
+@query()
+def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagship: web pages to blocks to one row of counts a page."""
+    pages = parsed_pages(spark, sf_dir)
+    return relate.summary(registry.part_table(pages, "page_id", "blocks"), registry.docs_table(pages, "page_id"), "page_id")
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '<b>')) > 0 AS has_bold FROM pages")
+def page_heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = parsed_pages(spark, sf_dir)
+    blocks = registry.part_table(pages, "page_id", "blocks")
+    bold = F.exists(F.coalesce("runs", F.array().cast(blocks.schema["runs"].dataType)), lambda r: r["bold"])
+    counts = blocks.groupBy("page_id").agg(F.count_if((F.col("type") == "heading") & (F.col("level") == 1)).alias("n_h1"), F.bool_or(bold).alias("has_bold"))
+    return registry.docs_table(pages, "page_id").select("page_id").join(counts, "page_id", "left").select("page_id", F.coalesce("n_h1", F.lit(0)).alias("n_h1"), F.coalesce("has_bold", F.lit(False)).alias("has_bold"))
+
+
+@query()
+def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages rendered again from their blocks."""
+    pages = parsed_pages(spark, sf_dir)
+    blocks, items, cells = (registry.part_table(pages, "page_id", x) for x in ("blocks", "items", "cells"))
+    body = sink_html.blocks_html(blocks, items, cells, "page_id")
+    return sink_html.standalone(registry.docs_table(pages, "page_id").select("page_id", "title").join(body, "page_id", "left"), "page_id")
+
+
+@query("SELECT page_id, true AS pass, 0 AS n_issues FROM pages")
+def page_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page built as a package and checked."""
+    built = parsed_pages(spark, sf_dir).select("page_id", sink_package.packaged(F.col("doc")).alias("package"))
+    checked = built.select("page_id", sink_package.validated(F.col("package")).alias("c"))
+    return checked.select("page_id", "c.pass", F.size("c.issues").alias("n_issues"))
+
+
+@query()
+def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages packaged and read back: page_id, whether all words came back."""
+    pages = parsed_pages(spark, sf_dir).withColumn("package", sink_package.packaged(F.col("doc")))
+    back = pages.select("page_id", "doc", registry.parsed(F.lit("hwpx"), F.col("package")).alias("back"))
+
+    def words(doc: str) -> Column:
+        return F.flatten(F.transform(f"{doc}.blocks", lambda b: F.split(ft.title_candidate(ft.replace_emoji(F.coalesce(b["text"], ft.runs_text(b["runs"]), F.lit("")))), " ")))
+
+    return back.select("page_id", F.col("back.status").alias("status"), (F.size(F.array_except(words("doc"), words("back"))) == 0).alias("complete"))
+
+
+# --- delimited text and JSON --------------------------------------------------------------------------------------------
+
+
+@query("SELECT 1 + row_number() OVER (ORDER BY n_nationkey) - 1 AS row, n_nationkey::VARCHAR AS c0, n_name AS c1, n_regionkey::VARCHAR AS c2, 'say \"' || n_name || '\", twice' AS c3 FROM nation")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nation as CSV text, parsed back to cells."""
+    quoted = F.concat(F.lit('"say ""'), F.col("n_name"), F.lit('"", twice"'))
+    line = F.concat_ws(",", F.col("n_nationkey").cast("string"), "n_name", F.col("n_regionkey").cast("string"), quoted)
+    rows = table(spark, sf_dir, "nation").select(F.lit(1).alias("k"), "n_nationkey", line.alias("text"))
+    text = relate.joined_text(rows, ["k"], "n_nationkey", "text", "\n").select("k", F.concat(F.lit("a,b,c,d\n"), "text").alias("text"))
+    cells = registry.part_table(registry.parse(text, "k", F.lit("csv"), F.col("text")), "k", "cells").where("row > 0")
+    return cells.groupBy("row").agg(*(F.max(F.when(F.col("ord") == i, F.col("text"))).alias(f"c{i}") for i in range(4))).withColumn("row", F.col("row").cast("long"))
+
+
+@query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS n_cells FROM region")
+def csv_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with commas and tabs: the more frequent one outside quotes separates."""
+    text = F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.col("r_name"), F.lit("\t\"a,b,c\"\nx\ty"))).otherwise(F.concat(F.col("r_name"), F.lit(",b,c\nx\ty,1,2")))
+    docs = registry.parse(table(spark, sf_dir, "region").select("r_regionkey", text.alias("text")), "r_regionkey", F.lit("csv"), F.col("text"))
+    return registry.part_table(docs, "r_regionkey", "cells").where("row = 0").groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
+@query("""
+    WITH j AS (SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ['name', 'key'] ELSE ['key', 'extra'] END AS k FROM nation),
+    e AS (SELECT n_regionkey, n_nationkey, i, k[i] AS field FROM j, unnest([1, 2]) AS u(i)),
+    f AS (SELECT n_regionkey, field, min(n_nationkey * 10 + i) AS first FROM e GROUP BY ALL)
+    SELECT n_regionkey, field, row_number() OVER (PARTITION BY n_regionkey ORDER BY first) - 1 AS pos FROM f""")
+def json_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    even = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")))
+    odd = F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.lit(1).alias("extra")))
+    return relate.key_union(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, even).otherwise(odd)).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
+def json_kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON objects as key/value tables."""
+    docs = registry.parse(table(spark, sf_dir, "events"), "event_id", F.lit("json"), F.col("props"))
+    cells = registry.part_table(docs, "event_id", "cells").where("row > 0")
+    rows = cells.groupBy("event_id", "row").agg(F.max(F.when(F.col("ord") == 0, F.col("text"))).alias("key"), F.max(F.when(F.col("ord") == 1, F.col("text"))).alias("value"))
+    return rows.select("event_id", "key", "value")
+
+
+@query("SELECT n_regionkey, 1::BIGINT AS n_tables, count(*) + 1 AS n_rows FROM nation GROUP BY n_regionkey")
+def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of objects as tables."""
+    row = F.to_json(F.struct("n_nationkey", "n_name"))
+    text = relate.joined_text(table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", row.alias("text")), ["n_regionkey"], "n_nationkey", "text", ",")
+    docs = registry.parse(text.select("n_regionkey", F.concat(F.lit("["), "text", F.lit("]")).alias("text")), "n_regionkey", F.lit("json"), F.col("text"))
+    return registry.part_table(docs, "n_regionkey", "cells").groupBy("n_regionkey").agg(F.countDistinct("block_id").alias("n_tables"), F.countDistinct("row").alias("n_rows"))
+
+
+@query("SELECT doc_id, 'done' AS status, 'source ' || source AS title, 3 AS n_blocks, 2 AS n_items FROM documents")
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents wrapped as Markdown: a title, a paragraph, a list, and code."""
+    body = F.concat(F.lit("# source "), "source", F.lit("\n\nplain **bold** words\n\n- one\n- two\n\n```\n"), F.coalesce("text", F.lit("")), F.lit("\n```\n"))
+    docs = registry.parse(table(spark, sf_dir, "documents").select("doc_id", body.alias("md")), "doc_id", F.lit("md"), F.col("md"))
+    return docs.select("doc_id", "doc.status", "doc.title", F.size("doc.blocks").alias("n_blocks"), F.size("doc.items").alias("n_items"))
+
+
+# --- order --------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH m AS (SELECT user_id, event_id, event_type, CASE WHEN lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM m)
+    SELECT user_id, island::BIGINT AS island, any_value(event_type) AS event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM g GROUP BY user_id, island""")
+def list_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.grouped_runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
+
+
+@query()
+def level_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value")).cast("int").alias("v"))
+    items = e.select("user_id", "event_id", F.pmod("v", F.lit(3)).alias("level"), (F.pmod("v", F.lit(5)) != 0).alias("ordered"))
+    return order.level_markers(items, ["user_id"], "event_id")
+
+
+_SPACED = "SELECT user_id, event_id, CASE WHEN event_id % 7 IN (2, 3) THEN 'blank' WHEN event_id % 7 = 4 THEN 'hr' ELSE 'para' END AS type FROM events"
+
+
+@query(f"""
+    WITH t AS ({_SPACED}),
+    n AS (SELECT *, last_value(nullif(type, 'blank') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b,
+                 first_value(nullif(type, 'blank') IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM t)
+    SELECT user_id, event_id, type FROM n WHERE NOT (type = 'blank' AND (coalesce(b, '') = 'hr' OR coalesce(a, '') = 'hr'))""")
+def hr_spacers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id") % 7
+    t = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(k.isin(2, 3), "blank").when(k == 4, "hr").otherwise("para").alias("type"))
+    return order.without_spacers(t, ["user_id"], "event_id")
+
+
+@query("SELECT source, lang AS signature, row_number() OVER (PARTITION BY source ORDER BY f) + 12 AS id FROM (SELECT source, lang, min(doc_id) AS f FROM documents WHERE lang IS NOT NULL GROUP BY ALL)")
+def style_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = order.dictionary_ids(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.col("lang"), 13)
+    return out.select("source", "signature", F.col("id").cast("long").alias("id"))
+
+
+@query("""
+    WITH c AS (SELECT n_regionkey, n_name AS colour, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS n FROM nation)
+    SELECT n_regionkey, colour, s AS side, (n * 4 + k + 20)::BIGINT AS id FROM c, (VALUES (0, 'full'), (1, 'left'), (2, 'right'), (3, 'both')) AS v(k, s)""")
+def border_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    colours = table(spark, sf_dir, "nation").select("n_regionkey", F.col("n_name").alias("colour"), F.col("n_nationkey").alias("order"))
+    return order.border_variants(colours, ["n_regionkey"]).withColumn("id", F.col("id").cast("long"))
+
+
+@query("""
+    WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id, n_chars) AS i FROM documents),
+    r AS (SELECT source, doc_id, i, s, (s <= 8000 AND s <= 50000) AS accepted, CASE WHEN s <= 8000 AND s <= 50000 THEN s ELSE 0 END AS used FROM d WHERE i = 1
+          UNION ALL SELECT d.source, d.doc_id, d.i, d.s, (d.s <= 8000 AND r.used + d.s <= 50000), r.used + CASE WHEN d.s <= 8000 AND r.used + d.s <= 50000 THEN d.s ELSE 0 END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1)
+    SELECT source, doc_id, accepted FROM r""")
+def greedy_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return order.greedy_quota(d, ["source"], "doc_id", "n_chars", 8000, 50000).select("source", "doc_id", "accepted")
+
+
+@query("""
+    SELECT p_partkey, CASE WHEN n = 1 THEN p_name ELSE p_name || ' (' || n || ')' END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part)""")
+def unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.unique_names(table(spark, sf_dir, "part"), [], ["p_partkey"], "p_name").select("p_partkey", "unique_name")
+
+
+@query("SELECT user_id, event_id, greatest(a - 20, 0) AS overflow FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY user_id) AS a FROM events) WHERE n <= 20")
+def batch_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty of each queue."""
+    return order.first_n(table(spark, sf_dir, "events").select("user_id", "event_id"), ["user_id"], ["event_id"], 20)
+
+
+@query("""
+    SELECT o_orderkey, l_linenumber, (coalesce(sum(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS col, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS id
+    FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey AS o_orderkey FROM lineitem)""")
+def logical_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    out = order.running_ids(order.logical_columns(t, ["l_orderkey"], "l_linenumber", "l_linenumber"), ["l_orderkey"], ["l_linenumber"])
+    return out.select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "col", F.col("id").cast("long").alias("id"))
+
+
+# --- joins, checks, aggregates ------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey FROM (SELECT DISTINCT o_orderkey FROM orders) o ANTI JOIN lineitem l ON l.l_orderkey = o.o_orderkey")
+def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    defined = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return relate.dangling(table(spark, sf_dir, "orders"), defined, ["o_orderkey"])
+
+
+@query("""
+    WITH b AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), e AS (SELECT l_partkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+    SELECT coalesce(b.k, e.k) AS k, coalesce(b.n, 0) AS n_begin, coalesce(e.n, 0) AS n_end FROM b FULL JOIN e ON b.k = e.k WHERE coalesce(b.n, 0) <> coalesce(e.n, 0)""")
+def pair_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey"))
+    return relate.unpaired(t.where("l_returnflag = 'N'"), t.where("l_returnflag = 'R'"), ["k"])
+
+
+@query("SELECT c_custkey, r_name AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey")
+def lookup_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = [(table(spark, sf_dir, "nation"), "n_nationkey", "n_regionkey"), (table(spark, sf_dir, "region"), "r_regionkey", "r_name")]
+    return relate.look_up_chain(table(spark, sf_dir, "customer"), steps, "c_nationkey", "region").select("c_custkey", "region")
+
+
+@query("SELECT s_suppkey, coalesce(n_name, 'none') AS nation FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON n_nationkey = s_nationkey")
+def lookup_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "nation").where("n_regionkey < 3").withColumnRenamed("n_nationkey", "s_nationkey")
+    return relate.look_up(table(spark, sf_dir, "supplier"), t, ["s_nationkey"], "n_name", F.lit("none"), "nation").select("s_suppkey", "nation")
+
+
+@query("""
+    SELECT k, CASE WHEN k NOT IN (SELECT l_orderkey FROM lineitem) THEN 'lineitem' ELSE 'shipped' END AS missing_in FROM (SELECT DISTINCT o_orderkey AS k FROM orders)
+    WHERE k NOT IN (SELECT l_orderkey FROM lineitem) OR k NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')""")
+def reference_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_orderkey"))
+    return relate.broken_chain(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), [("lineitem", lines), ("shipped", lines.where("l_linestatus = 'F'"))], ["k"])
+
+
+@query("SELECT 'x' AS n_name, 0::BIGINT AS n_nationkey, '' AS only_in WHERE false")
+def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text as a column and as a file's bytes parse alike: no difference."""
+    t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.concat(F.lit("# "), "n_name", F.lit("\n\ntext of "), "n_name").alias("text"))
+    one = registry.parse(t, "n_nationkey", F.lit("md"), F.col("text"))
+    two = registry.parse(t, "n_nationkey", F.lit("md"), F.encode("text", "UTF-8"))
+    a, b = (x.select(F.col("doc.title").alias("n_name"), "n_nationkey") for x in (one, two))
+    return relate.same_rows(a, b)
+
+
+@query("""
+    SELECT user_id, count(*) FILTER (event_type IN ('click', 'view')) AS n_done, count(*) FILTER (event_type = 'view') AS n_warn, count(*) FILTER (event_type = 'purchase') AS n_error,
+           count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase')) AS n_other, count(*) AS n FROM events GROUP BY user_id""")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_type")
+    status = F.when(e == "click", "done").when(e == "view", "warn").when(e == "purchase", "error").otherwise("other")
+    return relate.status_counts(table(spark, sf_dir, "events").withColumn("status", status), ["user_id"])
+
+
+@query("""
+    SELECT o_orderkey, 4 AS declared, coalesce(n, 0) AS actual FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE coalesce(n, 0) <> 4""")
+def child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    declared = table(spark, sf_dir, "orders").select("o_orderkey", F.lit(4).alias("declared"))
+    return relate.count_mismatches(declared, table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey"), ["o_orderkey"], "declared")
+
+
+# Published estimates of how much of each format is kept, and how often conversion succeeds; audit scores.
+QUALITY = {"md": (94, 97), "html": (68, 88), "docx": (85, 90), "pptx": (48, 83), "txt": (88, 97), "csv": (82, 94), "json": (76, 90), "ipynb": (78, 88), "hwp": (55, 75)}
+AUDIT = {"MD": 9.2, "HTML": 8.6, "TXT": 9.3, "CSV": 9.0, "XLSX": 7.4, "JSON": 8.5, "IPYNB": 7.9, "DOCX": 7.8, "HWP": 3.0}
+
+
+@query(f"""
+    WITH q(format, conversion, success) AS (VALUES {", ".join(f"('{k}', {a}.0, {b}.0)" for k, (a, b) in QUALITY.items())}),
+    a(format, score) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in AUDIT.items())})
+    SELECT q.format, round((q.conversion * 0.6 + q.success * 0.4)::DOUBLE, 6) AS score, round(coalesce(a.score, 0)::DOUBLE, 6) AS audit, (SELECT round(avg(score)::DOUBLE, 6) FROM a WHERE format <> 'HWP') AS audit_mean
+    FROM q LEFT JOIN a ON lower(a.format) = q.format""")
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in QUALITY.items()], "format string, conversion double, success double")
+    a = spark.createDataFrame([(k.lower(), v) for k, v in AUDIT.items()], "format string, audit double")
+    mean = a.where("format <> 'hwp'").agg(F.round(F.avg("audit"), 6).alias("audit_mean"))
+    scored = q.select("format", F.round(relate.weighted_score(q, {"conversion": 0.6, "success": 0.4}), 6).alias("score"))
+    out = relate.look_up(scored, a, ["format"], "audit", F.lit(0.0), "audit")
+    return out.join(F.broadcast(mean), F.lit(True)).select("format", "score", F.round("audit", 6).alias("audit"), "audit_mean")
+
+
+# --- grids --------------------------------------------------------------------------------------------------------------
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations of a region as rows of three cells; every second row's first cell spans two columns."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    n = table(spark, sf_dir, "nation").withColumn("row", F.row_number().over(w) - 1)
+    names, key = ("ord", "text", "col_span"), F.col("n_nationkey").cast("string")
+    wide = rows(names, (0, F.col("n_name"), 2), (1, key, 1))
+    plain = rows(names, (0, F.col("n_name"), 1), (1, "x", 1), (2, key, 1))
+    return n.select("n_regionkey", "row", F.explode(F.when(F.col("row") % 2 == 1, wide).otherwise(plain)).alias("c")).select("n_regionkey", "row", "c.ord", "c.text", "c.col_span", F.lit(1).alias("row_span"))
+
+
+@query("""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation)
+    SELECT n_regionkey, r::INT AS row, 0 AS col, CASE WHEN r % 2 = 1 THEN 2 ELSE 1 END AS col_span, n_name AS text FROM n
+    UNION ALL SELECT n_regionkey, r::INT, 1, 1, 'x' FROM n WHERE r % 2 = 0 UNION ALL SELECT n_regionkey, r::INT, 2, 1, n_nationkey::VARCHAR FROM n""")
+def grid_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.place(_grid(spark, sf_dir), ["n_regionkey"]).select("n_regionkey", "row", "col", "col_span", "text")
+
+
+@query("""
+    WITH n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS r FROM nation)
+    SELECT n_regionkey, r::INT AS row, 1 AS col, 0::BIGINT AS n FROM n WHERE r % 2 = 0""")
+def grid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid in which some cells are missing: the places that nothing covers."""
+    placed = grid.place(_grid(spark, sf_dir), ["n_regionkey"])
+    return grid.coverage(placed.where("text <> 'x'"), ["n_regionkey"])
+
+
+@query("""
+    WITH c AS (SELECT n_regionkey, unnest([0, 1]) AS col, unnest([n_name, n_nationkey::VARCHAR]) AS text FROM nation),
+    m AS (SELECT n_regionkey, col, greatest(1, max(least(40, length(text)))) AS l FROM c GROUP BY ALL),
+    w AS (SELECT *, floor(3000 + l / sum(l) OVER (PARTITION BY n_regionkey) * (48000 - 6000) + 0.5)::BIGINT AS w FROM m)
+    SELECT n_regionkey, col, CASE WHEN col = 1 THEN w + 48000 - (sum(w) OVER (PARTITION BY n_regionkey))::BIGINT ELSE w END AS width FROM w""")
+def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = table(spark, sf_dir, "nation").select("n_regionkey", F.posexplode(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("col", "text"))
+    return grid.column_widths(cells, ["n_regionkey"], 48000)
+
+
+@query("""
+    WITH m AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, event_id FROM events),
+    s AS (SELECT *, CASE WHEN r % 4 = 0 THEN 1 WHEN r % 4 IN (1, 2) THEN 0 ELSE 1 END AS new FROM m),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY r) AS run FROM s)
+    SELECT user_id, min(r) AS row, count(*) AS row_span FROM g GROUP BY user_id, run""")
+def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    t = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).cast("long").alias("row"), F.lit(0).alias("col"))
+    k = F.col("row") % 4
+    t = t.withColumn("merge", F.when(k == 0, "restart").when(k < 3, "continue"))
+    return grid.merged_down(t, ["user_id"]).select("user_id", "row", "row_span")
+
+
+@query("SELECT n_regionkey, n_nationkey, n_name AS c0, '' AS c1, '' AS c2 FROM nation")
+def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = grid.padded(F.array("n_name"), F.lit(3))
+    return table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", *(row[i].alias(f"c{i}") for i in range(3)))
