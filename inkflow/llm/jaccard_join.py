@@ -34,6 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,8 +43,10 @@ from ._components import components
 from ._shared import drop, join_groups, save, text_slices, texts
 from ._words import shingles, words
 
-#: Buckets of the sketch: 2**SKETCH_BITS counters in chunks of CHUNK.
-SKETCH_BITS, CHUNK = 18, 1 << 12
+#: The sketch has four counters a document, but no more than 2**MOST_BITS of them, in chunks of CHUNK.
+LEAST_BITS, MOST_BITS, CHUNK = 14, 24, 1 << 12
+#: Counts are kept as STEPS times their logarithm to base 2, one byte each.
+STEPS = 8
 #: Members of a list, or candidates of a query, that one task handles together.
 BLOCK = 4000
 SEARCH_BLOCK = 256
@@ -126,43 +129,51 @@ def search(query: np.ndarray, candidates: list[np.ndarray], percent: int, mu: fl
     return found
 
 
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, node (16 bytes that name the class) of every row; and the sketch."""
+    """doc_id, n, node (16 bytes that name the class) of every row; and the sketch, a byte a bucket."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (4 * docs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "node", "chunk", "counts"]
-        counts = np.zeros(1 << SKETCH_BITS, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             size, node = [], []
             for own in sets(batch.column("text"), k):
                 size.append(len(own))
                 node.append(digest(own) if len(own) else None)
-                np.add.at(counts, (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, _bucket(own, bits), 1)
             none = pa.nulls(len(size), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), none, pa.nulls(len(size), pa.binary())], names)
         chunks = [c for c in range(len(counts) // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
-        parts = [counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8").tobytes() for c in chunks]
+        pack = zstandard.ZstdCompressor(level=1).compress
+        parts = [pack(counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8").tobytes()) for c in chunks]
         nothing = [pa.nulls(len(chunks), t) for t in (pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for c, part in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                total[c] = total.get(c, 0) + np.frombuffer(part, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["chunk", "counts"])
+                total[c] = total.get(c, 0) + np.frombuffer(unpack(part), "<i8")
+        steps = [np.minimum(255, np.log2(np.maximum(x, 1)) * STEPS).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], ["chunk", "counts"])
 
     both = save(texts(docs).mapInArrow(run, "doc_id long, n long, node binary, chunk int, counts binary"), "jaccard-profile")
-    sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+    sketch = np.zeros(1 << bits, np.uint8)
     summed = both.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     for r in summed.toLocalIterator():  # as many rows as the sketch has chunks
-        sketch[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.counts), "<i8")
+        sketch[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.counts), np.uint8)
     return both.where("chunk is null").select("doc_id", "n", "node"), sketch
 
 
 def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, block: int) -> DataFrame:
-    """token, deal, size, place (in the order), node: the prefixes of all classes; a task posts a class once."""
-    dense = sketch.astype(np.int64)
+    """token, deal, deals, size, place (in the order), node: the prefixes of all classes; a task posts a class once."""
+    bits = len(sketch).bit_length() - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -172,7 +183,7 @@ def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, block:
                 if not len(own) or (name := digest(own)) in seen:
                     continue
                 seen.add(name)
-                often = dense[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+                often = sketch[_bucket(own, bits)]
                 p = prefix_length(len(own), percent)
                 first = np.lexsort((own, often))[:p]
                 token.append(own[first])
@@ -181,11 +192,23 @@ def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, block:
                 place.append(np.arange(p, dtype=np.int32))
                 node += [name] * p
             if token:
-                deals = -(-np.concatenate(of) // (block * 32))
-                deal = np.frombuffer(b"".join(n[:4] for n in node), "<u4") % np.maximum(deals, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(deal.astype(np.int32)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(node, pa.binary())], ["token", "deal", "size", "place", "node"])
+                deals = np.maximum(1, 2.0 ** (np.concatenate(of) / STEPS) // (block * 32)).astype(np.int64)
+                deal = np.frombuffer(b"".join(n[:4] for n in node), "<u4") % deals
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(deal.astype(np.int32)), pa.array(deals.astype(np.int32)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(node, pa.binary())], ["token", "deal", "deals", "size", "place", "node"])
+
+    return texts(docs).mapInArrow(run, "token long, deal int, deals int, size int, place int, node binary")
+
 
-    return texts(docs).mapInArrow(run, "token long, deal int, size int, place int, node binary")
+def _lists(posted: DataFrame, percent: int) -> DataFrame:
+    """The postings, each class once a list, that may pass the size and position filters with another one of their list."""
+    by_token = Window.partitionBy("token", "deal").orderBy("size", "node")
+    once = posted.withColumn("before", F.lag("node").over(by_token)).where("before is null or before <> node").drop("before")
+    near = once.withColumns({"below": F.lag("size").over(by_token), "above": F.lead("size").over(by_token), "least": F.min("size").over(by_token)})
+    # the next sizes are the likeliest to be close enough, and the smallest partner that is asks for the least overlap
+    close = (F.lit(100) * F.col("below") >= F.lit(percent) * F.col("size")) | (F.lit(100) * F.col("size") >= F.lit(percent) * F.col("above"))
+    smallest = F.greatest("least", F.ceil(F.lit(percent) * F.col("size") / 100))
+    reach = F.col("size") - F.col("place") >= F.ceil(F.lit(percent) * (F.col("size") + smallest) / F.lit(100 + percent))
+    return near.where((F.col("deals") > 1) | (F.coalesce(close, F.lit(False)) & reach)).select("token", "deal", "size", "place", "node")
 
 
 def _passes(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
@@ -316,13 +339,8 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int =
     """The rows (doc_id, n, node) and the classes that link with others (node, root)."""
     spark = docs.sparkSession
     rows, sketch = _profile(docs, k)
-    rows = save(rows, "jaccard-rows")
     posted = _postings(docs, k, percent, sketch, block)
-    # a token that one class alone posted gives no pair
-    by_token = Window.partitionBy("token").orderBy("node")
-    whole = by_token.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lists = posted.withColumns({"before": F.lag("node").over(by_token), "low": F.min("node").over(whole), "high": F.max("node").over(whole)})
-    lists = lists.where("low <> high and (before is null or before <> node)").drop("before", "low", "high")
+    lists = _lists(posted, percent)
     lists = save(lists, "jaccard-lists")
     full = _texts_of(lists.select("node").distinct(), docs, rows, k)
     tried = linked = None
