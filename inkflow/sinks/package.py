@@ -209,9 +209,9 @@ class Writer:
                 level = min(2, max(0, i.get("level") or 0))
                 if i.get("ordered"):
                     counts[level] = counts.get(level, 0) + 1
-                    mark = f"{i['marker'] if i.get('marker') is not None and i['marker'] == i['marker'] else counts[level]:.0f}. "
+                    mark = f"{i['marker'] if i.get('marker') is not None else counts[level]}. "
                 else:
-                    mark = ("☑ " if i.get("checked") else "□ ") if i.get("task") else "· "
+                    mark = ("■ " if i.get("checked") else "□ ") if i.get("task") else "· "
                 own = list(i["runs"]) if i.get("runs") is not None and len(i["runs"]) else [{"text": i.get("text") or ""}]
                 out.append(self.para([{"text": mark}, *own], 5 + level))
             return "".join(out)
@@ -282,13 +282,15 @@ class Writer:
 
 
 def _plain(x: Any) -> Any:
-    """Structs and arrays as they come from Spark, as dicts and lists."""
+    """Structs and arrays as they come from Spark, as dicts and lists; whole numbers that nulls among them made floats become whole again."""
     if hasattr(x, "asDict"):
         return {k: _plain(v) for k, v in x.asDict().items()}
     if isinstance(x, dict):
         return {k: _plain(v) for k, v in x.items()}
     if isinstance(x, (list, tuple)) or type(x).__name__ == "ndarray":
         return [_plain(v) for v in x]
+    if isinstance(x, float):
+        return None if x != x else int(x)
     return x
 
 
@@ -362,7 +364,7 @@ def problems(data: bytes | None, mm: dict[str, float] | None = None) -> list[str
             out.append(f"표 격자 불일치: {t.get('id')}")
     begins = {(e.get("id"), e.get("fieldid")) for e in every(section, "fieldBegin")}
     ends = {(e.get("beginIDRef"), e.get("fieldid")) for e in every(section, "fieldEnd")}
-    out += [f"링크 짝 불일치: {x}" for x in sorted(begins ^ ends)]
+    out += [f"링크 짝 불일치: {x}" for x in sorted(begins ^ ends, key=str)]
     content = z.read("Contents/content.hpf").decode("utf-8", "replace") if "Contents/content.hpf" in names else ""
     manifest = z.read("META-INF/manifest.xml").decode("utf-8", "replace") if "META-INF/manifest.xml" in names else ""
     for e in every(section, "img"):

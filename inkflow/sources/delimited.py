@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from decimal import Decimal
 from typing import Any
 
 from .ir import Block, Document, ParseError, cell, clean
@@ -94,30 +95,25 @@ def parse_csv(text: str) -> Document:
 
 
 def number_text(x: float | int) -> str:
-    """A number as a script engine prints it: no trailing .0, exponents from 1e21 and below 1e-6."""
-    if isinstance(x, int) and abs(x) < 10**21:
-        return str(x)
+    """A number as a script engine prints it: the shortest digits that give it back, plain from 1e-6 to below 1e21, else with an exponent."""
     try:
         x = float(x)
     except OverflowError:
         return "Infinity" if x > 0 else "-Infinity"
-    if math.isinf(x) or math.isnan(x):
+    if math.isnan(x) or math.isinf(x):
         return "NaN" if math.isnan(x) else "Infinity" if x > 0 else "-Infinity"
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    mantissa, _, exponent = repr(x).partition("e")
-    if exponent and (int(exponent) >= 21 or int(exponent) < -6):
-        return f"{mantissa.removesuffix('.0')}e{int(exponent):+d}"
-    if 1e-6 <= abs(x) < 1e21:
-        return format(x, "f") if float(format(x, "f")) == x and not exponent else _positional(repr(x))
-    digits, _, power = format(x, "e").partition("e")
-    return f"{digits.rstrip('0').rstrip('.')}e{int(power):+d}" if not exponent else f"{mantissa.removesuffix('.0')}e{int(exponent):+d}"
-
-
-def _positional(text: str) -> str:
-    from decimal import Decimal
-
-    return format(Decimal(text), "f")
+    if not x:
+        return "0"
+    sign, digits, exponent = Decimal(repr(x)).normalize().as_tuple()
+    shown = "".join(map(str, digits))
+    point = len(shown) + exponent  # digits before the point
+    if 0 < point <= 21:
+        out = shown.ljust(point, "0") if len(shown) <= point else f"{shown[:point]}.{shown[point:]}"
+    elif -6 < point <= 0:
+        out = "0." + "0" * -point + shown
+    else:
+        out = shown[0] + ("." + shown[1:] if len(shown) > 1 else "") + f"e{point - 1:+d}"
+    return "-" * sign + out
 
 
 def scalar_text(v: Any) -> str:
@@ -126,8 +122,7 @@ def scalar_text(v: Any) -> str:
     if isinstance(v, bool):
         return "true" if v else "false"
     if isinstance(v, (int, float)):
-        out = number_text(v)
-        return out.rstrip("0").rstrip(".") if "." in out and "e" not in out else out
+        return number_text(v)
     return v
 
 

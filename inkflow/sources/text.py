@@ -19,10 +19,10 @@ def paragraphs(df: DataFrame, key: str, text: Column) -> DataFrame:
 def text_blocks(df: DataFrame, key: str, text: Column) -> DataFrame:
     """key, pos, type, level, text, ordered, items, of all paragraphs, a title among them."""
     p = F.col("text")
-    heading = r"^(#{1,6})\s+([^\n]+)$"
+    heading = r"(?U)^(#{1,6})\s+([^\n]+)$"
     lines = F.filter(F.split(p, "\n", -1), lambda x: trim_space(x) != "")
-    is_list = F.forall(lines, lambda x: x.rlike(r"^\s*(?:[-*+]\s|\d+\.\s)"))
-    is_heading = p.rlike(r"\A#{1,6}\s+[^\n]+\z")
+    is_list = F.forall(lines, lambda x: x.rlike(r"(?U)^\s*(?:[-*+]\s|\d+\.\s)"))
+    is_heading = p.rlike(r"(?U)\A#{1,6}\s+[^\n]+\z")
     kind = F.when(is_heading, "heading").when(is_list, "list").when(p.startswith("```"), "code").otherwise("para")
     body = (
         F.when(is_heading, trim_space(F.regexp_extract(p, heading, 2)))
@@ -30,14 +30,14 @@ def text_blocks(df: DataFrame, key: str, text: Column) -> DataFrame:
         .when(p.startswith("```"), trim_space(F.regexp_replace(p, r"^```[^\n]*\n?|\n?```\s*$", "")))
         .otherwise(p)
     )
-    items = F.when(is_list & ~is_heading, F.transform(lines, lambda x: F.regexp_replace(x, r"^\s*(?:[-*+]|\d+\.)\s+", "")))
+    items = F.when(is_list & ~is_heading, F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s*(?:[-*+]|\d+\.)\s+", "")))
     return paragraphs(df, key, text).select(
         key,
         "pos",
         kind.alias("type"),
         F.when(is_heading, F.length(F.regexp_extract(p, heading, 1))).alias("level"),
         body.alias("text"),
-        F.when(is_list & ~is_heading, F.get(lines, F.lit(0)).rlike(r"^\s*\d")).alias("ordered"),
+        F.when(is_list & ~is_heading, F.get(lines, F.lit(0)).rlike(r"(?U)^\s*\d")).alias("ordered"),
         items.alias("items"),
     )
 
