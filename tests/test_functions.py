@@ -91,3 +91,18 @@ def test_styles(spark):
     rows = [("a", True, None, None, None, None, None), ("b", None, None, None, None, None, "http://x"), ("c", None, None, None, None, "#000000", None), ("d", None, True, None, True, "#ff0000", None)]
     assert values(spark, rows, fv.needs_own_style, run) == [False, True, False, True]
     assert values(spark, rows, fv.style_key, run) == ["1000|#000000|", "0010|#0563C1|", "0000|#000000|", "0101|#FF0000|"]
+
+
+def test_formats(spark):
+    from inkflow.functions import formats
+
+    df = spark.createDataFrame([("DOCX", "source"), ("docx", "balanced"), ("docx", "app"), ("md", "source"), ("odt", "source")], "ext string, policy string")
+    rows = formats.with_format(df).orderBy("ext", "policy").collect()
+    assert [r.styled for r in rows] == [True, True, True, False, False] and rows[-1].advice == formats.OTHER_ADVICE
+    given = {"paragraph_spacing": F.lit("relaxed"), "heading_style": F.lit("prominent"), "table_style": F.lit("report"), "link_style": F.lit("url"), "image_width": F.lit(50)}
+    got = [tuple(r.o) for r in df.select(formats.style_options(F.col("ext"), F.col("policy"), given).alias("o")).collect()]
+    asked = ("relaxed", "prominent", "report", "url", 50)
+    assert got == [("compact", "standard", "standard", "blue", 100), ("relaxed", "standard", "standard", "url", 50), asked, asked, asked]
+    assert values(spark, [85, 65, 1], formats.metric_class, "x int") == ["high", "mid", "low"]
+    day = spark.sql("SELECT date'2026-03-09' AS d").select(formats.date_stamp(F.col("d")).alias("a"), formats.long_date(F.col("d")).alias("b")).first()
+    assert tuple(day) == ("20260309", "2026년 3월 9일")
