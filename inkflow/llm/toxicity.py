@@ -31,7 +31,7 @@ from ._words import _LOWER, BARE, span_hashes, spans
 SAMPLE, MAX_CHARS = 3000, 60_000
 BITS, FEATURES, GRADES = 22, 4096, 4
 #: Likelihood ratio that a feature needs, above what chance gives the best of 2**BITS.
-EVIDENCE = 32
+EVIDENCE = 26
 #: Probability of any toxicity from which on a document is rejected.
 THRESHOLD = 0.35
 PREFIXES = (4, 5, 6, 8)
