@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import formats
 from ..functions import text as ft
 from ..functions import units as fu
 from ..functions import values as fv
-from ..operators import grid, order, relate
+from ..operators import assets, grid, order, relate
 from ..sinks import html as sink_html
 from ..sinks import package as sink_package
-from ..sources import registry
+from ..sources import minimal, registry
 from ..sources import text as source_text
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -560,3 +561,192 @@ def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = grid.padded(F.array("n_name"), F.lit(3))
     return table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", *(row[i].alias(f"c{i}") for i in range(3)))
+
+
+# --- office formats, notebooks and markup, as round trips ---------------------------------------------------------------
+
+
+def _region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_regionkey, lines: the names of its nations in order."""
+    pieces = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(pieces, lambda x: x["n_name"]).alias("lines"))
+
+
+def _region_files(spark: SparkSession, sf_dir: str, ext: str, kind: Callable) -> DataFrame:
+    files = _region_lines(spark, sf_dir).select("n_regionkey", minimal.built(kind, F.col("lines")).alias("data"))
+    return registry.parse(files, "n_regionkey", F.lit(ext), F.col("data"))
+
+
+_NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)"
+
+
+@query(f"WITH {_NUMBERED} SELECT n_regionkey, i - 1 AS pos, ((i - 1) % 2)::BIGINT AS level, CASE WHEN i % 2 = 1 THEN (i + 1) // 2 ELSE 1 END AS marker, n_name AS text FROM n WHERE i > 0")
+def docx_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered paragraphs of word documents as lists."""
+    items = registry.part_table(_region_files(spark, sf_dir, "docx", minimal.docx), "n_regionkey", "items")
+    return items.select("n_regionkey", *(F.col(c).cast("long").alias(c) for c in ("pos", "level", "marker")), "text")
+
+
+@query(f"WITH {_NUMBERED}, s AS (SELECT n_regionkey, count(*) AS k FROM nation GROUP BY 1) SELECT n_regionkey, i AS row, 0::BIGINT AS ord, n_name AS text, 1::BIGINT AS row_span FROM n UNION ALL SELECT n_regionkey, 0, 1, '', k FROM s")
+def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of word documents, with a cell merged down."""
+    cells = registry.part_table(_region_files(spark, sf_dir, "docx", minimal.docx), "n_regionkey", "cells")
+    return cells.select("n_regionkey", *(F.col(c).cast("long").alias(c) for c in ("row", "ord")), "text", F.col("row_span").cast("long").alias("row_span"))
+
+
+@query(f"WITH {_NUMBERED} SELECT n_regionkey, i AS row, j AS ord, CASE j WHEN 0 THEN i::VARCHAR WHEN 1 THEN n_name WHEN 2 THEN '' ELSE length(n_name)::VARCHAR END AS text FROM n, range(0, 4) AS r(j)")
+def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = registry.part_table(_region_files(spark, sf_dir, "xlsx", minimal.xlsx), "n_regionkey", "cells")
+    return cells.select("n_regionkey", F.col("row").cast("long").alias("row"), F.col("ord").cast("long").alias("ord"), "text")
+
+
+@query(f"""
+    WITH {_NUMBERED} SELECT n_regionkey, 3 * i AS pos, '슬라이드 ' || (i + 1) AS text FROM n UNION ALL SELECT n_regionkey, 3 * i + 1, n_name FROM n UNION ALL SELECT n_regionkey, 3 * i + 2, string_agg(w, '+' ORDER BY k)
+    FROM (SELECT n_regionkey, i, unnest(string_split(n_name, ' ')) AS w, generate_subscripts(string_split(n_name, ' '), 1) AS k FROM n) GROUP BY ALL""")
+def pptx_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slides in the order of the presentation: number, title, bullets."""
+    docs = _region_files(spark, sf_dir, "pptx", minimal.pptx)
+    bullets = relate.joined_text(registry.part_table(docs, "n_regionkey", "items").select("n_regionkey", "block_id", "pos", "text"), ["n_regionkey", "block_id"], "pos", "text", "+").withColumnRenamed("text", "bullets")
+    blocks = registry.part_table(docs, "n_regionkey", "blocks").join(bullets, ["n_regionkey", "block_id"], "left")
+    return blocks.select("n_regionkey", F.col("pos").cast("long").alias("pos"), F.coalesce("text", "bullets").alias("text"))
+
+
+@query("""
+    SELECT conv_id, turn * 2 AS pos, 'code' AS type, rtrim(coalesce(text, ''), E' \\t\\n\\r') AS text FROM conversations WHERE trim(coalesce(text, ''), E' \\t\\n\\r') <> ''
+    UNION ALL SELECT conv_id, turn * 2 + 1, 'para', '[출력] ' || role FROM conversations WHERE trim(coalesce(text, ''), E' \\t\\n\\r') <> ''""")
+def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as notebooks of code cells whose output is the role."""
+    said = F.coalesce("text", F.lit(""))
+    output = F.array(F.struct(F.lit("stream").alias("output_type"), F.col("role").alias("text")))
+    cell = F.struct(F.lit("code").alias("cell_type"), said.alias("source"), output.alias("outputs"))
+    shown = table(spark, sf_dir, "conversations").where(ft.trim_space(said) != "")
+    cells = shown.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", cell.alias("cell")))).alias("c"))
+    books = cells.select("conv_id", F.to_json(F.struct(F.transform("c", lambda x: x["cell"]).alias("cells"))).alias("book"), F.transform("c", lambda x: x["turn"]).alias("turns"))
+    docs = registry.parse(books, "conv_id", F.lit("ipynb"), F.col("book")).join(books.select("conv_id", "turns"), "conv_id")
+    blocks = docs.select("conv_id", "turns", F.explode("doc.blocks").alias("b"))
+    turn = F.element_at("turns", F.floor(F.col("b.pos") / 2).cast("int") + 1)
+    return blocks.select("conv_id", (turn * 2 + F.col("b.pos") % 2).alias("pos"), "b.type", "b.text")
+
+
+@query(f"WITH {_NUMBERED} SELECT n_regionkey, i AS pos, (i % 3)::BIGINT AS level, n_name AS text FROM n WHERE i % 3 = 0 UNION ALL SELECT n_regionkey, i, (i % 3)::BIGINT, n_name FROM n WHERE i % 3 > 0")
+def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested lists of web pages: every third item holds the next two, one inside the other."""
+    tag = F.transform("lines", lambda x, i: F.concat(F.lit("<li>"), ft.html_escape(x), F.when((i % 3 < 2) & (i + 1 < F.size("lines")), "<ul>").otherwise(""), F.when((i % 3 == 2) | (i + 1 == F.size("lines")), F.repeat(F.lit("</li></ul>"), (i % 3).cast("int"))).otherwise(""), F.when((i % 3 == 2) | (i + 1 == F.size("lines")), "</li>").otherwise("")))
+    pages = _region_lines(spark, sf_dir).select("n_regionkey", F.concat(F.lit("<ul>"), F.array_join(tag, ""), F.lit("</ul>")).alias("html"))
+    items = registry.part_table(registry.parse(pages, "n_regionkey", F.lit("html"), F.col("html")), "n_regionkey", "items")
+    return items.select("n_regionkey", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "text")
+
+
+@query(f"WITH {_NUMBERED} SELECT n_regionkey, i AS row, 0::BIGINT AS ord, n_name AS text, (i = 0) AS is_header FROM n UNION ALL SELECT n_regionkey, i, 1, 'x & y', (i = 0) FROM n")
+def package_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of web pages, packaged and read back."""
+    row = F.transform("lines", lambda x, i: F.concat(F.lit("<tr><td>"), ft.html_escape(x), F.lit("</td><td>x &amp; y</td></tr>")))
+    pages = _region_lines(spark, sf_dir).select("n_regionkey", F.concat(F.lit("<table>"), F.array_join(row, ""), F.lit("</table>")).alias("html"))
+    packages = pages.select("n_regionkey", sink_package.packaged(registry.parsed(F.lit("html"), F.col("html"))).alias("data"))
+    cells = registry.part_table(registry.parse(packages, "n_regionkey", F.lit("hwpx"), F.col("data")), "n_regionkey", "cells")
+    return cells.select("n_regionkey", F.col("row").cast("long").alias("row"), F.col("ord").cast("long").alias("ord"), "text", "is_header")
+
+
+@query("""
+    SELECT doc_id, lang AS title, source AS tag, 'b' AS twice FROM documents""")
+def frontmatter_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.lit('---\nTitle: "'), "lang", F.lit("\"\ntag: '"), "source", F.lit("'\nTwice: a\ntwice: b\n---\n"), F.coalesce("text", F.lit("")))
+    fields = ft.frontmatter(text)
+    return table(spark, sf_dir, "documents").select("doc_id", *(fields[k].alias(k) for k in ("title", "tag", "twice")))
+
+
+@query("SELECT page_id, regexp_matches(url, '^https?://') AS safe, CASE WHEN page_id % 2 = 0 THEN 'ppt/media/' || page_id ELSE 'ppt/slides/x' || page_id END AS path FROM pages")
+def links_and_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("../media/./"), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("y/../x"), F.col("page_id").cast("string")))
+    return table(spark, sf_dir, "pages").select("page_id", (fv.has_safe_scheme(F.col("url")) & (fv.safe_link(F.col("url")) != "")).alias("safe"), fv.resolve_path(F.lit("ppt/slides"), target).alias("path"))
+
+
+@query("SELECT p_partkey, 'png' AS kind, p_size::BIGINT AS width, (p_partkey % 900 + 1)::BIGINT AS height, 'image/png' AS mime, length(p_name)::BIGINT AS n_bytes FROM part")
+def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes read off image bytes, and bytes of data URLs."""
+    head = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), F.lpad(F.hex("p_size"), 8, "0"), F.lpad(F.hex(F.col("p_partkey") % 900 + 1), 8, "0"))
+    info = fv.raster_info(F.unhex(head))
+    url = fv.data_url(F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("p_name", "UTF-8"))))
+    return table(spark, sf_dir, "part").select("p_partkey", info["kind"].alias("kind"), info["width"].alias("width"), info["height"].alias("height"), url["mime"].alias("mime"), F.length(url["data"]).cast("long").alias("n_bytes"))
+
+
+@query("""
+    SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN '[이미지: ' || n_name || ']' ELSE '[이미지: img/' || n_nationkey || '.png]' END AS fallback FROM nation""")
+def asset_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of Markdown documents: shown where the address holds one, else a paragraph."""
+    k = F.col("n_nationkey") % 3
+    png = "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mNk+M9QDwADhgGAWjR9awAAAABJRU5ErkJggg=="
+    source = F.when(k == 0, png).when(k == 1, "https://x.org/a.png").otherwise(F.concat(F.lit("img/"), F.col("n_nationkey").cast("string"), F.lit(".png")))
+    md = F.concat(F.lit("!["), F.when(k == 1, F.col("n_name")).otherwise(""), F.lit("]("), source, F.lit(")"))
+    docs = registry.parse(table(spark, sf_dir, "nation").select(F.struct("n_regionkey", "n_nationkey").alias("k"), md.alias("md")), "k", F.lit("md"), F.col("md"))
+    shown = assets.resolve(registry.part_table(docs, "k", "assets"), "k")
+    return shown.select("k.n_regionkey", "k.n_nationkey", F.coalesce("fallback", F.lit("")).alias("fallback"))
+
+
+# --- more of order, checks and labels -----------------------------------------------------------------------------------
+
+
+@query("""
+    WITH RECURSIVE d AS (SELECT source, doc_id, n_chars AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id, n_chars) AS i FROM documents),
+    r AS (SELECT source, doc_id, i, s AS used, 0::BIGINT AS page FROM d WHERE i = 1
+          UNION ALL SELECT d.source, d.doc_id, d.i, CASE WHEN r.used = 0 OR r.used + d.s <= 9000 THEN r.used + d.s ELSE d.s END, CASE WHEN r.used = 0 OR r.used + d.s <= 9000 THEN r.page ELSE r.page + 1 END FROM r JOIN d ON d.source = r.source AND d.i = r.i + 1)
+    SELECT source, doc_id, page FROM r""")
+def pages_of_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = order.paginate(table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars"), ["source"], "doc_id", "n_chars", 9000)
+    return out.select("source", "doc_id", F.col("page").cast("long").alias("page"))
+
+
+@query("SELECT user_id, event_id, CASE WHEN event_type = 'view' THEN count(*) FILTER (event_type = 'view') OVER (PARTITION BY user_id ORDER BY event_id) END AS number FROM events")
+def list_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.list_numbers(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["user_id"], "event_id", F.col("event_type") == "view").select("user_id", "event_id", "number")
+
+
+@query("""
+    SELECT doc_id, pos::BIGINT AS pos, text FROM (SELECT doc_id, unnest([1, 2]) AS pos, unnest(['lang ' || lang, 'body']) AS text FROM documents WHERE doc_id % 2 = 1
+    UNION ALL SELECT doc_id, unnest([-1, 0, 1, 2]), unnest(['parsed', 'intro', 'lang ' || lang, 'body']) FROM documents WHERE doc_id % 2 = 0) WHERE doc_id % 2 = 0 OR pos = 2
+    UNION ALL SELECT doc_id, 0, 'intro' FROM documents WHERE doc_id % 2 = 1""")
+def title_in_body(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even documents have an asked title, so the parsed one comes back in front; of odd ones the heading that became the title goes."""
+    d = table(spark, sf_dir, "documents").withColumn("even", F.col("doc_id") % 2 == 0)
+    docs = d.select("doc_id", F.when(F.col("even"), "parsed").otherwise(F.concat(F.lit("lang "), "lang")).alias("title"), F.lit("md").alias("ext"), F.lit("f").alias("file_base"), "even")
+    parts = rows(("type", "text"), ("para", "intro"), ("heading", F.concat(F.lit("lang "), F.col("lang"))), ("para", "body"))
+    blocks = d.select("doc_id", F.posexplode(parts).alias("pos", "b")).select("doc_id", "pos", "b.type", "b.text", F.col("pos").cast("string").alias("block_id"), F.lit(0).alias("depth"), F.lit(1).alias("level"), F.lit(None).cast("array<struct<text:string>>").alias("runs"))
+    titled = order.titles(docs, blocks, "doc_id", F.when(F.col("even"), "asked"), F.lit("document"))
+    return order.body_with_title_policy(blocks, titled, docs, "doc_id").select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+@query("SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY (p_partkey % 97), p_partkey) AS pos FROM part")
+def numeric_suffix_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in the order of the number in their names."""
+    name = F.concat(F.lit("ppt/slides/slide"), (F.col("p_partkey") % 97).cast("string"), F.lit(".xml"))
+    w = Window.partitionBy("p_brand").orderBy(F.regexp_extract(name, r"(\d+)\.xml$", 1).cast("int"), "p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("pos"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d') AS stamp, year(o_orderdate) || '년 ' || month(o_orderdate) || '월 ' || day(o_orderdate) || '일' AS shown FROM orders")
+def date_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", formats.date_stamp(F.col("o_orderdate")).alias("stamp"), formats.long_date(F.col("o_orderdate")).alias("shown"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'docx' WHEN 1 THEN 'md' ELSE 'odt' END AS ext, doc_id % 3 = 0 AS styled, CASE WHEN doc_id % 3 = 0 THEN 'compact' ELSE 'relaxed' END AS paragraph_spacing, CASE WHEN n_chars % 100 >= 85 THEN 'high' WHEN n_chars % 100 >= 65 THEN 'mid' ELSE 'low' END AS class FROM documents")
+def format_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ext = F.element_at(F.array(F.lit("docx"), F.lit("md"), F.lit("odt")), (F.col("doc_id") % 3 + 1).cast("int"))
+    given = {"paragraph_spacing": F.lit("relaxed"), "heading_style": F.lit("standard"), "table_style": F.lit("plain"), "link_style": F.lit("url"), "image_width": F.lit(50)}
+    d = formats.with_format(table(spark, sf_dir, "documents").select("doc_id", "n_chars", ext.alias("ext")))
+    options = formats.style_options(F.col("ext"), F.lit("source"), given)
+    return d.select("doc_id", "ext", "styled", options["paragraph_spacing"].alias("paragraph_spacing"), formats.metric_class(F.col("n_chars") % 100).alias("class"))
+
+
+@query("SELECT conv_id, sum(len(string_split(coalesce(text, ''), chr(10))))::BIGINT AS line_count_before, (sum(len(string_split(coalesce(text, ''), chr(10)))) + count(*))::BIGINT AS line_count_after FROM conversations GROUP BY conv_id HAVING conv_id % 2 = 0")
+def audit_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code audits before and after a step that adds a line to every block of half the documents."""
+    code = table(spark, sf_dir, "conversations").select("conv_id", F.lit("code").alias("type"), F.coalesce("text", F.lit("")).alias("text"))
+    after = code.withColumn("text", F.when(F.col("conv_id") % 2 == 0, F.concat("text", F.lit("\n"))).otherwise(F.col("text")))
+    return relate.audit_mismatches(relate.code_audit(code, "conv_id"), relate.code_audit(after, "conv_id"), "conv_id").select("conv_id", "line_count_before", "line_count_after")
+
+
+@query("SELECT n_regionkey, CASE WHEN n_regionkey % 2 = 0 THEN 'mimetype' ELSE '' END AS missing FROM (SELECT DISTINCT n_regionkey FROM nation)")
+def required_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required entries that an archive lacks."""
+    has = F.when(F.col("n_regionkey") % 2 == 0, F.array_remove(F.array(*map(F.lit, sink_package.REQUIRED)), "mimetype")).otherwise(F.array(*map(F.lit, sink_package.REQUIRED)))
+    return table(spark, sf_dir, "nation").select("n_regionkey").distinct().select("n_regionkey", F.array_join(F.array_except(F.array(*map(F.lit, sink_package.REQUIRED)), has), ",").alias("missing"))
