@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, save, sha256_text
+from ._shared import drop, join_groups, save, sha256_text
 
 #: Entries of a bucket before it is split.
 CAPACITY = 1 << 16
@@ -100,27 +100,28 @@ def exact_groups(docs: DataFrame, key_bits: int = 64, capacity: int = CAPACITY,
     bucketed = with_bucket(entries, depth, leaves)
     index = save(bucketed.repartition(len(leaves), "bucket"), "dedup-index", ["bucket"])
     shared = index.where("n > 1").select("key", "n", "head")
-    other = _chain(source, rows, shared, chain_rows)
+    total = rows.count()
+    other = _chain(source, rows, shared, chain_rows, total)
     if other is None:
         linked, groups = rows.withColumn("link", F.lit(0)), index.select("key", F.lit(0).alias("link"), "n", "head")
     else:
         linked = rows.alias("r").join(other.alias("o"), _same("r", "o"), "left").select("r.doc_id", "r.key", "r.sha", F.coalesce("o.link", F.lit(0)).alias("link"))
         groups = linked.groupBy("key", "link").agg(*entry)
     drop(docs.sparkSession, entries)
-    return linked.join(groups, ["key", "link"]).select("doc_id", F.col("sha").alias("text_sha256"), F.col("head").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("head")).alias("kept"))
+    return join_groups(linked, groups, ["key", "link"], "n", total).select("doc_id", F.col("sha").alias("text_sha256"), F.col("head").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("head")).alias("kept"))
 
 
 def _same(a: str, b: str) -> Column:
     return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.sha") == F.col(f"{b}.sha"))
 
 
-def _chain(source: DataFrame, rows: DataFrame, shared: DataFrame, chain_rows: int) -> DataFrame | None:
+def _chain(source: DataFrame, rows: DataFrame, shared: DataFrame, chain_rows: int, total: int) -> DataFrame | None:
     """The rows that differ from their entry's head, with the link (1 and up) that holds their equals; None if there are none."""
     links: list[DataFrame] = []
     members = rows
     while True:
         dealt = shared.withColumn("deals", F.ceil(F.col("n") / chain_rows).cast("int"))
-        own = members.join(dealt, "key").select("doc_id", "key", "head", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("deals")).cast("int").alias("deal"), "deals").distinct()
+        own = join_groups(members, dealt, ["key"], "n", total).select("doc_id", "key", "head", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("deals")).cast("int").alias("deal"), "deals").distinct()
         # the text meets its row by doc_id, which no group skews
         s, o = source.alias("s"), own.hint("shuffle_hash").alias("o")
         full = s.join(o, F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.key") == F.col("o.key"))).select("s.doc_id", "s.key", "s.text", "o.deal", "o.deals", F.col("s.doc_id").eqNullSafe(F.col("o.head")).alias("is_head"))
