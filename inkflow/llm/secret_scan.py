@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import save, sha256_text
+from ._shared import join_groups, save, sha256_text
 
 
 @dataclass(frozen=True)
@@ -148,7 +148,8 @@ def scan_documents(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
     found = found.select("sha", *(f"n_{k}" for k in base), joined(F.filter("all", lambda s: s["kind"].isin(base))).alias("base"), joined(F.col("all")).alias("spans"))
-    return rows.join(found, "sha", "left").select(
+    blobs = save(rows.groupBy("sha").agg(F.count(F.lit(1)).alias("n_rows")).join(found, "sha", "left"), "secret-blobs")
+    return join_groups(rows, blobs, ["sha"], "n_rows", rows.count()).select(
         "doc_id",
         *(F.coalesce(f"n_{k}", F.lit(0)).cast("long").alias(f"n_{k}") for k in base),
         F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"),
