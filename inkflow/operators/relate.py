@@ -50,10 +50,24 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("only_in", F.lit("a")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("b")))
 
 
+KINDS = {"n_heading": ("heading",), "n_para": ("para",), "n_list": ("list",), "n_table": ("table",), "n_code": ("code",), "n_quote": ("quote",), "n_image": ("image", "image-source"), "n_blank": ("blank",)}
+
+
+def summary_of(parsed: DataFrame, key: str) -> DataFrame:
+    """summary() of parsed structs (column doc), row by row."""
+    doc = F.col("doc")
+
+    def count(names: tuple[str, ...]) -> Column:
+        return F.size(F.filter(doc["blocks"], lambda b: (b["depth"] == 0) & b["type"].isin(*names))).cast("long")
+
+    titled = F.when(F.coalesce(doc["title"], F.lit("")) != "", 1).otherwise(0)
+    return parsed.select(key, doc["title"].alias("title"), titled.alias("n_title"), *(count(names).alias(n) for n, names in KINDS.items()))
+
+
 def summary(blocks: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     """Counts of top-level blocks by kind, and whether there is a title."""
     top = F.col("depth") == 0
-    kinds = {"n_heading": F.col("type") == "heading", "n_para": F.col("type") == "para", "n_list": F.col("type") == "list", "n_table": F.col("type") == "table", "n_code": F.col("type") == "code", "n_quote": F.col("type") == "quote", "n_image": F.col("type").isin("image", "image-source"), "n_blank": F.col("type") == "blank"}
+    kinds = {n: F.col("type").isin(*names) for n, names in KINDS.items()}
     counts = blocks.groupBy(key).agg(*(F.count_if(top & test).alias(name) for name, test in kinds.items()))
     titled = docs.select(key, "title", F.when(F.coalesce("title", F.lit("")) != "", 1).otherwise(0).alias("n_title"))
     return titled.join(counts, key, "left").select(key, "title", "n_title", *(F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in kinds))

@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table whose few row groups would leave cores idle while each row is costly, over all cores; larger tables as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def rows(names: tuple[str, ...], *values: tuple) -> Column:
     """An array of structs."""
     return F.array(*(F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in zip(names, x))) for x in values))
@@ -226,7 +232,7 @@ def title_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return registry.parse(table(spark, sf_dir, "pages"), "page_id", F.lit("html"), F.col("html"))
+    return registry.parse(spread(table(spark, sf_dir, "pages")), "page_id", F.lit("html"), F.col("html"))
 
 
 @query("""
@@ -244,23 +250,21 @@ def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: web pages to blocks to one row of counts a page."""
-    pages = parsed_pages(spark, sf_dir)
-    return relate.summary(registry.part_table(pages, "page_id", "blocks"), registry.docs_table(pages, "page_id"), "page_id")
+    return relate.summary_of(parsed_pages(spark, sf_dir), "page_id")
 
 
 @query("SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS n_h1, len(regexp_extract_all(html, '<b>')) > 0 AS has_bold FROM pages")
 def page_heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = parsed_pages(spark, sf_dir)
-    blocks = registry.part_table(pages, "page_id", "blocks")
-    bold = F.exists(F.coalesce("runs", F.array().cast(blocks.schema["runs"].dataType)), lambda r: r["bold"])
-    counts = blocks.groupBy("page_id").agg(F.count_if((F.col("type") == "heading") & (F.col("level") == 1)).alias("n_h1"), F.bool_or(bold).alias("has_bold"))
-    return registry.docs_table(pages, "page_id").select("page_id").join(counts, "page_id", "left").select("page_id", F.coalesce("n_h1", F.lit(0)).alias("n_h1"), F.coalesce("has_bold", F.lit(False)).alias("has_bold"))
+    blocks = F.col("doc.blocks")
+    n_h1 = F.size(F.filter(blocks, lambda b: (b["type"] == "heading") & (b["level"] == 1))).cast("long")
+    bold = F.exists(blocks, lambda b: F.coalesce(F.exists(b["runs"], lambda r: r["bold"]), F.lit(False)))
+    return parsed_pages(spark, sf_dir).select("page_id", n_h1.alias("n_h1"), bold.alias("has_bold"))
 
 
 @query()
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages rendered again from their blocks."""
-    pages = parsed_pages(spark, sf_dir)
+    """Pages rendered again from their blocks; four tables read what is parsed once."""
+    pages = parsed_pages(spark, sf_dir).persist()
     blocks, items, cells = (registry.part_table(pages, "page_id", x) for x in ("blocks", "items", "cells"))
     body = sink_html.blocks_html(blocks, items, cells, "page_id")
     return sink_html.standalone(registry.docs_table(pages, "page_id").select("page_id", "title").join(body, "page_id", "left"), "page_id")
@@ -322,7 +326,7 @@ def json_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
 def json_kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON objects as key/value tables."""
-    docs = registry.parse(table(spark, sf_dir, "events"), "event_id", F.lit("json"), F.col("props"))
+    docs = registry.parse(spread(table(spark, sf_dir, "events").select("event_id", "props")), "event_id", F.lit("json"), F.col("props"))
     cells = registry.part_table(docs, "event_id", "cells").where("row > 0")
     rows = cells.groupBy("event_id", "row").agg(F.max(F.when(F.col("ord") == 0, F.col("text"))).alias("key"), F.max(F.when(F.col("ord") == 1, F.col("text"))).alias("value"))
     return rows.select("event_id", "key", "value")
@@ -341,7 +345,7 @@ def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents wrapped as Markdown: a title, a paragraph, a list, and code."""
     body = F.concat(F.lit("# source "), "source", F.lit("\n\nplain **bold** words\n\n- one\n- two\n\n```\n"), F.coalesce("text", F.lit("")), F.lit("\n```\n"))
-    docs = registry.parse(table(spark, sf_dir, "documents").select("doc_id", body.alias("md")), "doc_id", F.lit("md"), F.col("md"))
+    docs = registry.parse(spread(table(spark, sf_dir, "documents")).select("doc_id", body.alias("md")), "doc_id", F.lit("md"), F.col("md"))
     return docs.select("doc_id", "doc.status", "doc.title", F.size("doc.blocks").alias("n_blocks"), F.size("doc.items").alias("n_items"))
 
 

@@ -9,12 +9,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
 from typing import Any
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -281,28 +280,13 @@ class Writer:
         return out.getvalue()
 
 
-def _plain(x: Any) -> Any:
-    """Structs and arrays as they come from Spark, as dicts and lists; whole numbers that nulls among them made floats become whole again."""
-    if hasattr(x, "asDict"):
-        return {k: _plain(v) for k, v in x.asDict().items()}
-    if isinstance(x, dict):
-        return {k: _plain(v) for k, v in x.items()}
-    if isinstance(x, (list, tuple)) or type(x).__name__ == "ndarray":
-        return [_plain(v) for v in x]
-    if isinstance(x, float):
-        return None if x != x else int(x)
-    return x
-
-
 def packaged(doc: Column, paper: str = "A4", landscape: bool = False, mm: dict[str, float] | None = None) -> Column:
     """The package of a parsed struct, as bytes; null for a document that wasn't parsed."""
 
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for batch in batches:
-            rows = [_plain(r) for r in batch.to_dict("records")]
-            yield pd.Series([Writer(r, paper, landscape, mm).build() if r["status"] == "done" else None for r in rows], dtype=object)
+    def build(docs: pa.Array) -> pa.Array:
+        return pa.array([Writer(d, paper, landscape, mm).build() if d and d["status"] == "done" else None for d in docs.to_pylist()], pa.binary())
 
-    return F.pandas_udf(build, "binary")(doc)
+    return F.arrow_udf(build, "binary")(doc)
 
 
 def problems(data: bytes | None, mm: dict[str, float] | None = None) -> list[str]:
@@ -380,12 +364,11 @@ def problems(data: bytes | None, mm: dict[str, float] | None = None) -> list[str
 def validated(data: Column, mm: dict[str, float] | None = None) -> Column:
     """struct<pass: boolean, issues: array<string>> of packages."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            issues = [problems(d, mm) for d in batch]
-            yield pd.DataFrame({"pass": [not i for i in issues], "issues": issues})
+    def run(packages: pa.Array) -> pa.Array:
+        issues = [problems(d, mm) for d in packages.to_pylist()]
+        return pa.array([{"pass": not i, "issues": i} for i in issues], pa.struct([("pass", pa.bool_()), ("issues", pa.list_(pa.string()))]))
 
-    return F.pandas_udf(run, "`pass` boolean, issues array<string>")(data)
+    return F.arrow_udf(run, "`pass` boolean, issues array<string>")(data)
 
 
 def archive(df: DataFrame, name: str, data: str, path: str) -> None:

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from ..functions.text import extension_or_empty
 from .delimited import parse_csv, parse_json, scalar_text
@@ -148,12 +150,12 @@ def parse_one(ext: str | None, data: bytes | str | None) -> dict:
 def parsed(ext: Column, data: Column) -> Column:
     """The struct of ir.PARSED for a file's extension and its bytes, or text in place of bytes."""
 
-    def parse(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for exts, contents in batches:
-            rows = [parse_one(e, d) for e, d in zip(exts, contents)]
-            yield pd.DataFrame(rows, columns=["title", "doc_type", "header", "footer", "status", "error", "blocks", "items", "cells", "assets"])
+    kind = to_arrow_type(_parse_datatype_string(PARSED))
 
-    return F.pandas_udf(parse, PARSED)(ext, data)
+    def parse(exts: pa.Array, contents: pa.Array) -> pa.Array:
+        return pa.array([parse_one(e, d) for e, d in zip(exts.to_pylist(), contents.to_pylist())], kind)
+
+    return F.arrow_udf(parse, PARSED)(ext, data)
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
