@@ -37,7 +37,7 @@ MAGIC = b"PFORID01"
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = BLOCK * 4096
-MANIFEST = "path string, first_id long, n_docs long, n_ids long"
+MANIFEST = "path string, first_id long, last_id long, n_docs long, n_ids long"
 
 
 def pack_segment(ids: np.ndarray) -> bytes:
@@ -203,7 +203,7 @@ def _open(path: str):
 
 
 def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None, files: int | None = None) -> DataFrame:
-    """Writes the files and returns the manifest (path, first_id, n_docs, n_ids, start: the ids in files before)."""
+    """Writes the files and returns the manifest (path, first_id, last_id, n_docs, n_ids, start: the ids in files before)."""
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "token-ids")
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -225,11 +225,13 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | N
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_id": writer.doc_ids[0], "n_docs": len(writer.doc_ids), "n_ids": sum(writer.lengths)}], pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"path": f"{folder}/{name}", "first_id": writer.doc_ids[0], "last_id": writer.doc_ids[-1], "n_docs": len(writer.doc_ids), "n_ids": sum(writer.lengths)}], pa.schema([("path", pa.string()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-    ranged = texts(docs).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    # rows of one doc_id, or of none, may go to several files
+    tied = texts(docs).withColumn("tie", F.xxhash64("text"))
+    ranged = tied.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id").select("doc_id", "text")
     manifest = save(ranged.mapInArrow(write, MANIFEST), "token-manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), F.col("last_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 

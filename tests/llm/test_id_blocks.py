@@ -63,3 +63,10 @@ def test_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "doc_id long, text string")
     assert sorted(r.start for r in read_digests(spark, write_ids(docs, PATH)).collect()) == [0, 2, 4]
     assert read_digests(spark, write_ids(docs.limit(0), PATH)).collect() == []
+    # many rows of one doc_id and of none, over several files
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i}") for i in range(600)]
+    manifest = write_ids(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), PATH, files=9)
+    assert manifest.where("first_id is null").count() > 1 and manifest.where("first_id = 7").count() > 1
+    got = sorted(read_digests(spark, manifest).collect(), key=lambda r: r.start)
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == sorted((d is not None, d or 0) for d, _ in rows)
+    assert [r.start for r in got] == [sum(x.n_tokens for x in got[:i]) for i in range(600)]
