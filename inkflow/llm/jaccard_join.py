@@ -295,10 +295,20 @@ def _texts_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> Dat
             keep = [i for i, (name, node) in enumerate(zip(own, batch.column("node").to_pylist())) if name == node]
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.binary()), batch.column("text").take(pa.array(keep, pa.int64()))], ["node", "text"])
 
-    t, h = texts(docs).alias("t"), heads.hint("shuffle_hash").alias("h")
-    full = t.join(h, F.col("t.doc_id").eqNullSafe(F.col("h.doc_id"))).select("h.node", "t.text")
+    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [digest(s) if len(s) else None for s in sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column("text")], ["node", "text"])
+
+    full = texts(docs).join(heads.hint("shuffle_hash"), "doc_id").select("node", "text")
     # rows that repeat a doc_id with another text drop out by their digest, and with the same text by their node
-    full = save(full.mapInArrow(named, "node binary, text string"), "jaccard-texts")
+    full = full.mapInArrow(named, "node binary, text string")
+    nameless = heads.where("doc_id is null")
+    if not nameless.isEmpty():
+        # classes of rows without a doc_id are found by their sets
+        there = texts(docs).where("doc_id is null").select("text").mapInArrow(with_node, "node binary, text string")
+        full = full.unionByName(there.join(nameless.select("node"), "node", "left_semi"))
+    full = save(full, "jaccard-texts")
     if full.count() > heads.count():
         full = save(full.dropDuplicates(["node"]), "jaccard-texts")
     drop(docs.sparkSession, heads)
@@ -393,4 +403,5 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     """docs, all columns, with one document of each group of similar ones: that with the smallest doc_id. Rows with a null doc_id stay."""
     groups = similar_groups(docs, **options)
     copies = save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-copies")
-    return docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    named = docs.where("doc_id is not null").join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))

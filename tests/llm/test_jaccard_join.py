@@ -61,7 +61,7 @@ def corpus(rng, n, vocabulary=3000):
 def test_against_all_pairs(spark, block, search_block):
     rng = random.Random(block)
     rows = corpus(rng, 260)
-    rows += [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "One Two three"), (1004, "one two THREE"), (1005, "one two three four"), (0, rows[0][1]), (7, "another text for a doc_id that is there already"), (None, rows[5][1]), (None, "one two three"), (1006, "A B ÄÖ"), (1007, "a b ÄÖ"), (1008, "long words here " * 9000), (1009, "long words here " * 8999)]
+    rows += [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "One Two three"), (1004, "one two THREE"), (1005, "one two three four"), (0, rows[0][1]), (7, "another text for a doc_id that is there already"), (None, rows[5][1]), (None, "one two three"), (None, "only rows without an id say these very words here"), (None, "Only rows without an id say these very words here"), (None, "only rows without an id say these very words here " + "and more " * 40), (None, "only rows without an id say these very words here " + "and more " * 41), (1006, "A B ÄÖ"), (1007, "a b ÄÖ"), (1008, "long words here " * 9000), (1009, "long words here " * 8999)]
     docs = spark.createDataFrame([(d, t, b"x", 1) for d, t in rows], "doc_id long, text string, node binary, n int").repartition(4)
     got = similar_groups(docs, block=block, search_block=search_block).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(rows)
