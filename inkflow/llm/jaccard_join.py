@@ -331,7 +331,7 @@ def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_bl
 
         for batch in batches:
             for own, a, block, b in zip(sets(batch.column("text"), k), batch.column("a").to_pylist(), batch.column("block").to_pylist(), batch.column("b").to_pylist()):
-                if (a, block) != last:
+                if b is None:  # the query comes first
                     if last is not None:
                         yield done()
                     last, query, names, held = (a, block), own, [], []

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import bpe_chunks, byte_cnn, decontaminate, exact_dedup, id_blocks, jaccard_join, license_scan, secret_scan, token_count, toxicity
 from ._shared import shared_path
