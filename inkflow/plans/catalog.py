@@ -360,11 +360,15 @@ def list_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.grouped_runs(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type")
 
 
-@query()
+@query("""
+    WITH t AS (SELECT user_id, event_id, ((floor(value)::INT % 3 + 3) % 3) AS level, ((floor(value)::INT % 5 + 5) % 5) <> 0 AS ordered, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    e AS (SELECT a.user_id, a.n, coalesce(max(b.n), 0) AS e FROM t a LEFT JOIN t b ON b.user_id = a.user_id AND b.n <= a.n AND ((b.ordered AND b.level < a.level) OR (NOT b.ordered AND b.level = a.level)) GROUP BY ALL),
+    c AS (SELECT a.user_id, a.n, count(b.n) AS k FROM t a JOIN e ON e.user_id = a.user_id AND e.n = a.n LEFT JOIN t b ON b.user_id = a.user_id AND b.n <= a.n AND b.n > e.e AND b.ordered AND b.level = a.level GROUP BY ALL)
+    SELECT t.user_id, t.event_id, t.level, t.ordered, CASE WHEN t.ordered THEN c.k END AS marker FROM t JOIN c ON c.user_id = t.user_id AND c.n = t.n""")
 def level_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(F.col("value")).cast("int").alias("v"))
     items = e.select("user_id", "event_id", F.pmod("v", F.lit(3)).alias("level"), (F.pmod("v", F.lit(5)) != 0).alias("ordered"))
-    return order.level_markers(items, ["user_id"], "event_id")
+    return order.level_markers(items, ["user_id"], "event_id").withColumn("marker", F.col("marker").cast("long"))
 
 
 _SPACED = "SELECT user_id, event_id, CASE WHEN event_id % 7 IN (2, 3) THEN 'blank' WHEN event_id % 7 = 4 THEN 'hr' ELSE 'para' END AS type FROM events"
