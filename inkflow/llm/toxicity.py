@@ -28,7 +28,7 @@ from ._shared import small_batches, text_slices, texts
 from ._words import _LOWER, BARE, span_hashes, spans
 
 #: Labelled rows of either class that the model is fitted on, and the longest text among them.
-SAMPLE, MAX_CHARS = 3000, 60_000
+SAMPLE, MAX_CHARS = 3000, 20_000
 BITS, FEATURES, GRADES = 22, 4096, 4
 #: Likelihood ratio that a feature needs, above what chance gives the best of 2**BITS.
 EVIDENCE = 26
