@@ -506,10 +506,11 @@ AUDIT = {"MD": 9.2, "HTML": 8.6, "TXT": 9.3, "CSV": 9.0, "XLSX": 7.4, "JSON": 8.
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in QUALITY.items()], "format string, conversion double, success double")
     a = spark.createDataFrame([(k.lower(), v) for k, v in AUDIT.items()], "format string, audit double")
-    mean = a.where("format <> 'hwp'").agg(F.round(F.avg("audit"), 6).alias("audit_mean"))
+    scores = [v for k, v in AUDIT.items() if k != "HWP"]
+    mean = F.aggregate(F.array(*map(F.lit, scores)), F.lit(0.0), lambda x, y: x + y) / len(scores)
     scored = q.select("format", F.round(relate.weighted_score(q, {"conversion": 0.6, "success": 0.4}), 6).alias("score"))
     out = relate.look_up(scored, a, ["format"], "audit", F.lit(0.0), "audit")
-    return out.join(F.broadcast(mean), F.lit(True)).select("format", "score", F.round("audit", 6).alias("audit"), "audit_mean")
+    return out.select("format", "score", F.round("audit", 6).alias("audit"), F.round(mean, 6).alias("audit_mean"))
 
 
 # --- grids --------------------------------------------------------------------------------------------------------------
