@@ -6,8 +6,14 @@ gathers more than one document, and those that only look at neighbours stream ov
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions.text import block_text, is_generic_title, title_candidate
@@ -144,22 +150,38 @@ def logical_columns(df: DataFrame, keys: list[str], order: str, span: str = "col
     return df.withColumn("col", F.coalesce(F.sum(span).over(w), F.lit(0)))
 
 
-def greedy_quota(df: DataFrame, keys: list[str], order: str, size: str, each: int, total: int) -> DataFrame:
-    """Adds accepted: rows are taken in order while they fit; one that doesn't uses up nothing.
+def _folded(df: DataFrame, keys: list[str], order: list[str], size: str, name: str, kind: str, step: Callable[[Any, int | None], tuple[Any, Any]], start: Any) -> DataFrame:
+    """Adds a column that depends on all rows of a key before: a state goes from row to row, as they stream by in order.
 
-    The running total depends on every decision before, so a key's sizes are folded as one array of numbers; the rows themselves stay where they are.
+    A key's rows pass through one task, since each needs the state of the last, but none is held.
     """
-    sizes = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("_all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<boolean>").alias("taken"))
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
+    out_type = to_arrow_type(T._parse_datatype_string(kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = object(), start
+        for batch in batches:
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            made = []
+            for key, x in zip(own, batch.column(size).to_pylist()):
+                if key != last:
+                    last, state = key, start
+                state, value = step(state, x)
+                made.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, out_type)], [*batch.schema.names, name])
+
+    dealt = df.repartition(*keys) if keys else df.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, *order, size).mapInArrow(run, schema)
+
+
+def greedy_quota(df: DataFrame, keys: list[str], order: str, size: str, each: int, total: int) -> DataFrame:
+    """Adds accepted: rows are taken in order while they fit; one that doesn't, or that has no size, uses up nothing."""
 
-    def step(state: Column, x: Column) -> Column:
-        fits = F.coalesce((x["s"] <= each) & (state["used"] + x["s"] <= total), F.lit(False))
-        return F.struct((state["used"] + F.when(fits, x["s"]).otherwise(0)).alias("used"), F.array_append(state["taken"], fits).alias("taken"))
+    def step(used: int, x: int | None) -> tuple[int, bool]:
+        fits = x is not None and x <= each and used + x <= total
+        return used + (x if fits else 0), fits
 
-    folded = sizes.select(*keys, F.aggregate("_all", start, step)["taken"].alias("taken"))
-    flags = folded.select(*keys, F.posexplode("taken").alias("_i", "accepted"))
-    numbered = df.withColumn("_i", F.row_number().over(_within(keys, [order, size])) - 1)
-    return numbered.join(flags, [*keys, "_i"]).drop("_i")
+    return _folded(df, keys, [order], size, "accepted", "boolean", step, 0)
 
 
 def unique_names(df: DataFrame, keys: list[str], order: list[str], name: str = "name") -> DataFrame:
@@ -178,14 +200,13 @@ def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFra
 
 
 def paginate(df: DataFrame, keys: list[str], order: str, height: str, page: int) -> DataFrame:
-    """Adds page: rows fill pages of a height greedily; a row taller than a page has one to itself. Heights are folded as greedy_quota's sizes."""
-    sizes = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(height).cast("long").alias("s")))).alias("_all"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("page"), F.array().cast("array<int>").alias("pages"))
+    """Adds page: rows fill pages of a height greedily; a row taller than a page has one to itself."""
 
-    def step(state: Column, x: Column) -> Column:
-        fits = (state["used"] == 0) | (state["used"] + x["s"] <= page)
-        now = state["page"] + F.when(fits, 0).otherwise(1)
-        return F.struct(F.when(fits, state["used"] + x["s"]).otherwise(x["s"]).alias("used"), now.alias("page"), F.array_append(state["pages"], now).alias("pages"))
+    def step(state: tuple[int, int], x: int | None) -> tuple[tuple[int, int], int]:
+        used, n = state
+        x = x or 0
+        if used and used + x > page:
+            used, n = 0, n + 1
+        return (used + x, n), n
 
-    folded = sizes.select(*keys, F.posexplode(F.aggregate("_all", start, step)["pages"]).alias("_i", "page"))
-    return df.withColumn("_i", F.row_number().over(_within(keys, [order, height])) - 1).join(folded, [*keys, "_i"]).drop("_i")
+    return _folded(df, keys, [order], height, "page", "int", step, (0, 0))
