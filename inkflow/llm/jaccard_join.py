@@ -7,8 +7,8 @@
    among the first n - ceil(t n) + 1 of each (prefix filter), so only these are posted to the inverted index. A list
    that the sketch says may be long is dealt over several tasks.
 3. On each list a few members are queries for all others: stars, not all pairs. T-occurrence search decides which
-   reach the overlap, and links make components. TURNS turns, each with other queries, and only on lists that still hold
-   several components and for pairs across these.
+   reach the overlap, and links make components. While many pairs across components are left, there is another turn, with other
+   queries, only on lists that still hold several components and for pairs across these.
 4. Lists that then still hold several components give every pair across components that the size and position
    filters leave, in blocks of bounded size; the same search decides, and the components are joined.
 
@@ -43,15 +43,15 @@ from ._components import components
 from ._shared import drop, join_groups, save, text_slices, texts
 from ._words import shingles, words
 
-#: The sketch has four counters a document, but no more than 2**MOST_BITS of them, in chunks of CHUNK.
+#: The sketch has sixteen counters a document or more, but no more than 2**MOST_BITS of them, in chunks of CHUNK.
 LEAST_BITS, MOST_BITS, CHUNK = 14, 24, 1 << 12
 #: Counts are kept as STEPS times their logarithm to base 2, one byte each.
 STEPS = 8
 #: Members of a list, or candidates of a query, that one task handles together.
 BLOCK = 4000
 SEARCH_BLOCK = 256
-#: Turns of stars, and queries on a list in each after the first.
-TURNS, QUERIES = 2, 6
+#: Turns of stars at most, and queries on a list in each after the first; another turn needs so many pairs across components for a member.
+TURNS, QUERIES, CROWDED = 3, 6, 20
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -135,7 +135,7 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
     """doc_id, n, node (16 bytes that name the class) of every row; and the sketch, a byte a bucket."""
-    bits = min(MOST_BITS, max(LEAST_BITS, (4 * docs.count()).bit_length()))
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * docs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n", "node", "chunk", "counts"]
@@ -342,7 +342,7 @@ def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_bl
             yield done()
 
     ordered = candidates.unionByName(queries).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return save(ordered.mapInArrow(run, "a binary, b binary"), "jaccard-links")
+    return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -354,7 +354,8 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int =
     lists = save(lists, "jaccard-lists")
     full = _texts_of(lists.select("node").distinct(), docs, rows, k)
     tried = linked = None
-    for turn in range(TURNS):
+    crowded, turn = True, 0
+    while crowded and turn < TURNS:
         pairs = _stars(lists.withColumn("root", F.col("node")) if linked is None else lists, percent, QUERIES if turn else 1, 1 + QUERIES * (turn - 1) if turn else 0)
         pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b")
         if tried is not None:
@@ -362,9 +363,9 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int =
         pairs = save(pairs, "jaccard-pairs")
         tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
         linked = _joined(linked, _verified(pairs.select("a", "b"), full, k, percent, search_block))
-        lists = _still_open(lists, linked)
-    open_lists = lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    still = lists.join(open_lists, "token").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        lists, crowded = _still_open(lists, linked)
+        turn += 1
+    still = lists.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     across = _across(still, percent, block).join(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
     across = save(across, "jaccard-pairs")
     linked = _joined(linked, _verified(across, full, k, percent, search_block))
@@ -376,15 +377,19 @@ def _joined(linked: DataFrame | None, links: DataFrame) -> DataFrame:
     """The components (node, root) of earlier ones and new links."""
     if linked is not None:
         links = linked.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(links)
-    return save(components(links), "jaccard-classes")
+    return components(links)
 
 
-def _still_open(lists: DataFrame, linked: DataFrame) -> DataFrame:
-    """The lists that hold several components, with each member's root."""
-    rooted = lists.drop("root").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def _still_open(lists: DataFrame, linked: DataFrame) -> tuple[DataFrame, bool]:
+    """The lists that hold several components, with each member's root and the number of members; and whether they hold so many pairs
+    across components that another turn of stars is worth it."""
+    rooted = lists.select("token", "deal", "size", "place", "node").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = save(rooted, "jaccard-rooted")
-    several = rooted.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    return rooted.join(several, "token", "left_semi")
+    by_root = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
+    several = by_root.groupBy("token").agg(F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")).where("across > 0")
+    several = save(several, "jaccard-open")
+    members, across = several.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("across"), F.lit(0.0))).first()
+    return rooted.join(several.select("token", "members"), "token"), across > CROWDED * members
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK) -> DataFrame:
