@@ -1,10 +1,10 @@
 """License scans by conditional compression.
 
 A line of a text that has a license word, with the lines around it as far as a template is long, is a candidate block. It is
-compressed with zstandard by itself and with each template as a raw dictionary; the template that takes most off its size
-is the winner. Compression finds the template; words confirm it: the template must stand in the block but for at most TOLERANCE of its
-words (at least none), and words that tell licenses apart (names, numbers, versions) must all be there. A confirmed stretch is cut
-out and what is left is ranked again, so a block may hold several licenses.
+compressed with zstandard by itself and with each template as a raw dictionary, which ranks the templates by what they take off its
+size. The words of each are then compared, whatever its rank, since a long block hides a short notice from the compressor: the template
+must stand in the block but for at most TOLERANCE of its words (at least none), and words that tell licenses apart (names, numbers,
+versions) must all be there. A confirmed stretch is cut out and what is left is ranked again, so a block may hold several licenses.
 
 Rows are independent, so there is no shuffle; texts without a license word never leave the JVM.
 
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from ._shared import texts
 
 LEVEL = 3
-#: Share of a block's size that a template must take off to be looked at word by word.
-LEAST_GAIN = 0.15
 #: Share of a template's words that may be missing or different.
 TOLERANCE = 0.1
 SCHEMA = "doc_id long, license string, n_blocks int, gain double, n_different int, start long, end long"
@@ -63,7 +61,6 @@ class Template:
     name: str
     words: tuple[str, ...]
     telling: frozenset[str]
-    size: int
     compressor: zstandard.ZstdCompressor
 
 
@@ -76,7 +73,7 @@ def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], z
         # what some other template lacks although it shares most words with this one
         telling = {w for other in split.values() if other != split[name] and 2 * len(own & set(other)) >= len(own) for w in own - set(other)}
         words = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append(Template(name, split[name], frozenset(telling), len(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=words)))
+        out.append(Template(name, split[name], frozenset(telling), zstandard.ZstdCompressor(level=LEVEL, dict_data=words)))
     return out, zstandard.ZstdCompressor(level=LEVEL)
 
 
@@ -133,7 +130,7 @@ def licenses(text: str, templates: tuple[tuple[str, str], ...]) -> list[tuple[st
     prepared, plain = _prepared(templates)
     out = []
     for a, b in blocks(text):
-        # each license word by itself first: a long block hides a short notice from the compressor
+        # each license word's line by itself first, so that the gain is that line's
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
@@ -147,8 +144,6 @@ def licenses(text: str, templates: tuple[tuple[str, str], ...]) -> list[tuple[st
                 words = [m.group().lower() for m in spans]
                 confirmed = []
                 for gain, t in ranked(text[lo:hi], prepared, plain):
-                    if gain < min(LEAST_GAIN, 0.5 * t.size / max(1, hi - lo)):
-                        break
                     if got := wording(t, words):
                         confirmed.append((-len(t.words), got[2], t.name, gain, spans[got[0]].start(), spans[got[1] - 1].end()))
                 if confirmed:

@@ -1,8 +1,10 @@
 """License scans against the wording itself."""
 
 import random
+import re
+from pydoc_data.topics import topics
 
-from inkflow.llm.license_scan import TEMPLATES, licenses, ranked, scan_licenses, _prepared
+from inkflow.llm.license_scan import CUE, TEMPLATES, licenses, ranked, scan_licenses, _prepared
 
 FIXED = tuple(TEMPLATES.items())
 
@@ -34,6 +36,18 @@ def test_wording_decides():
     assert [g[0] for g in licenses("All rights reserved. Released under the MIT License.\nLicensed under CC BY 4.0.", FIXED)] == ["all-rights-reserved", "mit", "cc-by-4.0"]
 
 
+def test_short_notices_in_long_lines_of_prose():
+    rng = random.Random(4)
+    prose = [w for w in " ".join(topics[k] for k in sorted(topics)).split() if re.fullmatch("[A-Za-z]+[.,]?", w) and not re.search(CUE, w)]
+    for name in ("all-rights-reserved", "mit", "cc-by-4.0"):
+        for size in (500, 900, 1180):
+            for _ in range(50):
+                at = rng.randrange(len(prose) - size)
+                line = " ".join(prose[at : at + size])[:size]
+                cut = line.find(" ", rng.randrange(size - 100))
+                assert [g[0] for g in licenses(line[:cut] + " " + TEMPLATES[name] + line[cut:], FIXED)] == [name]
+
+
 def test_query_on_odd_rows(spark):
     rng = random.Random(2)
     mit, both = "é " * 50 + TEMPLATES["mit"], TEMPLATES["mit"] + "\nx\n" + TEMPLATES["mit"] + "\n" + TEMPLATES["all-rights-reserved"]
