@@ -3,8 +3,10 @@
 A line of a text that has a license word, with the lines around it as far as a template is long, is a candidate block. It is
 compressed with zstandard by itself and with each template as a raw dictionary, which ranks the templates by what they take off its
 size. The words of each are then compared, whatever its rank, since a long block hides a short notice from the compressor: the template
-must stand in the block but for at most TOLERANCE of its words (at least none), and words that tell licenses apart (names, numbers,
-versions) must all be there. A confirmed stretch is cut out and what is left is ranked again, so a block may hold several licenses.
+must stand in the block but for at most TOLERANCE of its words (at least none), and what tells licenses apart must agree: a stretch
+holds the template's names, numbers and versions in their order and no other ones (so a GNU license that is Lesser, Affero or of
+another version is not taken for its neighbor, and a number put into a notice makes it none), and the words by which the template
+differs from others so like it that a text may be close to both. A confirmed stretch is cut out and what is left is ranked again, so a block may hold several licenses.
 
 Rows are independent, so there is no shuffle; texts without a license word never leave the JVM.
 
@@ -15,7 +17,7 @@ rows each give rows; a null doc_id stays null; an empty table gives an empty res
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import cache
@@ -40,18 +42,33 @@ TEMPLATES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "gpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-2.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
     "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "lgpl-2.1": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "lgpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-2.1-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-2.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version.",
+    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "mit": "Released under the MIT License.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "bsd-3-clause": "Released under the BSD 3-Clause License.",
+    "bsd-2-clause": "Released under the BSD 2-Clause License.",
     "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-CUE = r"(?i)licen[sc]|rights reserved|permission is hereby|redistribut"
+CUE = r"(?i)licen[sc]|rights reserved|permission is hereby|permission to use|redistribut"
 _CUE = re.compile(CUE)
-_WORD = re.compile(r"\w+")
+#: Words; a version is one, and 2.0 is 2.
+_WORD = re.compile(r"\d+(?:\.\d+)*\b|\w+")
+_ZEROS = re.compile(r"(?:\.0+)+$")
+#: Words that name licenses, beside all with a digit; "library" only after "gnu", since any program may be one.
+NAMES = frozenset(
+    "gnu general public lesser affero gpl lgpl agpl gfdl apache mit x11 isc bsd mozilla mpl cc nc nd sa clause eclipse epl cddl boost artistic academic zlib unlicense wtfpl eupl".split()
+)
 #: Characters around a license word that a block takes in at most, on either side.
 REACH = 600
 
@@ -64,16 +81,38 @@ class Template:
     compressor: zstandard.ZstdCompressor
 
 
+def normal(word: str) -> str:
+    """A word as it is compared."""
+    return _ZEROS.sub("", word.lower())
+
+
+def marks(words: Sequence[str]) -> tuple[str, ...]:
+    """The names, numbers and versions among words, in their order."""
+    return tuple(w for i, w in enumerate(words) if w in NAMES or any(c.isdigit() for c in w) or (w == "library" and i and words[i - 1] == "gnu"))
+
+
+def _slack(words: Sequence[str]) -> int:
+    return int(TOLERANCE * len(words))
+
+
+def _telling(words: tuple[str, ...], others: list[tuple[str, ...]]) -> frozenset[str]:
+    """The marks, and what a template of which a text may be as close lacks."""
+    telling = set(marks(words))
+    for other in others:
+        same = sum(m.size for m in SequenceMatcher(None, words, other, autojunk=False).get_matching_blocks())
+        if max(len(words), len(other)) - same <= _slack(words) + _slack(other):
+            telling |= set(words) - set(other)
+    return frozenset(telling)
+
+
 @cache
 def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], zstandard.ZstdCompressor]:
-    split = {name: tuple(w.lower() for w in _WORD.findall(text)) for name, text in templates}
+    split = {name: tuple(normal(w) for w in _WORD.findall(text)) for name, text in templates}
     out = []
     for name, text in templates:
-        own = set(split[name])
-        # what some other template lacks although it shares most words with this one
-        telling = {w for other in split.values() if other != split[name] and 2 * len(own & set(other)) >= len(own) for w in own - set(other)}
+        telling = _telling(split[name], [other for other in split.values() if other != split[name]])
         words = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append(Template(name, split[name], frozenset(telling), zstandard.ZstdCompressor(level=LEVEL, dict_data=words)))
+        out.append(Template(name, split[name], telling, zstandard.ZstdCompressor(level=LEVEL, dict_data=words)))
     return out, zstandard.ZstdCompressor(level=LEVEL)
 
 
@@ -105,7 +144,7 @@ def wording(template: Template, words: list[str]) -> tuple[int, int, int] | None
     """The first and end word of the stretch that holds the template, and how many words differ; None if it isn't there."""
     best = None
     n = len(template.words)
-    slack = int(TOLERANCE * n)
+    slack, own_marks = _slack(template.words), marks(template.words)
     # a telling word must be there; of others, one more than may be missing
     rare = sorted(set(template.words), key=lambda w: (w not in template.telling, -len(w), w))
     anchors = {w: template.words.index(w) for w in rare[: 1 if template.telling else slack + 1]}
@@ -120,7 +159,7 @@ def wording(template: Template, words: list[str]) -> tuple[int, int, int] | None
             continue
         lo, hi = found[0].b, found[-1].b + found[-1].size
         differ = max(n, hi - lo) - sum(m.size for m in found)
-        if differ <= slack and template.telling <= set(own[lo:hi]) and (best is None or differ < best[2]):
+        if differ <= slack and template.telling <= set(own[lo:hi]) and marks(own[lo:hi]) == own_marks and (best is None or differ < best[2]):
             best = (a + lo, a + hi, differ)
     return best
 
@@ -141,7 +180,7 @@ def licenses(text: str, templates: tuple[tuple[str, str], ...]) -> list[tuple[st
             hit = None
             for lo, hi in [*(l for l in lines if _CUE.search(text, *l)), (x, y)]:
                 spans = list(_WORD.finditer(text, lo, hi))
-                words = [m.group().lower() for m in spans]
+                words = [normal(m.group()) for m in spans]
                 confirmed = []
                 for gain, t in ranked(text[lo:hi], prepared, plain):
                     if got := wording(t, words):

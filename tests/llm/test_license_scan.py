@@ -36,6 +36,35 @@ def test_wording_decides():
     assert [g[0] for g in licenses("All rights reserved. Released under the MIT License.\nLicensed under CC BY 4.0.", FIXED)] == ["all-rights-reserved", "mit", "cc-by-4.0"]
 
 
+def test_neighbors_are_not_taken_for_each_other():
+    header = TEMPLATES["gpl-3.0-or-later"]
+    old = header.replace("software:", "software;").replace("Foundation, either", "Foundation; either")
+    lesser = old.replace("program", "library").replace("General", "Lesser General").replace("version 3", "version 2.1")
+    cases = {
+        old.replace("version 3", "version 2"): ["gpl-2.0-or-later"],
+        header.replace("program", "library"): ["gpl-3.0-or-later"],
+        lesser: ["lgpl-2.1-or-later"],
+        lesser.replace("library", "program"): ["lgpl-2.1-or-later"],
+        lesser.replace("2.1", "3"): ["lgpl-3.0-or-later"],
+        lesser.replace("Lesser", "Library").replace("2.1", "2"): ["lgpl-2.0-or-later"],
+        header.replace("General", "Affero General"): ["agpl-3.0-or-later"],
+        header.replace("version 3", "version 4"): [],
+        header.replace("GNU General", "Eclipse"): [],
+        TEMPLATES["gpl-2.0"].replace("General", "Lesser General"): [],
+        TEMPLATES["gpl-2.0"].replace("2.", "2.1."): [],
+        TEMPLATES["gpl-2.0"].replace("2.", "2.0."): ["gpl-2.0"],
+        TEMPLATES["lgpl-3.0"].replace("3.", "2.1."): ["lgpl-2.1"],
+        TEMPLATES["mpl-2.0"].replace("2.0", "2.1"): [],
+        TEMPLATES["mpl-2.0"].replace("Mozilla", "Eclipse"): [],
+        TEMPLATES["bsd-3-clause"].replace("3", "2"): ["bsd-2-clause"],
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": ["isc-text"],
+        TEMPLATES["mit-text"].replace("files, to", 'files (the "Software"), to').replace("sublicense", "sub-license"): ["mit-text"],
+    }
+    for text, want in cases.items():
+        for body in (text, "Some words before. " + text + " And some after.", text.replace(" the ", "\n the ")):
+            assert [g[0] for g in licenses(body, FIXED)] == want, body
+
+
 def test_short_notices_in_long_lines_of_prose():
     rng = random.Random(4)
     prose = [w for w in " ".join(topics[k] for k in sorted(topics)).split() if re.fullmatch("[A-Za-z]+[.,]?", w) and not re.search(CUE, w)]
