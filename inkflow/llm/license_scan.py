@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
-A line of a text that has a license word, with the lines around it as far as a template is long, is a candidate block. It is
-compressed with zstandard by itself and with each template as a raw dictionary, which ranks the templates by what they take off its
+A line of a text that has a cue, with the lines around it as far as the longest template and its tolerance, is a candidate block. Cues
+come from the templates: all words of one that allows no differences, or words of which a stretch that holds the template has at
+least one. A block is compressed with zstandard by itself and with each template as a raw dictionary, which ranks the templates by what they take off its
 size. The words of each are then compared, whatever its rank, since a long block hides a short notice from the compressor: the template
 must stand in the block but for at most TOLERANCE of its words (at least none), and what tells licenses apart must agree: a stretch
 holds the template's names, numbers and versions in their order and no other ones (so a GNU license that is Lesser, Affero or of
 another version is not taken for its neighbor, and a number put into a notice makes it none), and the words by which the template
 differs from others so like it that a text may be close to both. A confirmed stretch is cut out and what is left is ranked again, so a block may hold several licenses.
 
-Rows are independent, so there is no shuffle; texts without a license word never leave the JVM.
+Rows are independent, so there is no shuffle; texts without a cue never leave the JVM.
 
 Defined results: one row for each document and license; none for documents without one, with a null or empty text. Repeated
 rows each give rows; a null doc_id stays null; an empty table gives an empty result. Other columns are not looked at.
@@ -60,8 +61,6 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights-reserved": "All rights reserved.",
 }
-CUE = r"(?i)licen[sc]|rights reserved|permission is hereby|permission to use|redistribut"
-_CUE = re.compile(CUE)
 #: Words; a version is one, and 2.0 is 2.
 _WORD = re.compile(r"\d+(?:\.\d+)*\b|\w+")
 _ZEROS = re.compile(r"(?:\.0+)+$")
@@ -69,7 +68,9 @@ _ZEROS = re.compile(r"(?:\.0+)+$")
 NAMES = frozenset(
     "gnu general public lesser affero gpl lgpl agpl gfdl apache mit x11 isc bsd mozilla mpl cc nc nd sa clause eclipse epl cddl boost artistic academic zlib unlicense wtfpl eupl".split()
 )
-#: Characters around a license word that a block takes in at most, on either side.
+#: Names that are everyday words too, so poor cues.
+EVERYDAY = frozenset("general public clause academic artistic boost".split())
+#: Characters around a cue that a block takes in at most, on either side, unless the longest template needs more.
 REACH = 600
 
 
@@ -116,17 +117,55 @@ def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[list[Template], z
     return out, zstandard.ZstdCompressor(level=LEVEL)
 
 
-def blocks(text: str, reach: int = REACH) -> list[tuple[int, int]]:
-    """Stretches around license words: to the ends of the line, or of the lines around as far as reach."""
+def anchors(template: Template) -> list[str]:
+    """Words of which a stretch that holds the template has at least one: a telling word, which must be there; of others, one more than may be missing."""
+    rare = sorted(set(template.words), key=lambda w: (w not in template.telling, w in EVERYDAY or w[0].isdigit(), -len(w), w))
+    return rare[: 1 if template.telling else _slack(template.words) + 1]
+
+
+@cache
+def cue(templates: tuple[tuple[str, str], ...]) -> str:
+    """An expression, for Java and Python, that is found in each text that holds a template."""
+
+    def form(word: str) -> str:
+        return re.escape(word) + (r"(?:\.0+)*" if word[0].isdigit() else "")
+
+    found = set()
+    for t in _prepared(templates)[0]:
+        if _slack(t.words):
+            found |= {form(w) + "(?![0-9A-Za-z_])" for w in anchors(t)}
+        elif t.words:
+            found.add(r"\W+".join(map(form, t.words)))
+    return "(?iu)(?<![0-9A-Za-z_])(?:" + "|".join(sorted(found)) + ")" if found else "(?!)"
+
+
+CUE = cue(tuple(TEMPLATES.items()))
+
+
+def blocks(text: str, cues: re.Pattern[str], n_words: int, reach: int = REACH) -> list[tuple[int, int]]:
+    """Stretches around cues: to the ends of the line, or of the lines around as far as reach, but with n_words words on either side."""
     out: list[tuple[int, int]] = []
-    for m in _CUE.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
-        if a:
-            a = next((i + 1 for i in (text.find("\n", a, m.start()), text.find(" ", a, m.start())) if i >= 0), a)
-        if b < len(text):
-            b = next((i for i in (text.rfind("\n", m.end(), b), text.rfind(" ", m.end(), b)) if i >= 0), b)
+
+    def enough(lo: int, hi: int) -> bool:
+        return sum(1 for _ in _WORD.finditer(text, lo, hi)) >= n_words
+
+    for m in cues.finditer(text):
+        far = reach
+        while True:
+            if a := max(0, m.start() - far):
+                a = next((i + 1 for i in (text.find("\n", a, m.start()), text.find(" ", a, m.start())) if i >= 0 and enough(i + 1, m.start())), -1)
+            if a >= 0:
+                break
+            far *= 2
+        far = reach
+        while True:
+            if (b := min(len(text), m.end() + far)) < len(text):
+                b = next((i for i in (text.rfind("\n", m.end(), b), text.rfind(" ", m.end(), b)) if i >= 0 and enough(m.end(), i)), -1)
+            if b >= 0:
+                break
+            far *= 2
         if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            out[-1] = (min(a, out[-1][0]), max(b, out[-1][1]))
         else:
             out.append((a, b))
     return out
@@ -145,13 +184,11 @@ def wording(template: Template, words: list[str]) -> tuple[int, int, int] | None
     best = None
     n = len(template.words)
     slack, own_marks = _slack(template.words), marks(template.words)
-    # a telling word must be there; of others, one more than may be missing
-    rare = sorted(set(template.words), key=lambda w: (w not in template.telling, -len(w), w))
-    anchors = {w: template.words.index(w) for w in rare[: 1 if template.telling else slack + 1]}
+    first = {w: template.words.index(w) for w in anchors(template)}
     for i, w in enumerate(words):
-        if w not in anchors:
+        if w not in first:
             continue
-        offset = anchors[w]
+        offset = first[w]
         a, b = max(0, i - offset - slack), min(len(words), i - offset + n + slack)
         own = words[a:b]
         found = [m for m in SequenceMatcher(None, template.words, own, autojunk=False).get_matching_blocks() if m.size]
@@ -167,18 +204,20 @@ def wording(template: Template, words: list[str]) -> tuple[int, int, int] | None
 def licenses(text: str, templates: tuple[tuple[str, str], ...]) -> list[tuple[str, float, int, int, int]]:
     """License, gain, words that differ, start and end of every confirmed stretch of the text."""
     prepared, plain = _prepared(templates)
+    cues = re.compile(cue(templates))
+    n_words = max((len(t.words) + _slack(t.words) for t in prepared), default=0)
     out = []
-    for a, b in blocks(text):
-        # each license word's line by itself first, so that the gain is that line's
+    for a, b in blocks(text, cues, n_words):
+        # each cue's line by itself first, so that the gain is that line's
         todo = [(a, b)]
         while todo:
             x, y = todo.pop()
             stretch = text[x:y]
-            if not _CUE.search(stretch):
+            if not cues.search(stretch):
                 continue
             lines = [(x + m.start(), x + m.end()) for m in re.finditer(r"[^\n]+", stretch)]
             hit = None
-            for lo, hi in [*(l for l in lines if _CUE.search(text, *l)), (x, y)]:
+            for lo, hi in [*(l for l in lines if cues.search(text, *l)), (x, y)]:
                 spans = list(_WORD.finditer(text, lo, hi))
                 words = [normal(m.group()) for m in spans]
                 confirmed = []
@@ -214,4 +253,4 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], ["doc_id", "license", "n_blocks", "gain", "n_different", "start", "end"])
 
-    return texts(docs).where(F.col("text").rlike(CUE)).mapInArrow(run, SCHEMA)
+    return texts(docs).where(F.col("text").rlike(cue(fixed))).mapInArrow(run, SCHEMA)

@@ -77,6 +77,19 @@ def test_short_notices_in_long_lines_of_prose():
                 assert [g[0] for g in licenses(line[:cut] + " " + TEMPLATES[name] + line[cut:], FIXED)] == [name]
 
 
+def test_cues_and_reach_come_from_the_templates(spark):
+    rng = random.Random(5)
+    words = noise(rng, 600).split()
+    own = {"unlicense": "This is free and unencumbered software released into the public domain.", "long": " ".join(words), "grün": "Frei für alle, ÄHNLICH wie Luft."}
+    edited = " ".join("x" if i % 13 == 5 else w for i, w in enumerate(words))
+    rows = [(1, noise(rng, 90) + " " + own["unlicense"]), (2, noise(rng, 400) + "\n" + edited + "\n" + noise(rng, 400)), (3, edited.replace(" ", "\n")), (4, noise(rng, 400)), (5, own["grün"].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.license, r.n_blocks) for r in scan_licenses(docs, own).collect()) == [(1, "unlicense", 1), (2, "long", 1), (3, "long", 1), (5, "grün", 1)]
+    assert scan_licenses(docs, {}).collect() == []
+    docs = spark.createDataFrame([(1, TEMPLATES["bsd-text"].replace("Redistribution", "Distribution"))], "doc_id long, text string")
+    assert [r.license for r in scan_licenses(docs).collect()] == ["bsd-text"]
+
+
 def test_query_on_odd_rows(spark):
     rng = random.Random(2)
     mit, both = "é " * 50 + TEMPLATES["mit"], TEMPLATES["mit"] + "\nx\n" + TEMPLATES["mit"] + "\n" + TEMPLATES["all-rights-reserved"]
