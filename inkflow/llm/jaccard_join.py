@@ -133,12 +133,12 @@ def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, node (16 bytes that name the class) of every row; and the sketch, a byte a bucket."""
+def _profile(docs: DataFrame, k: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
+    """doc_id, n, node (16 bytes that name the class) and more (columns of 64-bit integers) of every row; and the sketch, a byte a bucket."""
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * docs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "chunk", "counts"]
+        names = ["doc_id", "n", "node", "chunk", "counts", *more]
         counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             size, node = [], []
@@ -147,12 +147,12 @@ def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
                 node.append(digest(own) if len(own) else None)
                 np.add.at(counts, _bucket(own, bits), 1)
             none = pa.nulls(len(size), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), none, pa.nulls(len(size), pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), none, pa.nulls(len(size), pa.binary()), *map(batch.column, more)], names)
         chunks = [c for c in range(len(counts) // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
         pack = zstandard.ZstdCompressor(level=1).compress
         parts = [pack(counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8").tobytes()) for c in chunks]
         nothing = [pa.nulls(len(chunks), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary()), *[pa.nulls(len(chunks), pa.int64())] * len(more)], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -163,12 +163,12 @@ def _profile(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         steps = [np.minimum(255, np.log2(np.maximum(x, 1)) * STEPS).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], ["chunk", "counts"])
 
-    both = save(texts(docs).mapInArrow(run, "doc_id long, n long, node binary, chunk int, counts binary"), "jaccard-profile")
+    both = save(texts(docs, *more).mapInArrow(run, ", ".join(["doc_id long, n long, node binary, chunk int, counts binary", *[f"{c} long" for c in more]])), "jaccard-profile")
     sketch = np.zeros(1 << bits, np.uint8)
     summed = both.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     for r in summed.toLocalIterator():  # as many rows as the sketch has chunks
         sketch[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.counts), np.uint8)
-    return both.where("chunk is null").select("doc_id", "n", "node"), sketch
+    return both.where("chunk is null").select("doc_id", "n", "node", *more), sketch
 
 
 def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, block: int) -> DataFrame:
@@ -345,10 +345,10 @@ def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_bl
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK) -> tuple[DataFrame, DataFrame]:
-    """The rows (doc_id, n, node) and the classes that link with others (node, root)."""
+def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, n, node and more) and the classes that link with others (node, root)."""
     spark = docs.sparkSession
-    rows, sketch = _profile(docs, k)
+    rows, sketch = _profile(docs, k, more)
     posted = _postings(docs, k, percent, sketch, block)
     lists = _lists(posted, percent)
     lists = save(lists, "jaccard-lists")
@@ -395,18 +395,36 @@ def _still_open(lists: DataFrame, linked: DataFrame) -> tuple[DataFrame, bool]:
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK) -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
     rows, linked = similar_classes(docs, k, percent, block, search_block)
-    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
-    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = save(rooted.select("node", "root", "n_rows").join(least, "root").select("node", "component_id", "n_rows"), "jaccard-named")
+    named = _named(rows, linked)
     full = rows.where("node is not null")
     out = join_groups(full, named, ["node"], "n_rows", full.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(rows.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
+def _named(rows: DataFrame, linked: DataFrame, *more: str) -> DataFrame:
+    """node, component_id and n_rows of every class, and root if it is asked for."""
+    classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
+    rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return save(rooted.select("node", "root", "n_rows").join(least, "root").select("node", *more, "component_id", "n_rows"), "jaccard-named")
+
+
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
-    """docs, all columns, with one document of each group of similar ones: that with the smallest doc_id. Rows with a null doc_id stay."""
-    groups = similar_groups(docs, **options)
-    copies = save(groups.where("doc_id <> component_id").select("doc_id").distinct(), "jaccard-copies")
-    named = docs.where("doc_id is not null").join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    """docs, all columns, with one document of each group of similar ones: that with the smallest doc_id. Rows with a null doc_id stay.
+
+    A document is a doc_id with a text: rows that share a doc_id but not a text go or stay each by itself, and of those that are the smallest
+    of one group one stays, whose text has the smallest hash. Rows equal in both go or stay together; exact_dedup settles these.
+    """
+    mark = "_text_mark"
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows, linked = similar_classes(marked, more=(mark,), **options)
+    full = rows.where("node is not null and doc_id is not null")
+    found = join_groups(full, _named(rows, linked, "root"), ["node"], "n_rows", full.count()).select("doc_id", mark, "root", "component_id")
+    found = save(found, "jaccard-found")
+    least = found.where("doc_id = component_id")
+    # where several texts have a group's smallest doc_id
+    ties = least.groupBy("root").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last")
+    others = least.join(ties, "root").where(F.col(mark) > F.col("first"))
+    copies = save(found.where("doc_id <> component_id").select("doc_id", mark).unionByName(others.select("doc_id", mark)).distinct(), "jaccard-copies")
+    named = marked.where("doc_id is not null").join(copies.hint("shuffle_hash"), ["doc_id", mark], "left_anti").select(*docs.columns)
     return named.unionByName(docs.where("doc_id is null"))

@@ -91,3 +91,27 @@ def test_toxic_documents_go(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     kept = {r.doc_id for r in toxicity.without_toxic(docs, toxicity.fit_model(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))).collect()}
     assert kept == {d for d, _ in rows} - toxic
+
+
+def test_near_copies_by_doc_id_and_text(spark):
+    rng = random.Random(6)
+    text = {name: " ".join("".join(rng.choices("aeioubcdfglmnprst", k=6)) for _ in range(60)) for name in "abcd"}
+    rows = [
+        (1, text["a"]),
+        (2, text["a"] + " more"),  # goes
+        (2, text["b"]),  # shares its doc_id with a copy
+        (3, text["c"]),  # one of these three stays
+        (3, text["c"] + " more"),
+        (3, text["c"].upper()),
+        (3, text["d"]),  # a group of its own
+        (4, text["c"] + " less"),  # goes
+        (None, text["a"] + " less"),
+        (None, text["a"] + " less"),
+        (5, None),
+        (5, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.text) for r in dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, "").collect()]
+    of_c = [r for r in got if r in rows[3:6]]
+    assert len(of_c) == 1
+    assert sorted(map(str, got)) == sorted(map(str, [rows[0], rows[2], *of_c, rows[6], *rows[8:]]))
