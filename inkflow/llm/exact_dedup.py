@@ -1,12 +1,16 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
-Every text gets a 64-bit key. The index has one entry a key (its rows are counted before they are shuffled, so a key
+Every text gets a 64-bit key. The index has one entry a key (its rows are counted before anything is shuffled by key, so a key
 that a third of all rows share is still one entry) and lies in bucket files in the shared folder. A directory over the
 keys' leading bits names each key's bucket; a bucket with more entries than its capacity is split by the next bit, and
-the directory doubles when such a bucket was as deep as the directory. Owner tasks each read the buckets of a key
-range. Keys that several rows share are then settled by comparing bytes: every row with the text of its entry's head.
-Rows that differ (another text with the same key) are chained: the largest doc_id among them heads the next link, until
-no row is left.
+the directory doubles when such a bucket was as deep as the directory.
+
+Buckets are in the order of their keys, and each owner task has a range of them. A row whose key may be shared is sent, with
+its text, to the owner that the directory names; a filter of bounded size made from the index spares most other rows the way. The
+owner takes the shared entries of its buckets from the index and chains, entry by entry, the texts that differ: a row's bytes are
+compared with those of each link until one is equal, or head a new link. A row without an entry has its text alone. A key
+with so many rows that they would crowd one owner is dealt over several; the heads of their links then meet in one more
+such step, of one text a deal and link.
 
 Defined results: a null text counts as empty. Rows that repeat both doc_id and text share one result each. Of rows with
 a null doc_id, a row with a doc_id stays if the group has one, else keep_id is null. An empty table gives an empty result.
@@ -16,18 +20,27 @@ Other columns are not looked at, whatever their names.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, join_groups, save, sha256_text
+from ._shared import drop, join_groups, save, sha256_text, small_batches
 
 #: Entries of a bucket before it is split.
-CAPACITY = 1 << 16
+CAPACITY = 1 << 12
 #: The directory has at most 2**MAX_DEPTH pointers; a bucket that is still overfull there keeps its entries as a chain.
 MAX_DEPTH = 20
-#: Rows of one key that one task compares with the head's text; a larger group is dealt over several.
-CHAIN_ROWS = 2000
+#: Rows of one key that one owner compares at most, unless all such keys together would be more than HOT_KEYS.
+CHAIN_ROWS, HOT_KEYS = 2000, 2000
+#: Bytes of text that an owner task gets, about.
+OWNER_BYTES = 64 << 20
+#: The filter has sixteen bits or more for a shared key, but no more than 2**MOST_BITS, in chunks of 2**CHUNK_BITS.
+LEAST_BITS, MOST_BITS, CHUNK_BITS = 15, 27, 15
+OWNED = "doc_id long, key long, deal int, link int, sha string, head binary"
 
 
 def text_key(text: Column, bits: int = 64) -> Column:
@@ -89,73 +102,175 @@ def with_bucket(entries: DataFrame, depth: int, leaves: list[tuple[int, int]]) -
     return entries.join(F.broadcast(directory), prefix(F.col("key"), depth) == F.col("slot")).drop("slot")
 
 
-def exact_groups(docs: DataFrame, key_bits: int = 64, capacity: int = CAPACITY, chain_rows: int = CHAIN_ROWS) -> DataFrame:
-    """One row a document: doc_id, text_sha256, keep_id (largest doc_id of equal texts), group_size, kept."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    source = docs.select("doc_id", text_key(text, key_bits).alias("key"), text.alias("text"))
-    rows = save(source.select("doc_id", "key", sha256_text(F.col("text")).alias("sha")), "dedup-rows")
-    entry = [F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("head")]
-    entries = save(rows.groupBy("key").agg(*entry), "dedup-entries")
+class KeyFilter:
+    """Which keys may be shared: true of every shared key, and of few others while there are bits enough."""
+
+    def __init__(self, shared: DataFrame, n_shared: int) -> None:
+        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * n_shared).bit_length()))
+        self.table = np.zeros(1 << self.bits >> 3, np.uint8)
+        size = 1 << CHUNK_BITS >> 3
+
+        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunks: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = np.asarray(batch.column("at"))
+                for c in np.unique(at >> CHUNK_BITS).tolist():
+                    inside = at[at >> CHUNK_BITS == c] & ((1 << CHUNK_BITS) - 1)
+                    np.bitwise_or.at(chunks.setdefault(c, np.zeros(size, np.uint8)), inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], ["chunk", "bits"])
+
+        places = shared.select(self.place(F.col("key")).alias("at")).distinct().repartition(F.shiftright("at", CHUNK_BITS))
+        for r in places.mapInArrow(pack, "chunk long, bits binary").toLocalIterator():  # no more rows than the filter has chunks
+            self.table[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(bytes(r.bits), np.uint8)
+
+    def place(self, key: Column) -> Column:
+        return F.shiftrightunsigned(F.xxhash64(key), 64 - self.bits)
+
+    def maybe(self, key: Column) -> Column:
+        table = self.table
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                at = np.asarray(batch)
+                yield pa.array(table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, "boolean")(self.place(key))
+
+
+@dataclass
+class Index:
+    """The bucket files (key, n: its rows, size: their bytes, bucket), the directory, and the filter made from them."""
+
+    entries: DataFrame
+    depth: int
+    leaves: list[tuple[int, int]]
+    total: int
+    filter: KeyFilter
+    key_bits: int
+
+    def key(self, text: Column) -> Column:
+        return text_key(text, self.key_bits)
+
+
+def build_index(docs: DataFrame, key_bits: int = 64, capacity: int = CAPACITY) -> Index:
+    small_batches(docs.sparkSession)
+    text = whole_text()
+    keyed = docs.select(text_key(text, key_bits).alias("key"), F.octet_length(text).cast("long").alias("size"))
+    entries = save(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")), "dedup-entries")
     depth, leaves = build_directory(entries, capacity)
-    bucketed = with_bucket(entries, depth, leaves)
-    index = save(bucketed.repartition(len(leaves), "bucket"), "dedup-index", ["bucket"])
-    shared = index.where("n > 1").select("key", "n", "head")
-    total = rows.count()
-    other = _chain(source, rows, shared, chain_rows, total)
-    if other is None:
-        linked, groups = rows.withColumn("link", F.lit(0)), index.select("key", F.lit(0).alias("link"), "n", "head")
-    else:
-        linked = rows.alias("r").join(other.alias("o"), _same("r", "o"), "left").select("r.doc_id", "r.key", "r.sha", F.coalesce("o.link", F.lit(0)).alias("link"))
-        groups = linked.groupBy("key", "link").agg(*entry)
+    index = save(with_bucket(entries, depth, leaves).repartitionById(len(leaves), "bucket"), "dedup-index", ["bucket"])
     drop(docs.sparkSession, entries)
-    return join_groups(linked, groups, ["key", "link"], "n", total).select("doc_id", F.col("sha").alias("text_sha256"), F.col("head").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("head")).alias("kept"))
-
-
-def _same(a: str, b: str) -> Column:
-    return F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.key") == F.col(f"{b}.key")) & (F.col(f"{a}.sha") == F.col(f"{b}.sha"))
-
-
-def _chain(source: DataFrame, rows: DataFrame, shared: DataFrame, chain_rows: int, total: int) -> DataFrame | None:
-    """The rows that differ from their entry's head, with the link (1 and up) that holds their equals; None if there are none."""
-    links: list[DataFrame] = []
-    members = rows
-    while True:
-        dealt = shared.withColumn("deals", F.ceil(F.col("n") / chain_rows).cast("int"))
-        own = join_groups(members, dealt, ["key"], "n", total).select("doc_id", "key", "head", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("deals")).cast("int").alias("deal"), "deals").distinct()
-        # the text meets its row by doc_id, which no group skews
-        s, o = source.alias("s"), own.hint("shuffle_hash").alias("o")
-        full = s.join(o, F.col("s.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("s.key") == F.col("o.key"))).select("s.doc_id", "s.key", "s.text", "o.deal", "o.deals", F.col("s.doc_id").eqNullSafe(F.col("o.head")).alias("is_head"))
-        full = save(full, "dedup-texts")
-        heads = full.where("is_head").groupBy("key").agg(F.min("text").alias("head_text"), F.max("deals").alias("deals"))
-        heads = heads.select("key", "head_text", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
-        differ = full.join(heads, ["key", "deal"]).where(F.col("text") != F.col("head_text"))
-        differ = save(differ.select("doc_id", "key", sha256_text(F.col("text")).alias("sha")), "dedup-differ")
-        drop(source.sparkSession, full)
-        if links:
-            # rows of the last link that equal its head stay there, the others move on
-            links[-1] = links[-1].alias("l").join(differ.alias("x"), _same("l", "x"), "left_anti")
-        if differ.isEmpty():
-            break
-        links.append(differ.withColumn("link", F.lit(len(links) + 1)))
-        members = differ
-        shared = differ.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("head"))
-    if not links:
-        return None
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return save(out.distinct(), "dedup-links")
-
-
-def deduplicate(docs: DataFrame, **options: int) -> DataFrame:
-    """docs without the copies: of equal texts the row with the largest doc_id stays, and of rows that repeat doc_id and text one."""
-    groups = exact_groups(docs, **options)
-    kept = groups.where("kept").select("doc_id", "text_sha256").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("repeats"))
+    total, n_shared = index.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
+    return Index(index, depth, leaves, total, KeyFilter(index.where("n > 1"), n_shared), key_bits)
+
+
+def whole_text() -> Column:
+    return F.coalesce(F.col("text"), F.lit(""))
+
+
+def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range of buckets by key and deal, each key's entry (which has n) first: the link of each row, -1 without an entry."""
+    open_at, dealt, links = None, False, []
+    for batch in batches:
+        place, heads, mine = [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("key", "deal", "n", "deals", "bytes"))
+        for i, (key, deal, n, deals, own) in enumerate(zip(*columns)):
+            if n is not None:
+                open_at, dealt, links = (key, deal), deals > 1, []
+                continue
+            mine.append(i)
+            if (key, deal) != open_at:
+                place.append(-1)
+                heads.append(None)
+                continue
+            link = next((j for j, known in enumerate(links) if known == own), len(links))
+            if fresh := link == len(links):
+                links.append(own)
+            place.append(link)
+            heads.append(own if fresh and dealt else None)
+        kept = batch.select(["doc_id", "key", "deal", "sha"]).take(pa.array(mine, pa.int64()))
+        yield pa.RecordBatch.from_arrays([kept.column("doc_id").cast(pa.int64()), kept.column("key"), kept.column("deal"), pa.array(place, pa.int32()), kept.column("sha"), pa.array(heads, pa.binary())], ["doc_id", "key", "deal", "link", "sha", "head"])
+
+
+def join_chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Heads of one key's links in all its deals: the link that each is of the whole key."""
+    last, links = None, []
+    for batch in batches:
+        place = []
+        for key, own in zip(batch.column("key").to_pylist(), batch.column("head").to_pylist()):
+            if key != last:
+                last, links = key, []
+            link = next((j for j, known in enumerate(links) if known == own), len(links))
+            if link == len(links):
+                links.append(own)
+            place.append(link)
+        yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("deal"), batch.column("link"), pa.array(place, pa.int32())], ["key", "deal", "link", "of_key"])
+
+
+def owned_rows(docs: DataFrame, index: Index, chain_rows: int = CHAIN_ROWS) -> DataFrame:
+    """doc_id, key, link, sha of each row whose key the filter lets pass; rows of one key and link have the same text, and those of link -1 have theirs alone."""
+    spark = docs.sparkSession
+    shared = index.entries.where("n > 1").select("key", "n", "size", "bucket")
+    bulk, crowd = shared.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(bulk / OWNER_BYTES))
+    most = max(chain_rows, index.total // HOT_KEYS)
+    deals = F.when(F.col("n") > most, F.ceil(F.col("n") / most)).otherwise(1).cast("int").alias("deals")
+    text = whole_text()
+    rows = docs.select("doc_id", index.key(text).alias("key"), sha256_text(text).alias("sha"), text.cast("binary").alias("bytes"))
+    rows = with_bucket(rows.where(index.filter.maybe(F.col("key"))), index.depth, index.leaves)
+    if crowd > most:
+        hot = shared.where(F.col("n") > most).select("key", deals)  # fewer than HOT_KEYS
+        rows = rows.join(F.broadcast(hot), "key", "left")
+    else:
+        rows = rows.withColumn("deals", F.lit(None).cast("int"))
+    deal = F.coalesce(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.col("deals")), F.lit(0)).cast("int")
+    rows = rows.select("key", "bucket", deal.alias("deal"), F.lit(None).cast("long").alias("n"), F.lit(1).alias("deals"), "doc_id", "sha", "bytes")
+    opened = shared.select("key", "bucket", "n", deals).select("key", "bucket", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "n", "deals")
+    opened = opened.select("*", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("sha"), F.lit(None).cast("binary").alias("bytes"))
+    owner = F.floor(F.col("bucket").cast("long") * owners / len(index.leaves)).cast("int") + F.col("deal")
+    sent = rows.unionByName(opened).repartitionById(owners, owner).sortWithinPartitions("key", "deal", F.col("n").asc_nulls_last())
+    owned = save(sent.select("key", "deal", "n", "deals", "doc_id", "sha", "bytes").mapInArrow(chain, OWNED), "dedup-owned")
+    if crowd <= most:
+        return owned.select("doc_id", "key", "link", "sha")
+    heads = owned.where("head is not null").select("key", "deal", "link", "head").repartition("key").sortWithinPartitions("key", "deal", "link")
+    of_key = heads.mapInArrow(join_chains, "key long, deal int, link int, of_key int")
+    return owned.join(of_key, ["key", "deal", "link"], "left").select("doc_id", "key", F.coalesce("of_key", "link").alias("link"), "sha")
+
+
+def _settled(docs: DataFrame, index: Index, chain_rows: int) -> DataFrame:
+    """doc_id, sha, head and n of each row that the filter lets pass."""
+    owned = owned_rows(docs, index, chain_rows)
+    alone = owned.where("link < 0").select("doc_id", "sha", F.col("doc_id").alias("head"), F.lit(1).cast("long").alias("n"))
+    linked = owned.where("link >= 0")
+    groups = linked.groupBy("key", "link").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("head"))
+    return join_groups(linked, groups, ["key", "link"], "n", index.total).select("doc_id", "sha", "head", "n").unionByName(alone)
+
+
+def exact_groups(docs: DataFrame, key_bits: int = 64, capacity: int = CAPACITY, chain_rows: int = CHAIN_ROWS) -> DataFrame:
+    """One row a document: doc_id, text_sha256, keep_id (largest doc_id of equal texts), group_size, kept."""
+    index = build_index(docs, key_bits, capacity)
+    found = _settled(docs, index, chain_rows).select("doc_id", F.col("sha").alias("text_sha256"), F.col("head").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("head")).alias("kept"))
+    text = whole_text()
+    others = docs.select("doc_id", text.alias("text")).where(~index.filter.maybe(index.key(F.col("text"))))
+    return found.unionByName(others.select("doc_id", sha256_text(F.col("text")).alias("text_sha256"), F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept")))
+
+
+def deduplicate(docs: DataFrame, key_bits: int = 64, capacity: int = CAPACITY, chain_rows: int = CHAIN_ROWS) -> DataFrame:
+    """docs, all columns, without the copies: of equal texts the row with the largest doc_id stays, and of rows that repeat doc_id and text (null is empty) one."""
+    index = build_index(docs, key_bits, capacity)
+    kept = _settled(docs, index, chain_rows).where(F.col("doc_id").eqNullSafe(F.col("head"))).groupBy("doc_id", "sha").agg(F.count(F.lit(1)).alias("repeats"))
     kept = save(kept, "dedup-kept")
-    d, k = docs.alias("d"), kept.hint("shuffle_hash").alias("k")
-    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (sha256_text(F.coalesce(F.col("d.text"), F.lit(""))) == F.col("k.text_sha256"))
+    text = whole_text()
+    # the row travels as one column, so that no column of its own can clash
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("whole")).withColumn("maybe", index.filter.maybe(index.key(F.col("whole"))))
+    some = rows.where("maybe").select("row", F.col("row.doc_id").alias("doc_id"), sha256_text(F.col("whole")).alias("sha"))
+    d, k = some.alias("d"), kept.alias("k")
+    same = F.col("d.doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("d.sha") == F.col("k.sha"))
     if kept.where("repeats > 1").isEmpty():
-        return d.join(k, same, "left_semi").select("d.*")
-    once = d.join(kept.where("repeats = 1").hint("shuffle_hash").alias("k"), same, "left_semi").select("d.*")
-    many = d.join(kept.where("repeats > 1").hint("shuffle_hash").alias("k"), same, "left_semi").select("d.*")
-    return once.unionByName(many.dropDuplicates(["doc_id", "text"]))
+        stay = d.join(k, same, "left_semi").select("row")
+    else:
+        once = d.join(kept.where("repeats = 1").alias("k"), same, "left_semi").select("row")
+        many = d.join(kept.where("repeats > 1").alias("k"), same, "left_semi")
+        stay = once.unionByName(many.dropDuplicates(["doc_id", "sha"]).select("row"))
+    return rows.where("not maybe").select("row").unionByName(stay).select("row.*")

@@ -6,7 +6,11 @@ from collections import defaultdict
 
 import pytest
 
-from inkflow.llm.exact_dedup import build_directory, deduplicate, exact_groups
+from pyspark.sql import functions as F
+
+from inkflow.llm import exact_dedup
+from inkflow.llm._shared import save
+from inkflow.llm.exact_dedup import build_directory, build_index, deduplicate, exact_groups, owned_rows
 
 SCHEMA = "doc_id long, text string, key int, n string"
 
@@ -53,3 +57,34 @@ def test_directory_splits_overfull_buckets(spark):
     keys = [r.key & (1 << 64) - 1 for r in entries.collect()]
     sizes = [sum(k >> (64 - d) == p for k in keys) for d, p in leaves]
     assert max(sizes) <= 100 and sum(sizes) == 5000
+
+
+def test_null_and_empty_are_one_text(spark):
+    docs = spark.createDataFrame([(1, None, 1, "a"), (1, "", 2, "b"), (1, "", 3, "c"), (None, "x", 1, "d"), (None, "x", 1, "e"), (2, "y", 1, "f")], SCHEMA)
+    got = sorted(((r.doc_id, r.text or "") for r in deduplicate(docs).collect()), key=str)
+    assert got == [(1, ""), (2, "y"), (None, "x")]
+
+
+def test_owners_go_by_the_index(spark):
+    rows = [(i, f"text {i % 40}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    index = build_index(docs, capacity=4)
+    assert index.depth > 1 and len(index.leaves) > 8
+    whole = [r.link for r in owned_rows(docs, index).collect()]
+    assert whole and set(whole) == {0}
+    # an entry that the index lacks makes no group, and one in another bucket isn't opened by the owner that the directory names
+    key = index.entries.where("n > 1").orderBy("key").first().key
+    index.entries = index.entries.where(F.col("key") != key)
+    assert sum(r.link < 0 for r in owned_rows(docs, index).collect()) == len([1 for r in docs.select(exact_dedup.text_key(F.col("text")).alias("k")).collect() if r.k == key])
+    index.entries = index.entries.withColumn("bucket", len(index.leaves) - 1 - F.col("bucket"))
+    assert sum(r.link < 0 for r in owned_rows(docs, index).collect()) > 40
+
+
+def test_a_filter_of_any_keys(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(500)], "doc_id long, text string")
+    index = build_index(docs)
+    assert not index.filter.table.any() and owned_rows(docs, index).isEmpty()
+    shared = save(docs.select(F.xxhash64("text").alias("key")).where("key % 2 = 0"), "keys")
+    some = exact_dedup.KeyFilter(shared, shared.count())
+    got = docs.select(F.xxhash64("text").alias("key")).withColumn("m", some.maybe(F.col("key"))).collect()
+    assert all(r.m for r in got if r.key % 2 == 0) and sum(r.m for r in got if r.key % 2) < 50
