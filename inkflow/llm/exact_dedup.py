@@ -23,12 +23,11 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import drop, join_groups, save, sha256_text, small_batches
+from ._shared import KeyFilter, drop, join_groups, save, sha256_text, small_batches
 
 #: Entries of a bucket before it is split.
 CAPACITY = 1 << 12
@@ -38,8 +37,6 @@ MAX_DEPTH = 20
 CHAIN_ROWS, HOT_KEYS = 2000, 2000
 #: Bytes of text that an owner task gets, about.
 OWNER_BYTES = 64 << 20
-#: The filter has sixteen bits or more for a shared key, but no more than 2**MOST_BITS, in chunks of 2**CHUNK_BITS.
-LEAST_BITS, MOST_BITS, CHUNK_BITS = 15, 27, 15
 OWNED = "doc_id long, key long, deal int, link int, sha string, head binary"
 
 
@@ -102,42 +99,6 @@ def with_bucket(entries: DataFrame, depth: int, leaves: list[tuple[int, int]]) -
     return entries.join(F.broadcast(directory), prefix(F.col("key"), depth) == F.col("slot")).drop("slot")
 
 
-class KeyFilter:
-    """Which keys may be shared: true of every shared key, and of few others while there are bits enough."""
-
-    def __init__(self, shared: DataFrame, n_shared: int) -> None:
-        self.bits = min(MOST_BITS, max(LEAST_BITS, (16 * n_shared).bit_length()))
-        self.table = np.zeros(1 << self.bits >> 3, np.uint8)
-        size = 1 << CHUNK_BITS >> 3
-
-        def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            chunks: dict[int, np.ndarray] = {}
-            for batch in batches:
-                at = np.asarray(batch.column("at"))
-                for c in np.unique(at >> CHUNK_BITS).tolist():
-                    inside = at[at >> CHUNK_BITS == c] & ((1 << CHUNK_BITS) - 1)
-                    np.bitwise_or.at(chunks.setdefault(c, np.zeros(size, np.uint8)), inside >> 3, (1 << (inside & 7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array(list(chunks), pa.int64()), pa.array([x.tobytes() for x in chunks.values()], pa.binary())], ["chunk", "bits"])
-
-        places = shared.select(self.place(F.col("key")).alias("at")).distinct().repartition(F.shiftright("at", CHUNK_BITS))
-        for r in places.mapInArrow(pack, "chunk long, bits binary").toLocalIterator():  # no more rows than the filter has chunks
-            self.table[r.chunk * size : (r.chunk + 1) * size] = np.frombuffer(bytes(r.bits), np.uint8)
-
-    def place(self, key: Column) -> Column:
-        return F.shiftrightunsigned(F.xxhash64(key), 64 - self.bits)
-
-    def maybe(self, key: Column) -> Column:
-        table = self.table
-
-        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            for batch in batches:
-                at = np.asarray(batch)
-                yield pa.array(table[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1)
-
-        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        return F.arrow_udf(run, "boolean")(self.place(key))
-
-
 @dataclass
 class Index:
     """The bucket files (key, n: its rows, size: their bytes, bucket), the directory, and the filter made from them."""

@@ -6,15 +6,17 @@
 2. All classes order their shingles alike: rare by the sketch first. Two sets of the required overlap share a shingle
    among the first n - ceil(t n) + 1 of each (prefix filter), so only these are posted to the inverted index. A list
    that the sketch says may be long is dealt over several tasks.
-3. On each list a few members are queries for all others: stars, not all pairs. T-occurrence search decides which
-   reach the overlap, and links make components. While many pairs across components are left, there is another turn, with other
-   queries, only on lists that still hold several components and for pairs across these.
+3. On each list a few members are queries for all others: stars, not all pairs. The queries and the members that they ask for are
+   dealt into blocks by the query's smallest shingle, so that near copies meet in one block and a text is sent there once for all its queries. T-occurrence
+   search over the block's inverted lists decides which members reach the overlap, and links make components. While many pairs across
+   components are left, there is another turn, with other queries, only on lists that still hold several components and for pairs across these.
 4. Lists that then still hold several components give every pair across components that the size and position
    filters leave, in blocks of bounded size; the same search decides, and the components are joined.
 
-T-occurrence search (search()): a query's shingles have inverted lists over the candidates. The L longest are set aside
-(DivideSkip); the others are merged with a heap that skips what can't reach T - L any more (MergeSkip); what reaches
-it is looked up in the long lists by binary search. A candidate stays if its occurrences reach the overlap that its size requires.
+T-occurrence search (Lists): a block's candidates are turned into inverted lists, a shingle's being the places of the candidates that hold it. Of the
+lists of a query's shingles the L longest are set aside (DivideSkip); the others are merged with a heap that skips what can't reach T - L any
+more (MergeSkip), T being the least overlap that any partner of the query's size or more or less needs; what reaches it is looked up in the long lists by binary
+search. A candidate stays if its occurrences reach the overlap that its size requires. Nothing about an overlap is known before.
 
 A pair is never left out: what isn't searched either fails a filter that proves it below the threshold, or is in one component already.
 
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import components
-from ._shared import drop, join_groups, save, text_slices, texts
+from ._shared import KeyFilter, Scratch, drop, join_groups, save, text_slices, texts
 from ._words import shingles, words
 
 #: The sketch has sixteen counters a document or more, but no more than 2**MOST_BITS of them, in chunks of CHUNK.
@@ -49,7 +51,10 @@ LEAST_BITS, MOST_BITS, CHUNK = 14, 24, 1 << 12
 STEPS = 8
 #: Members of a list, or candidates of a query, that one task handles together.
 BLOCK = 4000
-SEARCH_BLOCK = 256
+#: Candidates of a block of queries, and their shingles, about.
+SEARCH_BLOCK, SEARCH_SHINGLES = 256, 1 << 20
+#: Names of classes that a task remembers as posted, and pairs that it holds before it passes them on.
+NAMES, HELD = 1 << 18, 1 << 16
 #: Turns of stars at most, and queries on a list in each after the first; another turn needs so many pairs across components for a member.
 TURNS, QUERIES, CROWDED = 3, 6, 20
 
@@ -75,58 +80,73 @@ def digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def search(query: np.ndarray, candidates: list[np.ndarray], percent: int, mu: float = 0.01) -> list[int]:
-    """The places of those candidates (sorted arrays) that reach the required overlap with the query."""
-    n = len(query)
-    need = [overlap(n, len(c), percent) for c in candidates]
-    # the inverted lists of the query's shingles over the candidates
-    lists: list[list[int]] = [[] for _ in range(n)]
-    for place, c in enumerate(candidates):
-        if min(n, len(c)) < need[place]:
-            continue
-        at = np.searchsorted(query, c)
-        at[at == n] = n - 1
-        for i in at[query[at] == c].tolist():
-            lists[i].append(place)
-    lists = sorted((x for x in lists if x), key=len)
-    if not lists:
-        return []
-    t = min(need)
-    long_n = min(int(t / (mu * math.log2(len(lists[-1]) + 1) + 1)), t - 1, len(lists))
-    short, long = lists[: len(lists) - long_n], lists[len(lists) - long_n :]
-    least = t - long_n
-    found = []
-    at = [0] * len(short)
-    heap = [(x[0], i) for i, x in enumerate(short)]
-    heapq.heapify(heap)
-    while heap and len(heap) >= least:
-        place = heap[0][0]
-        popped = []
-        while heap and heap[0][0] == place:
-            popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= least:
-            hits = len(popped)
-            for left, x in zip(range(len(long), 0, -1), reversed(long)):
-                if hits + left < need[place]:
-                    break
-                j = bisect_left(x, place)
-                hits += j < len(x) and x[j] == place
-            if hits >= need[place]:
+class Lists:
+    """The inverted lists of a block of candidates (sorted arrays of distinct shingles)."""
+
+    def __init__(self, candidates: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(c) for c in candidates], np.int64)
+        every = np.concatenate(candidates) if candidates else np.zeros(0, np.uint64)
+        places = np.repeat(np.arange(len(candidates)), self.sizes)
+        order = np.argsort(every, kind="stable")
+        every, self.places = every[order], places[order]
+        head = np.ones(len(every), bool)
+        head[1:] = every[1:] != every[:-1]
+        self.shingles = every[head]
+        self.at = np.append(np.flatnonzero(head), len(every))
+        self.entries = (np.cumsum(head) - 1) << 32 | self.places
+
+    def search(self, query: np.ndarray, percent: int, mu: float = 0.01) -> list[int]:
+        """The places of the candidates that reach the required overlap with the query."""
+        if not len(query) or not len(self.shingles):
+            return []
+        own = np.searchsorted(self.shingles, query)
+        own = own[self.shingles[np.minimum(own, len(self.shingles) - 1)] == query]
+        t = -(-percent * len(query) // 100)
+        if len(own) < t:
+            return []
+        length = self.at[own + 1] - self.at[own]
+        own = own[np.argsort(length, kind="stable")]
+        n_long = max(0, min(int(t / (mu * math.log2(int(length.max()) + 1) + 1)), t - 1))
+        short, long = own[: len(own) - n_long], own[len(own) - n_long :]
+        found = []
+        for place, hits in self._merged(short, t - n_long):
+            need = overlap(len(query), int(self.sizes[place]), percent)
+            if hits + len(long) >= need and hits + self._probe(long, place) >= need:
                 found.append(place)
-            upto = place + 1
-        else:
-            # MergeSkip: nothing below the least-th smallest head can reach least
-            while heap and len(popped) < least - 1:
+        return found
+
+    def _merged(self, short: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
+        """Places in at least that many of the short lists, and in how many."""
+        lists = [self.places[self.at[i] : self.at[i + 1]].tolist() for i in short.tolist()]
+        at = [0] * len(lists)
+        heap = [(x[0], i) for i, x in enumerate(lists)]
+        heapq.heapify(heap)
+        while len(heap) >= least:
+            place = heap[0][0]
+            popped = []
+            while heap and heap[0][0] == place:
                 popped.append(heapq.heappop(heap)[1])
-            if not heap:
-                break
-            upto = heap[0][0]
-        for i in popped:
-            j = bisect_left(short[i], upto, at[i])
-            at[i] = j
-            if j < len(short[i]):
-                heapq.heappush(heap, (short[i][j], i))
-    return found
+            if len(popped) >= least:
+                yield place, len(popped)
+                upto = place + 1
+            else:
+                # nothing below the least-th smallest head can be in as many lists
+                while heap and len(popped) < least - 1:
+                    popped.append(heapq.heappop(heap)[1])
+                if not heap:
+                    return
+                upto = heap[0][0]
+            for i in popped:
+                j = bisect_left(lists[i], upto, at[i])
+                at[i] = j
+                if j < len(lists[i]):
+                    heapq.heappush(heap, (lists[i][j], i))
+
+    def _probe(self, long: np.ndarray, place: int) -> int:
+        """In how many of the long lists a place is, each searched by halves."""
+        wanted = long << 32 | place
+        i = np.minimum(np.searchsorted(self.entries, wanted), len(self.entries) - 1)
+        return int((self.entries[i] == wanted).sum())
 
 
 def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -182,6 +202,8 @@ def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, block:
             for own in sets(batch.column("text"), k):
                 if not len(own) or (name := digest(own)) in seen:
                     continue
+                if len(seen) >= NAMES:
+                    seen.clear()  # a class posted twice is found as one on its lists
                 seen.add(name)
                 often = sketch[_bucket(own, bits)]
                 p = prefix_length(len(own), percent)
@@ -239,7 +261,7 @@ def _stars(lists: DataFrame, percent: int, queries: int, skip: int) -> DataFrame
         sizes = F.lit(100) * F.least(q["size"], F.col("size")) >= F.lit(percent) * F.greatest(q["size"], F.col("size"))
         return q.isNotNull() & (q["root"] != F.col("root")) & sizes & (F.least(q["size"] - q["place"], F.col("size") - F.col("place")) >= need)
 
-    pairs = rows.select("node", F.explode(F.filter("heads", may)).alias("q")).select(F.col("q.node").alias("a"), F.col("node").alias("b"))
+    pairs = rows.select("node", "size", F.explode(F.filter("heads", may)).alias("q")).select(F.col("q.node").alias("a"), F.col("node").alias("b"), F.col("size").alias("b_size"))
     return pairs.distinct()
 
 
@@ -247,24 +269,30 @@ def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs across components on each list (token, blocks, mine, size, place, node, root), every pair of blocks by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(rows: list[tuple]) -> pa.RecordBatch:
-            a, b = [], []
+        def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            a, b, b_size = [], [], []
             size = np.array([r[0] for r in rows])
             place = np.array([r[1] for r in rows])
             mine = np.array([r[2] for r in rows])
             roots: dict[bytes, int] = {}
             root = np.array([roots.setdefault(r[4], len(roots)) for r in rows])
             split = len(set(mine.tolist())) > 1
-            for x in range(1, len(rows)):
+            for x in range(1, len(rows) + 1):
+                if len(a) > HELD or x == len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(b_size, pa.int32())], ["a", "b", "b_size"])
+                    a, b, b_size = [], [], []
+                if x == len(rows):
+                    return
                 low = int(np.searchsorted(size, -(-percent * size[x] // 100)))
                 near = np.arange(low, x)
                 near = near[(root[near] != root[x]) & _passes(size[near], place[near], size[x], place[x], percent)]
                 if split:
                     near = near[mine[near] != mine[x]]
                 for y in near.tolist():
-                    a.append(max(rows[x][3], rows[y][3]))
-                    b.append(min(rows[x][3], rows[y][3]))
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    large, small = (x, y) if rows[x][3] > rows[y][3] else (y, x)
+                    a.append(rows[large][3])
+                    b.append(rows[small][3])
+                    b_size.append(rows[small][0])
 
         last, held = None, []
         for batch in batches:
@@ -272,41 +300,38 @@ def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
             for token, one, two, *row in zip(*columns):
                 if (token, one, two) != last:
                     if len(held) > 1:
-                        yield pairs(held)
+                        yield from pairs(held)
                     last, held = (token, one, two), []
                 held.append(tuple(row))
         if len(held) > 1:
-            yield pairs(held)
+            yield from pairs(held)
 
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = lists.select("token", "size", "place", "mine", "node", "root", other).withColumns({"one": F.least("mine", "other"), "two": F.greatest("mine", "other")})
     ordered = dealt.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "size", "node")
-    return ordered.mapInArrow(run, "a binary, b binary").distinct()
+    return ordered.mapInArrow(run, "a binary, b binary, b_size int").distinct()
 
 
 def _texts_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """node, text: one text of each class in nodes, as a table."""
+    """node, text, home (the smallest shingle): one text of each class in nodes, as a table."""
     heads = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     heads = save(heads.join(nodes, "node", "left_semi"), "jaccard-heads")
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [digest(s) if len(s) else b"" for s in sets(batch.column("text"), k)]
-            keep = [i for i, (name, node) in enumerate(zip(own, batch.column("node").to_pylist())) if name == node]
-            yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in keep], pa.binary()), batch.column("text").take(pa.array(keep, pa.int64()))], ["node", "text"])
-
-    def with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [digest(s) if len(s) else None for s in sets(batch.column("text"), k)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column("text")], ["node", "text"])
-
-    full = texts(docs).join(heads.hint("shuffle_hash"), "doc_id").select("node", "text")
-    # rows that repeat a doc_id with another text drop out by their digest, and with the same text by their node
-    full = full.mapInArrow(named, "node binary, text string")
+            own = [(digest(s), int(s[0].view(np.int64))) if len(s) else (b"", 0) for s in sets(batch.column("text"), k)]
+            # rows that repeat a doc_id with another text drop out by their digest, and with the same text by their node
+            keep = [i for i, ((name, _), node) in enumerate(zip(own, batch.column("node").to_pylist())) if (name == node if node is not None else name)]
+            yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in keep], pa.binary()), batch.column("text").take(pa.array(keep, pa.int64())), pa.array([own[i][1] for i in keep], pa.int64())], ["node", "text", "home"])
+
+    schema = "node binary, text string, home long"
+    ids = heads.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"))
+    asked = texts(docs).where(KeyFilter(ids, ids.count()).maybe(F.col("doc_id").cast("long")))
+    full = asked.join(heads, "doc_id").select("node", "text").mapInArrow(named, schema)
     nameless = heads.where("doc_id is null")
     if not nameless.isEmpty():
         # classes of rows without a doc_id are found by their sets
-        there = texts(docs).where("doc_id is null").select("text").mapInArrow(with_node, "node binary, text string")
+        there = texts(docs).where("doc_id is null").select(F.lit(None).cast("binary").alias("node"), "text").mapInArrow(named, schema)
         full = full.unionByName(there.join(nameless.select("node"), "node", "left_semi"))
     full = save(full, "jaccard-texts")
     if full.count() > heads.count():
@@ -316,60 +341,67 @@ def _texts_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> Dat
 
 
 def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_block: int) -> DataFrame:
-    """The pairs (a, b) of classes that link, by T-occurrence search with each a as the query over blocks of its b."""
-    fan = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / search_block).cast("int"))
-    dealt = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
-    candidates = dealt.join(full.withColumnRenamed("node", "b"), "b").select("a", "block", "b", "text")
-    queries = fan.select("a", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).join(full.withColumnRenamed("node", "a"), "a").select("a", "block", F.lit(None).cast("binary").alias("b"), "text")
+    """Pairs of classes that link, each of pairs (a, b, b_size) among them if it does: every a asks the blocks of its home that hold a b of it."""
+    total = pairs.count()
+    queries = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(full.select("node", "home"), "node").withColumnRenamed("node", "a")
+    at_home = save(join_groups(pairs, queries, ["a"], "n", total).select("home", "a", "b", "b_size"), "jaccard-asked")
+    members = at_home.select("home", "b", "b_size").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.sum("b_size").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("members") / search_block, F.col("shingles") / SEARCH_SHINGLES)).cast("int").alias("blocks")
+    homes = at_home.groupBy("home").agg(F.count(F.lit(1)).alias("n")).join(members, "home").select("home", "n", blocks)
+    dealt = join_groups(at_home, homes, ["home"], "n", total).select("home", "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    # candidates (not asking) come first in a block
+    roles = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("asks")), F.struct(F.col("b").alias("node"), F.lit(False).alias("asks")))).alias("r")
+    wanted = dealt.select("home", "block", roles).select("home", "block", "r.*").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, query, names, held = None, None, [], []
-
-        def done() -> pa.RecordBatch:
-            hits = search(query, held, percent) if held else []
-            return pa.RecordBatch.from_arrays([pa.array([last[0]] * len(hits), pa.binary()), pa.array([names[i] for i in hits], pa.binary())], ["a", "b"])
-
+        last, names, held, lists = None, [], [], None
         for batch in batches:
-            for own, a, block, b in zip(sets(batch.column("text"), k), batch.column("a").to_pylist(), batch.column("block").to_pylist(), batch.column("b").to_pylist()):
-                if b is None:  # the query comes first
-                    if last is not None:
-                        yield done()
-                    last, query, names, held = (a, block), own, [], []
-                else:
-                    names.append(b)
+            a, b = [], []
+            columns = (batch.column(c).to_pylist() for c in ("home", "block", "node", "asks"))
+            for own, home, block, node, asks in zip(sets(batch.column("text"), k), *columns):
+                if (home, block) != last:
+                    last, names, held, lists = (home, block), [], [], None
+                if not asks:
+                    names.append(node)
                     held.append(own)
-        if last is not None:
-            yield done()
+                    continue
+                if lists is None:
+                    lists, held = Lists(held), []
+                hits = [names[i] for i in lists.search(own, percent) if names[i] != node]
+                a += [node] * len(hits)
+                b += hits
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    ordered = candidates.unionByName(queries).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first())
-    return ordered.mapInArrow(run, "a binary, b binary")
+    ordered = wanted.join(full.select("node", "text"), "node").repartition("home", "block").sortWithinPartitions("home", "block", "asks")
+    return ordered.select("home", "block", "node", "asks", "text").mapInArrow(run, "a binary, b binary")
 
 
 def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, n, node and more) and the classes that link with others (node, root)."""
     spark = docs.sparkSession
     rows, sketch = _profile(docs, k, more)
-    posted = _postings(docs, k, percent, sketch, block)
-    lists = _lists(posted, percent)
-    lists = save(lists, "jaccard-lists")
-    full = _texts_of(lists.select("node").distinct(), docs, rows, k)
-    tried = linked = None
-    crowded, turn = True, 0
-    while crowded and turn < TURNS:
-        pairs = _stars(lists.withColumn("root", F.col("node")) if linked is None else lists, percent, QUERIES if turn else 1, 1 + QUERIES * (turn - 1) if turn else 0)
-        pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b")
-        if tried is not None:
-            pairs = pairs.join(tried, ["x", "y"], "left_anti")
-        pairs = save(pairs, "jaccard-pairs")
-        tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
-        linked = _joined(linked, _verified(pairs.select("a", "b"), full, k, percent, search_block))
-        lists, crowded = _still_open(lists, linked)
-        turn += 1
-    still = lists.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    across = _across(still, percent, block).join(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
-    across = save(across, "jaccard-pairs")
-    linked = _joined(linked, _verified(across, full, k, percent, search_block))
-    drop(spark, full)
+    with Scratch(spark) as scratch:
+        posted = _postings(docs, k, percent, sketch, block)
+        lists = _lists(posted, percent)
+        lists = save(lists, "jaccard-lists")
+        full = _texts_of(lists.select("node").distinct(), docs, rows, k)
+        tried = linked = None
+        crowded, turn = True, 0
+        while crowded and turn < TURNS:
+            pairs = _stars(lists.withColumn("root", F.col("node")) if linked is None else lists, percent, QUERIES if turn else 1, 1 + QUERIES * (turn - 1) if turn else 0)
+            pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b", "b_size")
+            if tried is not None:
+                pairs = pairs.join(tried, ["x", "y"], "left_anti")
+            pairs = save(pairs, "jaccard-pairs")
+            tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
+            linked = _joined(linked, _verified(pairs.select("a", "b", "b_size"), full, k, percent, search_block))
+            lists, crowded = _still_open(lists, linked)
+            turn += 1
+        still = lists.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        across = _across(still, percent, block).join(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
+        across = save(across, "jaccard-pairs")
+        linked = _joined(linked, _verified(across, full, k, percent, search_block))
+        scratch.keep(linked)
     return rows, linked
 
 
@@ -389,7 +421,7 @@ def _still_open(lists: DataFrame, linked: DataFrame) -> tuple[DataFrame, bool]:
     several = by_root.groupBy("token").agg(F.sum("n").alias("members"), ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("across")).where("across > 0")
     several = save(several, "jaccard-open")
     members, across = several.agg(F.coalesce(F.sum("members"), F.lit(0)), F.coalesce(F.sum("across"), F.lit(0.0))).first()
-    return rooted.join(several.select("token", "members"), "token"), across > CROWDED * members
+    return join_groups(rooted, several.select("token", "members"), ["token"], "members", max(members, 1)), across > CROWDED * members
 
 
 def similar_groups(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK) -> DataFrame:
@@ -405,8 +437,9 @@ def _named(rows: DataFrame, linked: DataFrame, *more: str) -> DataFrame:
     """node, component_id and n_rows of every class, and root if it is asked for."""
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_rows"))
     rooted = classes.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return save(rooted.select("node", "root", "n_rows").join(least, "root").select("node", *more, "component_id", "n_rows"), "jaccard-named")
+    rooted = save(rooted.select("node", "root", "least", "n_rows"), "jaccard-classes")
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    return save(join_groups(rooted, least, ["root"], "n", rooted.count()).select("node", *more, "component_id", "n_rows"), "jaccard-named")
 
 
 def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
@@ -426,5 +459,10 @@ def one_of_each(docs: DataFrame, **options: int) -> DataFrame:
     ties = least.groupBy("root").agg(F.min(mark).alias("first"), F.max(mark).alias("last")).where("first <> last")
     others = least.join(ties, "root").where(F.col(mark) > F.col("first"))
     copies = save(found.where("doc_id <> component_id").select("doc_id", mark).unionByName(others.select("doc_id", mark)).distinct(), "jaccard-copies")
-    named = marked.where("doc_id is not null").join(copies.hint("shuffle_hash"), ["doc_id", mark], "left_anti").select(*docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    key = F.xxhash64("doc_id", mark)
+    maybe = KeyFilter(copies.select(key.alias("key")), copies.count()).maybe(key)
+    # only rows that may be among the copies are sent to meet these
+    flag = "_text_maybe"
+    named = marked.where("doc_id is not null").withColumn(flag, maybe)
+    some = named.where(F.col(flag)).join(copies, ["doc_id", mark], "left_anti")
+    return named.where(~F.col(flag)).select(*docs.columns).unionByName(some.select(*docs.columns)).unionByName(docs.where("doc_id is null"))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkflow.llm import exact_dedup
-from inkflow.llm._shared import save
+from inkflow.llm._shared import KeyFilter, save
 from inkflow.llm.exact_dedup import build_directory, build_index, deduplicate, exact_groups, owned_rows
 
 SCHEMA = "doc_id long, text string, key int, n string"
@@ -85,6 +85,6 @@ def test_a_filter_of_any_keys(spark):
     index = build_index(docs)
     assert not index.filter.table.any() and owned_rows(docs, index).isEmpty()
     shared = save(docs.select(F.xxhash64("text").alias("key")).where("key % 2 = 0"), "keys")
-    some = exact_dedup.KeyFilter(shared, shared.count())
+    some = KeyFilter(shared, shared.count())
     got = docs.select(F.xxhash64("text").alias("key")).withColumn("m", some.maybe(F.col("key"))).collect()
     assert all(r.m for r in got if r.key % 2 == 0) and sum(r.m for r in got if r.key % 2) < 50

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from inkflow.llm._components import components
-from inkflow.llm.jaccard_join import overlap, search, similar_groups
+from inkflow.llm.jaccard_join import Lists, overlap, similar_groups
 
 
 def shingle_set(text, k=4):
@@ -75,9 +75,24 @@ def test_search_equals_counting():
         for _ in range(80):
             keep = query[rng.random(len(query)) < rng.choice([0.5, 0.8, 0.95, 1.0])]
             candidates.append(np.unique(np.concatenate([keep, rng.integers(0, 10**6, rng.integers(0, 1 + n // 8)).astype(np.uint64)])))
-        candidates = [c for c in candidates if len(c)]
-        want = [i for i, c in enumerate(candidates) if len(np.intersect1d(query, c)) >= overlap(len(query), len(c), 85)]
-        assert search(query, candidates, 85) == want
+        lists = Lists(candidates)
+        for q in [query, *candidates]:
+            want = [i for i, c in enumerate(candidates) if len(c) and len(np.intersect1d(q, c)) >= overlap(len(q), len(c), 85)] if len(q) else []
+            assert lists.search(q, 85) == want
+            assert lists.search(q, 85, mu=5) == want
+    assert Lists([]).search(query, 85) == [] and Lists(candidates).search(query[:0], 85) == []
+
+
+def test_search_merges_few_lists(monkeypatch):
+    rng = np.random.default_rng(8)
+    query = np.unique(rng.integers(0, 10**9, 400).astype(np.uint64))
+    lists = Lists([np.unique(np.concatenate([query[i % 9 :], rng.integers(0, 10**9, 5).astype(np.uint64)])) for i in range(100)])
+    merged, probed = [], []
+    own_merge, own_probe = Lists._merged, Lists._probe
+    monkeypatch.setattr(Lists, "_merged", lambda self, short, least: (merged.append(len(short)), own_merge(self, short, least))[1])
+    monkeypatch.setattr(Lists, "_probe", lambda self, long, place: (probed.append(len(long)), own_probe(self, long, place))[1])
+    assert len(lists.search(query, 85)) == 100
+    assert merged[0] < 100 and set(probed) == {len(query) - merged[0]}
 
 
 def test_components(spark):

@@ -1,5 +1,6 @@
 """What the operators share: slices, word hashes, joins with large groups, samples, components of near copies."""
 
+import os
 import random
 import re
 
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from inkflow.llm._sample import without_copies
-from inkflow.llm._shared import drop, join_groups, save, shared_folder, text_slices
+from inkflow.llm._shared import Scratch, drop, join_groups, save, shared_folder, text_slices
 from inkflow.llm._words import BARE, shingles, spans, words
 
 TEXTS = st.lists(st.text(alphabet=st.sampled_from("aAbB \t\n\r.,é漢🙂0"), max_size=30), max_size=12)
@@ -70,6 +71,16 @@ def test_saved_tables(spark):
     drop(spark, table, empty)
 
 
+def test_scratch_tables_go(spark):
+    with Scratch(spark) as outer:
+        with Scratch(spark) as inner:
+            gone, kept = save(spark.range(3), "gone"), inner.keep(save(spark.range(4), "kept"))
+            files = gone.inputFiles()
+        assert kept.count() == 4 and not any(os.path.exists(f.split(":", 1)[-1].replace("///", "/")) for f in files)
+        outer.keep(kept)
+    assert kept.count() == 4
+
+
 def test_near_copies_are_one_witness():
     rng = random.Random(1)
     base = [" ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(60)) for _ in range(10)]
