@@ -6,7 +6,8 @@
 2. All classes order their shingles alike: rare by the sketch first. Two sets of the required overlap share a shingle
    among the first n - ceil(t n) + 1 of each (prefix filter), so only these are posted to the inverted index. A list
    that the sketch says may be long is dealt over several tasks.
-3. On each list a few members are queries for all others: stars, not all pairs. The queries and the members that they ask for are
+3. On each list a few members are queries for all others: stars, not all pairs. Every class has a sign, the parities of its shingles' counts on
+   512 places; a pair whose signs differ in more places than sets of the required overlap can is no link, and no text of it moves. The queries that are left and the members that they ask for are
    dealt into blocks by the query's smallest shingle, so that near copies meet in one block and a text is sent there once for all its queries. T-occurrence
    search over the block's inverted lists decides which members reach the overlap, and links make components. While many pairs across
    components are left, there is another turn, with other queries, only on lists that still hold several components and for pairs across these.
@@ -32,6 +33,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,8 @@ STEPS = 8
 BLOCK = 4000
 #: Candidates of a block of queries, and their shingles, about.
 SEARCH_BLOCK, SEARCH_SHINGLES = 256, 1 << 20
+#: Columns of a set's sign.
+SIGN = tuple(f"sign{i}" for i in range(8))
 #: Names of classes that a task remembers as posted, and pairs that it holds before it passes them on.
 NAMES, HELD = 1 << 18, 1 << 16
 #: Turns of stars at most, and queries on a list in each after the first; another turn needs so many pairs across components for a member.
@@ -149,30 +153,39 @@ class Lists:
         return int((self.entries[i] == wanted).sum())
 
 
+def sign(own: np.ndarray) -> np.ndarray:
+    """For each of 64 * len(SIGN) bits whether an odd number of shingles falls on it: sets that differ in d shingles have signs that differ in at most d bits."""
+    odd = np.bincount((own & np.uint64(64 * len(SIGN) - 1)).astype(np.int64), minlength=64 * len(SIGN)) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _profile(docs: DataFrame, k: int, more: tuple[str, ...] = ()) -> tuple[DataFrame, np.ndarray]:
-    """doc_id, n, node (16 bytes that name the class) and more (columns of 64-bit integers) of every row; and the sketch, a byte a bucket."""
+    """doc_id, n, node (16 bytes that name the class), home (the smallest shingle), the sign and more (columns of 64-bit integers) of every row; and the sketch, a byte a bucket."""
+    extra = ["home", *SIGN, *more]
     bits = min(MOST_BITS, max(LEAST_BITS, (16 * docs.count()).bit_length()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "node", "chunk", "counts", *more]
+        names = ["doc_id", "n", "node", "chunk", "counts", *extra]
         counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
-            size, node = [], []
-            for own in sets(batch.column("text"), k):
+            size, node, home, marks = [], [], [], np.zeros((len(batch), len(SIGN)), np.int64)
+            for i, own in enumerate(sets(batch.column("text"), k)):
                 size.append(len(own))
                 node.append(digest(own) if len(own) else None)
+                home.append(int(own[0].view(np.int64)) if len(own) else 0)
+                marks[i] = sign(own)
                 np.add.at(counts, _bucket(own, bits), 1)
             none = pa.nulls(len(size), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), none, pa.nulls(len(size), pa.binary()), *map(batch.column, more)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(size, pa.int64()), pa.array(node, pa.binary()), none, pa.nulls(len(size), pa.binary()), pa.array(home, pa.int64()), *(pa.array(marks[:, i].copy()) for i in range(len(SIGN))), *map(batch.column, more)], names)
         chunks = [c for c in range(len(counts) // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
         pack = zstandard.ZstdCompressor(level=1).compress
         parts = [pack(counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8").tobytes()) for c in chunks]
         nothing = [pa.nulls(len(chunks), t) for t in (pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary()), *[pa.nulls(len(chunks), pa.int64())] * len(more)], names)
+        yield pa.RecordBatch.from_arrays([*nothing, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary()), *[pa.nulls(len(chunks), pa.int64())] * len(extra)], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -183,12 +196,12 @@ def _profile(docs: DataFrame, k: int, more: tuple[str, ...] = ()) -> tuple[DataF
         steps = [np.minimum(255, np.log2(np.maximum(x, 1)) * STEPS).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(steps, pa.binary())], ["chunk", "counts"])
 
-    both = save(texts(docs, *more).mapInArrow(run, ", ".join(["doc_id long, n long, node binary, chunk int, counts binary", *[f"{c} long" for c in more]])), "jaccard-profile")
+    both = save(texts(docs, *more).mapInArrow(run, ", ".join(["doc_id long, n long, node binary, chunk int, counts binary", *[f"{c} long" for c in extra]])), "jaccard-profile")
     sketch = np.zeros(1 << bits, np.uint8)
     summed = both.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     for r in summed.toLocalIterator():  # as many rows as the sketch has chunks
         sketch[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(bytes(r.counts), np.uint8)
-    return both.where("chunk is null").select("doc_id", "n", "node", *more), sketch
+    return both.where("chunk is null").select("doc_id", "n", "node", *extra), sketch
 
 
 def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, block: int) -> DataFrame:
@@ -261,7 +274,7 @@ def _stars(lists: DataFrame, percent: int, queries: int, skip: int) -> DataFrame
         sizes = F.lit(100) * F.least(q["size"], F.col("size")) >= F.lit(percent) * F.greatest(q["size"], F.col("size"))
         return q.isNotNull() & (q["root"] != F.col("root")) & sizes & (F.least(q["size"] - q["place"], F.col("size") - F.col("place")) >= need)
 
-    pairs = rows.select("node", "size", F.explode(F.filter("heads", may)).alias("q")).select(F.col("q.node").alias("a"), F.col("node").alias("b"), F.col("size").alias("b_size"))
+    pairs = rows.select("node", F.explode(F.filter("heads", may)).alias("q")).select(F.col("q.node").alias("a"), F.col("node").alias("b"))
     return pairs.distinct()
 
 
@@ -270,7 +283,7 @@ def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            a, b, b_size = [], [], []
+            a, b = [], []
             size = np.array([r[0] for r in rows])
             place = np.array([r[1] for r in rows])
             mine = np.array([r[2] for r in rows])
@@ -279,8 +292,8 @@ def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
             split = len(set(mine.tolist())) > 1
             for x in range(1, len(rows) + 1):
                 if len(a) > HELD or x == len(rows):
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(b_size, pa.int32())], ["a", "b", "b_size"])
-                    a, b, b_size = [], [], []
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+                    a, b = [], []
                 if x == len(rows):
                     return
                 low = int(np.searchsorted(size, -(-percent * size[x] // 100)))
@@ -289,10 +302,8 @@ def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
                 if split:
                     near = near[mine[near] != mine[x]]
                 for y in near.tolist():
-                    large, small = (x, y) if rows[x][3] > rows[y][3] else (y, x)
-                    a.append(rows[large][3])
-                    b.append(rows[small][3])
-                    b_size.append(rows[small][0])
+                    a.append(max(rows[x][3], rows[y][3]))
+                    b.append(min(rows[x][3], rows[y][3]))
 
         last, held = None, []
         for batch in batches:
@@ -309,48 +320,36 @@ def _across(lists: DataFrame, percent: int, block: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = lists.select("token", "size", "place", "mine", "node", "root", other).withColumns({"one": F.least("mine", "other"), "two": F.greatest("mine", "other")})
     ordered = dealt.repartition("token", "one", "two").sortWithinPartitions("token", "one", "two", "size", "node")
-    return ordered.mapInArrow(run, "a binary, b binary, b_size int").distinct()
+    return ordered.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _texts_of(nodes: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """node, text, home (the smallest shingle): one text of each class in nodes, as a table."""
-    heads = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    heads = save(heads.join(nodes, "node", "left_semi"), "jaccard-heads")
+def _classes(rows: DataFrame) -> DataFrame:
+    """node, doc_id (the smallest of its rows), size, home and sign of each class."""
+    return rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("size"), *(F.first(c).alias(c) for c in ("home", *SIGN)))
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = [(digest(s), int(s[0].view(np.int64))) if len(s) else (b"", 0) for s in sets(batch.column("text"), k)]
-            # rows that repeat a doc_id with another text drop out by their digest, and with the same text by their node
-            keep = [i for i, ((name, _), node) in enumerate(zip(own, batch.column("node").to_pylist())) if (name == node if node is not None else name)]
-            yield pa.RecordBatch.from_arrays([pa.array([own[i][0] for i in keep], pa.binary()), batch.column("text").take(pa.array(keep, pa.int64())), pa.array([own[i][1] for i in keep], pa.int64())], ["node", "text", "home"])
 
-    schema = "node binary, text string, home long"
-    ids = heads.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key"))
-    asked = texts(docs).where(KeyFilter(ids, ids.count()).maybe(F.col("doc_id").cast("long")))
-    full = asked.join(heads, "doc_id").select("node", "text").mapInArrow(named, schema)
-    nameless = heads.where("doc_id is null")
-    if not nameless.isEmpty():
-        # classes of rows without a doc_id are found by their sets
-        there = texts(docs).where("doc_id is null").select(F.lit(None).cast("binary").alias("node"), "text").mapInArrow(named, schema)
-        full = full.unionByName(there.join(nameless.select("node"), "node", "left_semi"))
-    full = save(full, "jaccard-texts")
-    if full.count() > heads.count():
-        full = save(full.dropDuplicates(["node"]), "jaccard-texts")
-    drop(docs.sparkSession, heads)
-    return full
-
-
-def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_block: int) -> DataFrame:
-    """Pairs of classes that link, each of pairs (a, b, b_size) among them if it does: every a asks the blocks of its home that hold a b of it."""
-    total = pairs.count()
-    queries = pairs.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n")).join(full.select("node", "home"), "node").withColumnRenamed("node", "a")
-    at_home = save(join_groups(pairs, queries, ["a"], "n", total).select("home", "a", "b", "b_size"), "jaccard-asked")
+def _asked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """home, a, b, their doc_ids and b's size of those pairs (a, b) whose signs leave room for the overlap."""
+    def of(side: str) -> DataFrame:
+        return classes.select(*(F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in classes.columns))
+
+    queries = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).join(of("a"), "a")
+    both = join_groups(pairs, queries, ["a"], "n", pairs.count()).join(of("b"), "b")
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in SIGN))
+    sizes = F.col("a_size") + F.col("b_size")
+    room = sizes - differ >= 2 * F.ceil(F.lit(percent) * sizes / F.lit(100 + percent))
+    return both.where(room).select(F.col("a_home").alias("home"), "a", "a_doc_id", "b", "b_doc_id", "b_size")
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool, k: int, percent: int, search_block: int) -> DataFrame:
+    """Pairs of classes that link, each of pairs (a, b) among them if it does: every a asks the blocks of its home that hold a b of it."""
+    at_home = save(_asked(pairs, classes, percent), "jaccard-asked")
     members = at_home.select("home", "b", "b_size").distinct().groupBy("home").agg(F.count(F.lit(1)).alias("members"), F.sum("b_size").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("members") / search_block, F.col("shingles") / SEARCH_SHINGLES)).cast("int").alias("blocks")
     homes = at_home.groupBy("home").agg(F.count(F.lit(1)).alias("n")).join(members, "home").select("home", "n", blocks)
-    dealt = join_groups(at_home, homes, ["home"], "n", total).select("home", "a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"))
+    dealt = join_groups(at_home, homes, ["home"], "n", at_home.count()).withColumn("block", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int"))
     # candidates (not asking) come first in a block
-    roles = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(True).alias("asks")), F.struct(F.col("b").alias("node"), F.lit(False).alias("asks")))).alias("r")
+    roles = F.explode(F.array(*(F.struct(F.col(c).alias("node"), F.col(f"{c}_doc_id").alias("doc_id"), F.lit(c == "a").alias("asks")) for c in "ab"))).alias("r")
     wanted = dealt.select("home", "block", roles).select("home", "block", "r.*").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,6 +360,8 @@ def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_bl
             for own, home, block, node, asks in zip(sets(batch.column("text"), k), *columns):
                 if (home, block) != last:
                     last, names, held, lists = (home, block), [], [], None
+                if digest(own) != node:
+                    continue  # another text of the same doc_id
                 if not asks:
                     names.append(node)
                     held.append(own)
@@ -372,8 +373,31 @@ def _verified(pairs: DataFrame, full: DataFrame, k: int, percent: int, search_bl
                 b += hits
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    ordered = wanted.join(full.select("node", "text"), "node").repartition("home", "block").sortWithinPartitions("home", "block", "asks")
-    return ordered.select("home", "block", "node", "asks", "text").mapInArrow(run, "a binary, b binary")
+    ordered = _with_texts(wanted, docs, unique, k).repartition("home", "block").sortWithinPartitions("home", "block", "asks")
+    return ordered.mapInArrow(run, "a binary, b binary")
+
+
+def _with_texts(wanted: DataFrame, docs: DataFrame, unique: bool, k: int) -> DataFrame:
+    """home, block, node, asks and the text of each row (home, block, node, doc_id, asks); a doc_id's other texts may come too."""
+    wanted = save(wanted, "jaccard-wanted")
+    ids = wanted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct()
+    asked = texts(docs).where(KeyFilter(ids, ids.count()).maybe(F.col("doc_id").cast("long")))
+    if not unique:
+        asked = asked.dropDuplicates(["doc_id", "text"])
+    out = asked.join(wanted, "doc_id").select("home", "block", "node", "asks", "text")
+    nameless = wanted.where("doc_id is null")
+    if nameless.isEmpty():
+        return out
+
+    # classes of rows without a doc_id are found by their sets
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [digest(s) if len(s) else None for s in sets(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column("text")], ["node", "text"])
+
+    there = texts(docs).where("doc_id is null").select("text").mapInArrow(named, "node binary, text string")
+    there = there.join(nameless.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    return out.unionByName(there.join(nameless, "node").select("home", "block", "node", "asks", "text"))
 
 
 def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int = BLOCK, search_block: int = SEARCH_BLOCK, more: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -384,23 +408,24 @@ def similar_classes(docs: DataFrame, k: int = 4, percent: int = 85, block: int =
         posted = _postings(docs, k, percent, sketch, block)
         lists = _lists(posted, percent)
         lists = save(lists, "jaccard-lists")
-        full = _texts_of(lists.select("node").distinct(), docs, rows, k)
+        classes = save(_classes(rows), "jaccard-classes")
+        unique = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
         tried = linked = None
         crowded, turn = True, 0
         while crowded and turn < TURNS:
             pairs = _stars(lists.withColumn("root", F.col("node")) if linked is None else lists, percent, QUERIES if turn else 1, 1 + QUERIES * (turn - 1) if turn else 0)
-            pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b", "b_size")
+            pairs = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"), "a", "b")
             if tried is not None:
                 pairs = pairs.join(tried, ["x", "y"], "left_anti")
             pairs = save(pairs, "jaccard-pairs")
             tried = pairs.select("x", "y") if tried is None else tried.unionByName(pairs.select("x", "y"))
-            linked = _joined(linked, _verified(pairs.select("a", "b", "b_size"), full, k, percent, search_block))
+            linked = _joined(linked, _verified(pairs.select("a", "b"), classes, docs, unique, k, percent, search_block))
             lists, crowded = _still_open(lists, linked)
             turn += 1
         still = lists.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         across = _across(still, percent, block).join(tried.select(F.col("x").alias("a"), F.col("y").alias("b")), ["a", "b"], "left_anti")
         across = save(across, "jaccard-pairs")
-        linked = _joined(linked, _verified(across, full, k, percent, search_block))
+        linked = _joined(linked, _verified(across, classes, docs, unique, k, percent, search_block))
         scratch.keep(linked)
     return rows, linked
 
