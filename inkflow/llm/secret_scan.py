@@ -20,25 +20,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import join_groups, save, sha256_text
+from ._shared import drop, join_groups, save, sha256_text
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost non-overlapping matches of pattern; those whose group is shorter than least are dropped."""
+    """Leftmost non-overlapping matches of pattern; those whose group is shorter than least are dropped.
+
+    Where the whole match is tested and the pattern is head, then run once or more, a match is as long as its run, so the least
+    length may stand in the pattern that is searched: the kept matches are the same.
+    """
 
     kind: str
     version: int
     pattern: str
     group: int
     least: int
+    head: str = ""
+    run: str = ""
+
+    @property
+    def searched(self) -> str:
+        return f"{self.head}{self.run}{{{self.least - len(self.head)},}}" if self.run and self.least > len(self.head) else self.pattern
+
+    @property
+    def hint(self) -> str:
+        """A pattern that every text with a kept match has."""
+        return self.pattern[:-2] + f"{{{self.least},}})" if self.group and self.pattern.endswith("]+)") else self.searched
 
 
 # The base rules.
 BASE_RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
-    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16),
-    Rule("hex", 1, r"[0-9a-f]+", 0, 32),
+    Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16, "AKIA", "[A-Z0-9]"),
+    Rule("hex", 1, r"[0-9a-f]+", 0, 32, "", "[0-9a-f]"),
 )
 #: What the scan finds besides: private key headers, JSON web tokens, prefixed access tokens.
 MORE_RULES = (
@@ -48,6 +63,9 @@ MORE_RULES = (
 )
 RULES = (*BASE_RULES, *MORE_RULES)
 
+#: Bits of the filter of rows to fetch: 2**18 words of 64.
+MASK_BITS = 24
+
 SCANNED = "sha string, kind string, version int"
 FINDINGS = "sha string, kind string, version int, start long, end long"
 
@@ -55,27 +73,25 @@ FINDINGS = "sha string, kind string, version int, start long, end long"
 def _hint(rule: Rule) -> Column:
     """A cheap test that every text with a kept match of the rule passes."""
     text = F.col("text")
-    if rule.kind == "hex":
-        return text.rlike(f"[0-9a-f]{{{rule.least}}}")
-    if rule.kind == "access":
-        return text.contains("AKIA")
-    if rule.kind == "private_key":
-        return text.contains("PRIVATE KEY-----")
-    if rule.kind == "jwt":
-        return text.contains("eyJ")
-    return text.rlike(rule.pattern)
+    plain = {"access": "AKIA", "private_key": "PRIVATE KEY-----", "jwt": "eyJ"}.get(rule.kind)
+    return text.contains(plain) & text.rlike(rule.hint) if plain else text.rlike(rule.hint)
+
+
+def hits(rules: tuple[Rule, ...]) -> Column:
+    """The kinds of the rules that may match."""
+    return F.array_compact(F.array(*(F.when(_hint(r), F.lit(r.kind)) for r in rules)))
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of blobs (sha, text, kinds: the rules to run)."""
     per_rule = []
     for rule in rules:
-        p = F.lit(rule.pattern)
+        p = F.lit(rule.searched)
         gaps = F.transform(F.split("text", p, -1), F.length)
         matches = F.transform(F.regexp_extract_all("text", p, F.lit(0)), F.length)
         tested = F.transform(F.regexp_extract_all("text", p, F.lit(rule.group)), F.length) if rule.group else matches
         found = F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rule.least).alias("least"), F.arrays_zip(gaps.alias("gap"), matches.alias("size"), tested.alias("tested")).alias("parts"))
-        per_rule.append(F.when(F.array_contains("kinds", rule.kind) & _hint(rule), found))
+        per_rule.append(F.when(F.array_contains("kinds", rule.kind), found))
     each = blobs.select("sha", F.explode(F.array_compact(F.array(*per_rule))).alias("r"))
     each = each.select("sha", "r.kind", "r.version", "r.least", F.posexplode("r.parts").alias("i", "part"))
     each = each.select("sha", "kind", "version", "least", "i", F.col("part.gap").cast("long").alias("gap"), F.col("part.size").cast("long").alias("size"), F.col("part.tested").alias("tested"))
@@ -86,6 +102,18 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     return placed.select("sha", "kind", "version", (F.col("end") - F.col("size")).alias("start"), "end")
 
 
+def _asked(rows: DataFrame, wanted: DataFrame, key: Column) -> DataFrame:
+    """rows with _asked, whether the key may be one of wanted: true of all of these, and of few others while there are bits enough.
+
+    The bits are 2**MASK_BITS at most, as words of 64 in a table that is broadcast.
+    """
+    bits = min(MASK_BITS, max(10, (16 * wanted.count()).bit_length()))
+    at = F.shiftrightunsigned(key, 64 - bits)
+    bit = F.expr("shiftleft(1L, cast(_at & 63 AS int))")
+    mask = wanted.select(at.alias("_at")).select(F.shiftright("_at", 6).alias("_word"), bit.alias("bit")).groupBy("_word").agg(F.bit_or("bit").alias("_mask"))
+    return rows.withColumn("_at", at).withColumn("_word", F.shiftright("_at", 6)).join(F.broadcast(mask), "_word").select(*rows.columns, (F.col("_mask").bitwiseAND(bit) != 0).alias("_asked"))
+
+
 class Ledger:
     """The scanned pairs and the findings under a folder that driver and executors share."""
 
@@ -121,12 +149,15 @@ class Ledger:
         whole = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("sha", sha256_text(F.col("text")))
         rows = save(whole.select("doc_id", "sha"), "secret-rows")
         todo = save(self.unseen(rows, rules), "secret-todo")
-        w, t = whole.alias("w"), todo.hint("shuffle_hash").alias("t")
-        blobs = w.join(t, F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.sha") == F.col("t.sha"))).select("w.sha", "w.text", "t.kinds")
+        # only rows that may be asked for and may hold a match are sent to meet what is asked
+        may = _asked(whole, todo, F.xxhash64("doc_id", "sha")).withColumn("hits", F.when(F.col("_asked"), hits(rules))).where(F.size("hits") > 0)
+        w, t = may.alias("w"), todo.alias("t")
+        blobs = w.join(t, F.col("w.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("w.sha") == F.col("t.sha"))).select("w.sha", "w.text", F.array_intersect("w.hits", "t.kinds").alias("kinds"))
         scan_blobs(blobs, rules).write.mode("append").parquet(f"{self.folder}/findings")
         versions = F.create_map(*(F.lit(x) for r in rules for x in (r.kind, r.version)))
         pairs = todo.select("sha", F.explode("kinds").alias("kind")).select("sha", "kind", versions[F.col("kind")].alias("version"))
         pairs.write.mode("append").parquet(f"{self.folder}/scanned")
+        drop(self.spark, todo)
         return rows
 
 

@@ -5,7 +5,7 @@ import random
 import re
 from dataclasses import replace
 
-from inkflow.llm.secret_scan import BASE_RULES, RULES, Ledger, scan_documents
+from inkflow.llm.secret_scan import BASE_RULES, FINDINGS, RULES, Ledger, scan_documents
 
 SCHEMA = "doc_id long, text string, sha string, kind int"
 PARTS = ["password", "PassWord", "token", "api_key", "APIKEY", "secret", "=", ": ", " = ", "'", '"', "abcdefgh", "A1b2", "tok", " ", "\n", "AKIA", "AKIAABCDEFGHIJKL", "Z" * 13, "0123456789abcdef", "deadbeef" * 4, "é", "🙂", "ſecret", "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefghij", "-----BEGIN RSA PRIVATE KEY-----", "ghp_" + "a1" * 18]
@@ -55,5 +55,25 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert {r.doc_id: r.n_assign for r in scan_documents(two, ledger.folder, RULES).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
 
 
+def test_searched_patterns_keep_the_same_matches():
+    rng = random.Random(9)
+    for rule in (replace(BASE_RULES[1], least=7), replace(BASE_RULES[2], least=5)):
+        for _ in range(4000):
+            text = "".join(rng.choices(["AKIA", "A", "K", "0", "a", "f", "9", " ", "é"], k=rng.randint(0, 24)))
+            kept = [m.span() for m in re.finditer(rule.pattern, text) if len(m[0]) >= rule.least]
+            assert [m.span() for m in re.finditer(rule.searched, text)] == kept
+    assert BASE_RULES[0].hint.endswith("{8,})") and BASE_RULES[0].searched == BASE_RULES[0].pattern
+
+
+def test_a_second_scan_moves_no_text(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    docs = spark.createDataFrame([(i, f"password=abcdefgh{i % 30}", "", 0) for i in range(90)], SCHEMA)
+    assert len(scan_documents(docs, ledger.folder).where("n_assign = 1").collect()) == 90
+    assert ledger.findings(RULES).count() == 30
+    assert ledger.unseen(docs.selectExpr("doc_id", "sha2(text, 256) AS sha"), RULES).isEmpty()
+    assert len(scan_documents(docs, ledger.folder).where("n_assign = 1").collect()) == 90
+    assert ledger._table("findings", FINDINGS).count() == 30
+
+
 def test_empty_table(spark, tmp_path):
     assert scan_documents(spark.createDataFrame([], SCHEMA), f"file://{tmp_path}/l").collect() == []
