@@ -19,8 +19,12 @@ from ._words import span_hashes
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
 #: Distinct pre-tokens (of at most KEPT_BYTES) that a Python worker remembers before it starts anew.
 KEPT_PIECES, KEPT_BYTES = 1_500_000, 64
+#: A text of more bytes is cut into windows of about that many, where a cut is safe.
+LONG = 4 << 20
 _CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 _WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
 def ragged_take(pool: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -36,6 +40,38 @@ def bounds(lengths: np.ndarray) -> np.ndarray:
     return out
 
 
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether each span of a equals that of b of the same length."""
+    if len(lengths) and (b_starts[1:] == b_starts[:-1] + lengths[:-1]).all():
+        equal = ragged_take(a, a_starts, lengths) == b[b_starts[0] : b_starts[-1] + lengths[-1]]  # one after the other
+    else:
+        equal = ragged_take(a, a_starts, lengths) == ragged_take(b, b_starts, lengths)
+    if equal.all():
+        return np.ones(len(lengths), bool)
+    wrong = np.zeros(len(equal) + 1, np.int64)
+    np.cumsum(~equal, out=wrong[1:])
+    at = bounds(lengths)
+    return wrong[at[1:]] == wrong[at[:-1]]
+
+
+class Growing:
+    """An array that grows at its end by doubling."""
+
+    def __init__(self, kind: type, columns: int = 0) -> None:
+        self.all = np.empty((1 << 14, columns) if columns else 1 << 16, kind)
+        self.n = 0
+
+    def add(self, more: np.ndarray) -> int:
+        first = self.n
+        if first + len(more) > len(self.all):
+            wider = np.empty((max(2 * len(self.all), first + len(more)), *self.all.shape[1:]), self.all.dtype)
+            wider[:first] = self.all[:first]
+            self.all = wider
+        self.all[first : first + len(more)] = more
+        self.n += len(more)
+        return first
+
+
 @cache
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
@@ -85,6 +121,25 @@ class Vocabulary:
         kinds[_WHITE] = SPACE
         self.kinds = kinds
 
+    def windows(self, raw: np.ndarray, offsets: np.ndarray, limit: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Texts as they are, but for a long one by itself: that in windows, cut before a single space between two letters or digits,
+        where a pre-token starts whatever stands around. Without such a space a window is longer."""
+        limit = limit or LONG
+        if len(offsets) != 2 or len(raw) <= 2 * limit or any(b" " in w for w in self.special):
+            return [(raw, offsets)]
+        cuts, at = [0], limit
+        while at < len(raw) - limit:
+            part = raw[at - 1 : at + (limit >> 2)]
+            plain = _PLAIN[part]
+            spots = np.flatnonzero((part[1:-1] == 0x20) & plain[:-2] & plain[2:])
+            if len(spots):
+                cuts.append(at + int(spots[0]))
+                at = cuts[-1] + limit
+            else:
+                at += (limit >> 2) - 1
+        cuts.append(len(raw))
+        return [(raw[a:b], np.array([0, b - a])) for a, b in zip(cuts[:-1], cuts[1:])]
+
     def kind(self, points: np.ndarray) -> np.ndarray:
         got = self.kinds[points]
         if (unknown := got == UNKNOWN).any():
@@ -234,60 +289,79 @@ class Encoder:
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # hashes of what is remembered, in order, and their places
         self.places = np.zeros(0, np.int32)
-        self.pool = np.empty(1 << 16, np.int32)
-        self.pool_end = 0
-        self.at = np.empty(1 << 14, np.int32)
-        self.count = np.empty(1 << 14, np.int32)
-        self.n = 0
+        self.ids, self.at, self.count = Growing(np.int32), Growing(np.int32), Growing(np.int32)
+        self.bytes, self.bytes_at, self.size = Growing(np.uint8), Growing(np.int64), Growing(np.int32)
 
-    def _store(self, ids: np.ndarray, counts: np.ndarray) -> int:
-        first = self.n
-        while self.pool_end + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while self.n + len(counts) > len(self.at):
-            self.at, self.count = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.count))
-        self.pool[self.pool_end : self.pool_end + len(ids)] = ids
-        self.at[self.n : self.n + len(counts)] = self.pool_end + bounds(counts)[:-1]
-        self.count[self.n : self.n + len(counts)] = counts
-        self.pool_end += len(ids)
-        self.n += len(counts)
-        return first
+    def _store(self, ids: np.ndarray, counts: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> int:
+        """Ids and bytes (of short ones) of pre-tokens; the place of the first."""
+        lengths = ends - starts
+        kept = np.where(lengths <= KEPT_BYTES, lengths, 0)
+        self.bytes_at.add(self.bytes.n + bounds(kept)[:-1])
+        self.bytes.add(ragged_take(raw, starts, kept))
+        self.size.add(lengths)
+        self.at.add(self.ids.n + bounds(counts)[:-1])
+        self.ids.add(ids)
+        return self.count.add(counts)
 
     def look_up(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
-        """The place of each pre-token in at and count."""
-        if self.n > self.kept or self.pool_end > 1 << 26:
+        """The place of each pre-token in at and count. Hashes find what is remembered, bytes decide."""
+        if self.count.n > self.kept or self.ids.n > 1 << 26:
             self.forget()
+        lengths = ends - starts
         hashes = span_hashes(raw, starts, ends)
         hashes[number >= 0] ^= np.uint64(0xA5A5A5A5A5A5A5A5)
         keys, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        alike = sample[inverse]
+        if (lengths[alike] != lengths).any() or not same_bytes(raw, starts[alike], raw, starts, lengths).all():
+            return self._without_hashes(raw, starts, ends, number)
         slot = np.searchsorted(self.keys, keys)
         old = np.zeros(len(keys), bool)
         if len(self.keys):
             old = self.keys[np.minimum(slot, len(self.keys) - 1)] == keys
         place = np.empty(len(keys), np.int64)
-        place[old] = self.places[slot[old]]
+        known = self.places[slot[old]].astype(np.int64)
+        s = sample[old]
+        agrees = self.size.all[known] == lengths[s]
+        agrees[agrees] = same_bytes(self.bytes.all, self.bytes_at.all[known[agrees]], raw, starts[s[agrees]], lengths[s[agrees]])
+        taken = old.copy()  # hashes that are remembered for other bytes stay theirs
+        old[old] = agrees
+        place[old] = known[agrees]
         new = np.flatnonzero(~old)
         if len(new):
-            s = sample[new]
-            special = number[s] >= 0
-            ids, counts = self.merge(raw, starts[s[~special]], ends[s[~special]])
-            first = self._store(ids, counts)
-            place[new[~special]] = first + np.arange(len(counts))
-            if special.any():
-                first = self._store(number[s[special]], np.ones(int(special.sum()), np.int64))
-                place[new[special]] = first + np.arange(int(special.sum()))
-            short = new[(ends[s] - starts[s]) <= KEPT_BYTES]
+            place[new] = self._encoded(raw, starts[sample[new]], ends[sample[new]], number[sample[new]])
+            short = new[(lengths[sample[new]] <= KEPT_BYTES) & ~taken[new]]
             self.keys = np.insert(self.keys, slot[short], keys[short])
             self.places = np.insert(self.places, slot[short], place[short])
         return place[inverse]
 
+    def _encoded(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        place = np.empty(len(starts), np.int64)
+        special = number >= 0
+        for mine in (~special, special):
+            if mine.any():
+                a, b = starts[mine], ends[mine]
+                ids, counts = (number[mine], np.ones(len(a), np.int64)) if mine is special else self.merge(raw, a, b)
+                place[mine] = self._store(ids, counts, raw, a, b) + np.arange(len(a))
+        return place
+
+    def _without_hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The same for texts in which two pre-tokens have the same hash; nothing is remembered."""
+        whole = raw.tobytes()
+        first: dict[tuple[bytes, int], int] = {}
+        of = [first.setdefault((whole[a:b], i), len(first)) for a, b, i in zip(starts.tolist(), ends.tolist(), number.tolist())]
+        sample = np.unique(np.array(of), return_index=True)[1]
+        return self._encoded(raw, starts[sample], ends[sample], number[sample])[np.array(of)]
+
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """The number of tokens of each text."""
+        parts = self.vocab.windows(raw, offsets)
+        if len(parts) > 1:
+            return sum(self.counts(*p) for p in parts)
         starts, ends, number, _ = self.vocab.split(raw, offsets)
         if not len(starts):
             return np.zeros(len(offsets) - 1, np.int64)
         place = self.look_up(raw, starts, ends, number)
-        total = bounds(self.count[place])
+        total = bounds(self.count.all[place])
         return np.diff(total[np.searchsorted(starts, offsets)])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -302,8 +376,8 @@ class Encoder:
             none = np.zeros(0, np.int64)
             return none, np.zeros(len(offsets), np.int64), none, none
         place = self.look_up(raw, starts, ends, number)
-        total = bounds(self.count[place])
-        ids = ragged_take(self.pool, self.at[place].astype(np.int64), self.count[place]).astype(np.int64)
+        total = bounds(self.count.all[place])
+        ids = ragged_take(self.ids.all, self.at.all[place].astype(np.int64), self.count.all[place]).astype(np.int64)
         return ids, total[np.searchsorted(starts, offsets)], starts[inner], total[:-1][inner]
 
 

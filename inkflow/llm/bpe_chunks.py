@@ -1,13 +1,13 @@
 """BPE encoding and decoding with content-defined chunk reuse.
 
 A rolling hash over the last WINDOW bytes cuts texts into chunks, so that a passage that several documents share falls
-into the same chunks wherever it stands. A worker encodes each distinct chunk once for as long as it remembers it. Tokens
-near a join may be wrong, since the chunks on both sides were encoded without each other; the stretch from the last safe
-cut before the join to the first one after it is encoded again. A safe cut is a single space between two characters that
-aren't white space: a pre-token starts there whatever stands around, so there both encodings agree with the whole text's.
-A chunk without a safe cut joins the stretch, which grows until both of its ends agree (in the end, the whole text).
+into the same chunks wherever it stands. A worker encodes each distinct chunk once for as long as it remembers it; a hash finds a
+chunk, its bytes decide. Tokens near a join may be wrong, since the chunks on both sides were encoded without each other. A safe cut is a single space
+between two characters that aren't white space: a pre-token starts there whatever stands around. The stretch from a chunk's
+last safe cut but one to the next one's second is encoded again, and must agree with what both chunks have between their outer and inner
+cuts; a chunk without a safe cut joins the stretch. Where a join doesn't agree, the texts are encoded whole.
 Rows are independent, so there is no shuffle; chunks are shared within a worker, not sent between workers, since that
-would move every text twice.
+would move every text twice. A long text goes window by window.
 
 Defined results: a null text counts as empty, with no ids and an empty decoded text; repeated rows each give a row; a null
 doc_id stays null; an empty table gives an empty result. Other columns are not looked at.
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._pieces import Vocabulary, bounds, encoder, ragged_take, vocabulary
+from ._pieces import Growing, Vocabulary, bounds, encoder, ragged_take, same_bytes, vocabulary
 from ._shared import text_slices, texts
 from ._words import mix, span_hashes
 
@@ -63,48 +63,58 @@ def chunk_starts(raw: np.ndarray, offsets: np.ndarray, bits: int = AVERAGE_BITS,
 
 
 class ChunkStore:
-    """A worker's chunks: the ids of each, and its first and last safe cut."""
+    """A worker's chunks: the bytes and ids of each, and its first two and last two safe cuts."""
 
     def __init__(self, path: str) -> None:
         self.encoder = encoder(path, "library_merge")
+        self.seen = self.reused = self.disagreed = 0
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.pools: list[np.ndarray] = []
-        self.rows: list[np.ndarray] = []
-        self.kept = 0
-        self.table = np.zeros((0, 6), np.int64)
-        self.pool = np.zeros(0, np.int32)
-        self.reused = 0
-
-    def place(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """The row of each chunk in table (ids' start and number, bytes and ids before the first safe cut and before the last; -1 without any)."""
-        if self.kept > KEPT_IDS:
+        self.ids, self.bytes = Growing(np.int32), Growing(np.uint8)
+        self.table = Growing(np.int64, 12)
+
+    def place(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+        """The row of each chunk in table; None if two chunks have the same hash.
+
+        A row: ids' start and number; bytes and ids before the first, the second, the last but one and the last safe cut (-1 without any); bytes' start and number.
+        """
+        if self.ids.n > KEPT_IDS:
             self.forget()
+        size = ends - starts
         keys, sample, inverse = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
         names = keys.tolist()
         place = np.array([self.known.get(k, -1) for k in names], np.int64)
+        old = np.flatnonzero(place >= 0)
+        rows, s, alike = self.table.all[place[old]], sample[old], sample[inverse]
+        if (rows[:, 11] != size[s]).any() or (size[alike] != size).any():
+            return None
+        if not same_bytes(self.bytes.all, rows[:, 10], raw, starts[s], size[s]).all() or not same_bytes(raw, starts[alike], raw, starts, size).all():
+            return None
         new = np.flatnonzero(place < 0)
+        self.seen += len(starts)
         self.reused += len(starts) - len(new)
         if len(new):
             a, b = starts[sample[new]], ends[sample[new]]
             own = ragged_take(raw, a, b - a)
             at = bounds(b - a)
             ids, ids_at, cuts, cuts_ids = self.encoder.encode_cut(own, at)
-            table = np.full((len(new), 6), -1, np.int64)
-            table[:, 0] = len(self.pool) + ids_at[:-1]
+            table = np.full((len(new), 12), -1, np.int64)
+            table[:, 0] = self.ids.n + ids_at[:-1]
             table[:, 1] = np.diff(ids_at)
             lo, hi = np.searchsorted(cuts, at[:-1]), np.searchsorted(cuts, at[1:])
             has = np.flatnonzero(hi > lo)
-            table[has, 2] = cuts[lo[has]] - at[has]
-            table[has, 3] = cuts_ids[lo[has]] - ids_at[has]
-            table[has, 4] = cuts[hi[has] - 1] - at[has]
-            table[has, 5] = cuts_ids[hi[has] - 1] - ids_at[has]
-            place[new] = len(self.table) + np.arange(len(new))
-            self.table = np.concatenate([self.table, table])
-            self.pool = np.concatenate([self.pool, ids.astype(np.int32)])
-            self.kept = len(self.pool)
+            # with fewer than three cuts the inner ones are the outer ones, so that nothing is left between them to compare
+            inner = (hi - lo)[has] > 2
+            for column, cut in zip((2, 4, 6, 8), (lo[has], lo[has] + inner, hi[has] - 1 - inner, hi[has] - 1)):
+                table[has, column] = cuts[cut] - at[has]
+                table[has, column + 1] = cuts_ids[cut] - ids_at[has]
+            table[:, 10] = self.bytes.n + at[:-1]
+            table[:, 11] = b - a
+            place[new] = self.table.add(table) + np.arange(len(new))
+            self.ids.add(ids)
+            self.bytes.add(own)
             for i in new.tolist():
                 self.known[names[i]] = int(place[i])
         return place[inverse]
@@ -115,28 +125,45 @@ class ChunkStore:
             return np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         starts = chunk_starts(raw, offsets)
         ends = np.append(starts[1:], len(raw))
-        t = self.table_of(raw, starts, ends)
+        place = self.place(raw, starts, ends)
+        joined = None if place is None else self._joined(raw, offsets, starts, ends, self.table.all[place])
+        if joined is None:
+            self.disagreed += 1
+            return self.encoder.encode(raw, offsets)
+        return joined
+
+    def _joined(self, raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """The chunks' ids with every join encoded again; None if that doesn't agree with the chunks around a join."""
+        size = ends - starts
         begins = np.isin(starts, offsets[:-1][np.diff(offsets) > 0], assume_unique=True)
         closes = np.append(begins[1:], True)
         has = t[:, 2] >= 0
-        # what stays of each chunk: from its first safe cut (or the text's start) to its last (or the text's end)
-        lo = np.where(begins, 0, t[:, 2])
-        hi = np.where(closes, ends - starts, t[:, 4])
-        ids_lo = np.where(begins, 0, t[:, 3])
-        ids_hi = np.where(closes, t[:, 1], t[:, 5])
+        # what stays of each chunk: from its second safe cut (or the text's start) to its last but one (or the text's end)
+        lo, ids_lo = np.where(begins, 0, t[:, 4]), np.where(begins, 0, t[:, 5])
+        hi, ids_hi = np.where(closes, size, t[:, 6]), np.where(closes, t[:, 1], t[:, 7])
+        # ids between the outer and the inner cuts are there twice, and must agree
+        before, after = np.where(closes | ~has, 0, t[:, 9] - t[:, 7]), np.where(begins | ~has, 0, t[:, 5] - t[:, 3])
         alone = begins & closes
         head, tail = begins & ~has & ~alone, closes & ~has & ~alone
         hi[head] = ids_hi[head] = 0
-        lo[tail], ids_lo[tail] = (ends - starts)[tail], t[tail, 1]
+        lo[tail], ids_lo[tail] = size[tail], t[tail, 1]
+        # of a text's first chunk the ids before the inner cut stay, of its last those after it
         stays = has | begins | closes
         lo, hi, ids_lo, ids_hi = starts[stays] + lo[stays], starts[stays] + hi[stays], ids_lo[stays], ids_hi[stays]
-        base, closing = t[stays, 0], closes[stays]
+        base, closing, before, after = t[stays, 0], closes[stays], before[stays], after[stays]
         # the stretches between are encoded again
         gap = np.flatnonzero(~closing)
         gap_len = lo[gap + 1] - hi[gap]
         again, again_at = self.encoder.encode(ragged_take(raw, hi[gap], gap_len), bounds(gap_len))
+        m, n = before[gap], after[gap + 1]
+        if (np.diff(again_at) < np.maximum(m, n)).any():
+            return None
+        left = same_bytes(again, again_at[:-1], self.ids.all, base[gap] + ids_hi[gap], m)
+        right = same_bytes(again, again_at[1:] - n, self.ids.all, base[gap + 1] + ids_lo[gap + 1] - n, n)
+        if not (left.all() and right.all()):
+            return None
         kept_len = ids_hi - ids_lo
-        kept = ragged_take(self.pool, base + ids_lo, kept_len)
+        kept = ragged_take(self.ids.all, base + ids_lo, kept_len)
         lengths = np.zeros(2 * len(lo), np.int64)
         lengths[::2] = kept_len
         lengths[2 * gap + 1] = np.diff(again_at)
@@ -147,10 +174,6 @@ class ChunkStore:
         out[~mine] = again
         return out, at[2 * np.searchsorted(lo, offsets)] if len(lo) else np.zeros(len(offsets), np.int64)
 
-    def table_of(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        place = self.place(raw, starts, ends)
-        return self.table[place]
-
 
 @cache
 def store(path: str) -> ChunkStore:
@@ -188,8 +211,10 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
         own = store(path)
         for batch in batches:
             for i, j, raw, offsets in text_slices(batch.column("text")):
-                ids, at = own.encode(raw, offsets)
-                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
+                parts = [own.encode(*p) for p in own.encoder.vocab.windows(raw, offsets)]
+                ids = np.concatenate([x.astype(np.int32) for x, _ in parts])
+                at = parts[0][1] if len(parts) == 1 else np.array([0, len(ids)])
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), lists], ["doc_id", "ids"])
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
@@ -221,17 +246,30 @@ def encoding_digests(docs: DataFrame, path: str, with_ids: bool = False) -> Data
         for batch in batches:
             count, ids_sha, text_sha, lists = [], [], [], []
             for _, _, raw, offsets in text_slices(batch.column("text")):
-                ids, at = own.encode(raw, offsets)
-                named_len = length[ids]
-                named = ragged_take(pool, start[ids], named_len).tobytes()
-                named_at = bounds(named_len)[at].tolist()
-                data, data_at = decode(vocab, ids, at)
-                data_at = data_at.tolist()
-                count += np.diff(at).tolist()
+                parts = vocab.windows(raw, offsets)
+                n_texts = len(offsets) - 1
+                n_ids = np.zeros(n_texts, np.int64)
+                ids_hash, text_hash = ([hashlib.sha256() for _ in range(n_texts)] for _ in range(2))
+                held = []
+                for part in parts:  # windows of one text, or all texts
+                    ids, at = own.encode(*part)
+                    named_len = length[ids]
+                    named = ragged_take(pool, start[ids], named_len).tobytes()
+                    named_at = bounds(named_len)[at].tolist()
+                    data, data_at = decode(vocab, ids, at)
+                    data_at = data_at.tolist()
+                    for d in range(n_texts):
+                        last = part is parts[-1] and named_at[d + 1] > named_at[d]
+                        ids_hash[d].update(named[named_at[d] : named_at[d + 1] - last])  # no comma after the last
+                        text_hash[d].update(_as_text(data[data_at[d] : data_at[d + 1]]))
+                    n_ids += np.diff(at)
+                    if with_ids:
+                        held.append(ids.astype(np.int32))
+                count += n_ids.tolist()
                 if with_ids:
-                    lists.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
-                ids_sha += [hashlib.sha256(named[a : max(a, b - 1)]).hexdigest() for a, b in zip(named_at[:-1], named_at[1:])]
-                text_sha += [hashlib.sha256(_as_text(data[a:b])).hexdigest() for a, b in zip(data_at[:-1], data_at[1:])]
+                    lists.append(pa.ListArray.from_arrays(pa.array(bounds(n_ids).astype(np.int32)), pa.array(np.concatenate(held))))
+                ids_sha += [h.hexdigest() for h in ids_hash]
+                text_sha += [h.hexdigest() for h in text_hash]
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:

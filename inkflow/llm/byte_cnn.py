@@ -31,6 +31,8 @@ EMBEDDING, FILTERS, HIDDEN = 7, 24, 12
 #: Labelled rows of either class that the network is fitted on, and the longest text among them.
 SAMPLE, MAX_CHARS, EPOCHS = 800, 12_000, 16
 CUT = 0.3
+#: Bytes of a window of a longer text.
+LONG = STRIDE << 16
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -97,6 +99,20 @@ class Network:
         response[at[1:] - 1] = -np.inf  # the half-chunk that ends one text and begins the next
         return np.maximum.reduceat(response, at[:-1], axis=0)
 
+    def pooled_windows(self, raw: np.ndarray, limit: int) -> np.ndarray:
+        """pooled of one long text, window by window of limit bytes (whole half-chunks), each with the half-chunk and the bytes after it that its last chunk looks at."""
+        best = np.full((1, FILTERS), -np.inf, np.float32)
+        for a in range(0, len(raw), limit):
+            if last := a + 2 * limit >= len(raw):
+                limit = len(raw) - a
+            part = raw[a : a + limit + (0 if last else 2 * WIDTH)]
+            padded, again, _ = chunk_rows(part, np.array([0, len(part)]))
+            response = self.convolve(self.channels(padded, again))
+            best = np.maximum(best, (response if last else response[: limit // STRIDE]).max(axis=0))
+            if last:
+                break
+        return best
+
     def head(self, pooled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a = np.maximum(pooled + self.bias, 0)
         h = np.maximum(a @ self.hidden + self.hidden_bias, 0)
@@ -105,6 +121,8 @@ class Network:
     def score(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
             return np.zeros(0)
+        if len(offsets) == 2 and len(raw) > 2 * LONG:
+            return self.head(self.pooled_windows(raw, LONG))[2].astype(np.float64)
         return self.head(self.pooled(*chunk_rows(raw, offsets)))[2].astype(np.float64)
 
 

@@ -19,6 +19,7 @@ not looked at.
 from __future__ import annotations
 
 import io
+import math
 import struct
 import uuid
 import zlib
@@ -37,6 +38,10 @@ MAGIC = b"PFORID01"
 BLOCK = 128
 PERCENTILE = 0.9
 SEGMENT_IDS = BLOCK * 4096
+#: Bytes of text, and documents, of a file at most, about; and bytes below which there are no more files for the sake of more tasks.
+FILE_BYTES, FILE_ROWS, LEAST_BYTES = 64 << 20, 1 << 20, 1 << 20
+#: Documents of a batch that reading yields.
+READ_ROWS = 1 << 14
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_ids long"
 
 
@@ -128,8 +133,12 @@ class FileWriter:
         self.lengths: list[int] = []
 
     def add(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.doc_ids += doc_ids
-        self.lengths += lengths.tolist()
+        """Documents and their ids; without doc_ids, more ids of the last one."""
+        if doc_ids:
+            self.doc_ids += doc_ids
+            self.lengths += lengths.tolist()
+        else:
+            self.lengths[-1] += len(ids)
         self.waiting.append(ids)
         self.n_waiting += len(ids)
         if self.n_waiting >= SEGMENT_IDS:
@@ -206,7 +215,9 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | N
     """Writes the files and returns the manifest (path, first_id, last_id, n_docs, n_ids, start: the ids in files before)."""
     spark = docs.sparkSession
     folder = folder or shared_path(spark, "token-ids")
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # a file for FILE_BYTES of text, more files of less while there are no more than a task's worth for each
+    files = files or max(math.ceil(size / FILE_BYTES), math.ceil(rows / FILE_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / LEAST_BYTES)), 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary, "library_merge")
@@ -220,8 +231,15 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | N
                 if writer is None:
                     sink = system.open_output_stream(f"{place}/{name}")
                     writer = FileWriter(sink)
-                ids, at = own.encode(raw, offsets)
-                writer.add(names[i:j], np.insert(ids, at[1:], end_id).astype(np.uint32), np.diff(at) + 1)
+                parts = own.vocab.windows(raw, offsets)
+                if len(parts) == 1:
+                    ids, at = own.encode(raw, offsets)
+                    writer.add(names[i:j], np.insert(ids, at[1:], end_id).astype(np.uint32), np.diff(at) + 1)
+                    continue
+                writer.add(names[i:j], np.zeros(0, np.uint32), np.zeros(1, np.int64))
+                for part in parts:
+                    writer.add([], own.encode(*part)[0].astype(np.uint32), np.zeros(0, np.int64))
+                writer.add([], np.array([end_id], np.uint32), np.zeros(0, np.int64))
         if writer is not None:
             writer.close()
             sink.close()
@@ -245,7 +263,10 @@ def read_digests(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 with system.open_input_file(place) as source:
                     file = FileReader(source, system.get_file_info(place).size)
                     at = start + bounds(file.lengths)[:-1]
-                    yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(at, pa.int64()), pa.array(file.lengths, pa.int64()), pa.array(file.checksums(), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    sums = file.checksums()
+                    for i in range(0, len(sums), READ_ROWS):
+                        own = slice(i, i + READ_ROWS)
+                        yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids[own], pa.int64()), pa.array(at[own], pa.int64()), pa.array(file.lengths[own], pa.int64()), pa.array(sums[own], pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = save(manifest.select("path", "start"), "token-files")
     return files.repartition(max(1, files.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

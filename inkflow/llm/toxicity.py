@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ._sample import labelled
 from ._shared import small_batches, text_slices, texts
-from ._words import _LOWER, BARE, span_hashes, spans
+from ._words import _LOWER, BARE, _cuts, span_hashes, spans
 
 #: Labelled rows of either class that the model is fitted on, and the longest text among them.
 SAMPLE, MAX_CHARS = 3000, 20_000
@@ -35,6 +35,8 @@ EVIDENCE = 26
 #: Probability of any toxicity from which on a document is rejected.
 THRESHOLD = 0.35
 PREFIXES = (4, 5, 6, 8)
+#: Bytes of a window of a longer text.
+LONG = 1 << 21
 SCHEMA = "doc_id long, expected_severity double, p_toxic double, grade int, toxic boolean"
 
 
@@ -79,6 +81,19 @@ class Model:
         if self.place is None:
             self.place = np.full(1 << BITS, -1, np.int16)
             self.place[self.buckets] = np.arange(len(self.buckets))
+        if len(offsets) == 2 and len(raw) > 2 * LONG:
+            # a long text goes window by window, cut between words
+            total, n_words = np.zeros(len(self.buckets), np.int64), np.zeros(1, np.int64)
+            cuts = _cuts(raw, BARE, LONG)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                _, own, n, of = self._counted(raw[a:b], np.array([0, b - a]))
+                total[own] += n
+                n_words += of
+            own = np.flatnonzero(total)
+            return np.zeros(len(own), np.int64), own, total[own], n_words
+        return self._counted(raw, offsets)
+
+    def _counted(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         doc, bucket, n_words = features(raw, offsets)
         own = self.place[bucket]
         hit = own >= 0

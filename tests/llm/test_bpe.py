@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -9,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from inkflow.llm import bpe_chunks
+from inkflow.llm import bpe_chunks, id_blocks
 from inkflow.llm._pieces import Encoder, vocabulary
 from inkflow.llm._shared import text_slices
 from inkflow.llm.token_count import token_counts
@@ -56,6 +57,49 @@ def test_chunks_repaired(library, monkeypatch, bits, least):
     assert store.reused > 0
 
 
+def test_long_texts_go_window_by_window(library, monkeypatch):
+    vocab = vocabulary(PATH)
+    rng = random.Random(12)
+    texts = ["".join(rng.choices(["the ", "a ", "x", "  ", "é ", " 12", "\n", "漢字 ", "'ll ", "<|endoftext|>"], k=4000)), "y" * 3000 + " the end " * 500, "z" * 4000]
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        parts = vocab.windows(raw, np.array([0, len(raw)]), 600)
+        assert b"".join(p.tobytes() for p, _ in parts) == text.encode()
+        want = library.encode(text, add_special_tokens=False).ids
+        assert [i for p, _ in parts for i in library.encode(p.tobytes().decode(), add_special_tokens=False).ids] == want
+        monkeypatch.setattr("inkflow.llm._pieces.LONG", 600)
+        assert Encoder(vocab, vocab.rank_merge).counts(raw, np.array([0, len(raw)])).tolist() == [len(want)]
+    assert len(vocab.windows(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0].encode())]), 600)) > 5
+
+
+@pytest.mark.parametrize("keep", [0xFF, 0xFFFF])
+def test_hashes_may_collide(library, monkeypatch, keep):
+    from inkflow.llm import _pieces
+    from inkflow.llm._words import span_hashes
+
+    short = lambda *a: span_hashes(*a) & np.uint64(keep)
+    monkeypatch.setattr(_pieces, "span_hashes", short)
+    monkeypatch.setattr(bpe_chunks, "span_hashes", short)
+    texts = [*odd_texts(300, 40, seed=5), *(f"word{i} and{i % 7}" for i in range(300))]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for own in (Encoder(vocabulary(PATH), vocabulary(PATH).rank_merge), bpe_chunks.ChunkStore(PATH)):
+        got = []
+        for i, j, raw, offsets in text_slices(pa.array(texts), 300):
+            ids, at = own.encode(raw, offsets)
+            got += [ids[at[k] : at[k + 1]].tolist() for k in range(j - i)]
+        assert got == want
+
+
+def test_a_wrong_chunk_is_found_out(library):
+    store = bpe_chunks.ChunkStore(PATH)
+    text = " ".join(random.Random(2).choices(["some", "words", "that", "stand", "in", "a", "row"], k=900))
+    raw, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    want = library.encode(text, add_special_tokens=False).ids
+    assert store.encode(raw, offsets)[0].tolist() == want and store.disagreed == 0
+    store.ids.all[: store.ids.n] += 1
+    assert store.encode(raw, offsets)[0].tolist() == want and store.disagreed == 1
+
+
 def test_chunks_move_with_their_text():
     text = "".join(random.Random(4).choices("abcdefgh ", k=20000)).encode()
     one = bpe_chunks.chunk_starts(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
@@ -66,6 +110,21 @@ def test_chunks_move_with_their_text():
 ROWS = [(1, "Hello world"), (2, None), (3, ""), (3, ""), (None, "x <|endoftext|> y"), (5, "long " * 40000), (6, "ñandú 漢字")]
 
 
+def test_very_long_text(spark, library):
+    text = "".join(random.Random(6).choices(["word ", "é ", "and ", "12 ", "\n"], k=2_900_000))
+    assert len(text.encode()) > 9_000_000
+    docs = spark.createDataFrame([(1, "a"), (2, text), (3, "b")], "doc_id long, text string")
+    want = library.encode(text, add_special_tokens=False).ids
+    got = {r.doc_id: r for r in bpe_chunks.encoding_digests(docs, PATH, with_ids=True).collect()}
+    assert got[2].ids == want and got[2].n_tokens == len(want)
+    assert got[2].ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest() and got[2].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert {r.doc_id: r.n_tokens for r in token_counts(docs, PATH).collect()} == {1: 1, 2: len(want), 3: 1}
+    assert {r.doc_id: r.ids for r in bpe_chunks.encode_texts(docs, PATH).collect()}[2] == want
+    blocks = {r.doc_id: r for r in id_blocks.read_digests(spark, id_blocks.write_ids(docs, PATH)).collect()}
+    assert blocks[2].n_tokens == len(want) + 1 and blocks[3].start == len(want) + 3
+    assert blocks[2].ids_crc32 == zlib.crc32(np.array([*want, 2], "<u4").tobytes())
+
+
 def test_queries_on_odd_rows(spark, library):
     docs = spark.createDataFrame([(d, t, 9, "k") for d, t in ROWS], "doc_id long, text string, n_tokens int, ids string")
     want = sorted((d or -1, library.encode(t or "", add_special_tokens=False).ids, t or "") for d, t in ROWS)

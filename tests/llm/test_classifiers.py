@@ -93,6 +93,21 @@ def test_scores_do_not_depend_on_the_slice():
         assert abs(net.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] - s) < 1e-5
 
 
+def test_long_texts_go_window_by_window(monkeypatch):
+    net = byte_cnn.Network.random(3)
+    rng = random.Random(4)
+    buckets = np.unique(np.random.default_rng(0).integers(0, 1 << toxicity.BITS, 300_000))[:30_000]
+    model = toxicity.Model(buckets, np.zeros(len(buckets)), np.arange(3.0))
+    for size in (50, 400, 900):
+        raw = np.frombuffer(prose(rng, size).encode() + b"x" * (size % 7), np.uint8)
+        whole, counted = net.score(raw, np.array([0, len(raw)])), model.counted(raw, np.array([0, len(raw)]))
+        with monkeypatch.context() as m:
+            m.setattr(byte_cnn, "LONG", 64)
+            m.setattr(toxicity, "LONG", 100)
+            assert abs(net.score(raw, np.array([0, len(raw)])) - whole).max() < 1e-6
+            assert all((a == b).all() for a, b in zip(model.counted(raw, np.array([0, len(raw)])), counted))
+
+
 def test_without_labels_or_rows(spark, corpus):
     docs, labels, _ = corpus
     few = docs.limit(3)
