@@ -41,21 +41,21 @@ def level_markers(df: DataFrame, keys: list[str], order: str, level: str = "leve
     """Numbers list items level by level: an ordered item ends the counts of deeper levels, an unordered one its own level's.
 
     Adds marker, null for unordered items. The number of an item is how many ordered items of its level follow the last row that
-    ended its count: any ordered row of a smaller level, or an unordered row of its own.
+    ended its count: any ordered row of a smaller level, or an unordered row of its own. Levels may be of any depth.
     """
-    w = _within(keys, [order])
-    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
-    lv, on = F.col(level), F.col(ordered)
-    marked = df.withColumn("_n", F.row_number().over(w))
-    deepest = 9
-    for i in range(deepest + 1):
-        ends = (on & (lv < i)) | (~on & (lv == i))
-        marked = marked.withColumn(f"_end{i}", F.coalesce(F.max(F.when(ends, F.col("_n"))).over(so_far), F.lit(0)))
-    level_end = F.element_at(F.array(*(F.col(f"_end{i}") for i in range(deepest + 1))), F.least(lv, F.lit(deepest)) + 1)
-    marked = marked.withColumn("_end", level_end)
-    own = Window.partitionBy(*keys, "_end", level, ordered).orderBy(order)
-    number = F.row_number().over(own) + (start - 1 if start is not None else 0)
-    return marked.withColumn("marker", F.when(on, number)).drop("_n", "_end", *(f"_end{i}" for i in range(deepest + 1)))
+
+    def step(counts: tuple[tuple[int, int], ...], x: dict) -> tuple[tuple[tuple[int, int], ...], int | None]:
+        lv = x["level"]
+        if lv is None or x["ordered"] is None:
+            return counts, None
+        if not x["ordered"]:
+            return tuple(c for c in counts if c[0] != lv), None
+        n = dict(counts).get(lv, 0) + 1
+        return (*(c for c in counts if c[0] < lv), (lv, n)), n
+
+    item = F.struct(F.col(level).alias("level"), F.col(ordered).alias("ordered"))
+    out = _folded(df.withColumn("_item", item), keys, [order], "_item", "marker", "int", step, ()).drop("_item")
+    return out if start is None else out.withColumn("marker", F.col("marker") + start - 1)
 
 
 def without_spacers(df: DataFrame, keys: list[str], order: str, kind: str = "type") -> DataFrame:
@@ -153,15 +153,17 @@ def logical_columns(df: DataFrame, keys: list[str], order: str, span: str = "col
 def _folded(df: DataFrame, keys: list[str], order: list[str], size: str, name: str, kind: str, step: Callable[[Any, int | None], tuple[Any, Any]], start: Any) -> DataFrame:
     """Adds a column that depends on all rows of a key before: a state goes from row to row, as they stream by in order.
 
-    A key's rows pass through one task, since each needs the state of the last, but none is held.
+    A key's rows pass through one task, since each needs the state of the last, but none is held; there must be a key, so that not all rows do.
     """
+    if not keys:
+        raise ValueError("a state that goes through a whole table needs a key to deal it by")
     schema = T.StructType([*df.schema.fields, T.StructField(name, T._parse_datatype_string(kind))])
     out_type = to_arrow_type(T._parse_datatype_string(kind))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, state = object(), start
         for batch in batches:
-            own = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * batch.num_rows
+            own = list(zip(*(batch.column(k).to_pylist() for k in keys)))
             made = []
             for key, x in zip(own, batch.column(size).to_pylist()):
                 if key != last:
@@ -170,8 +172,7 @@ def _folded(df: DataFrame, keys: list[str], order: list[str], size: str, name: s
                 made.append(value)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, out_type)], [*batch.schema.names, name])
 
-    dealt = df.repartition(*keys) if keys else df.coalesce(1)
-    return dealt.sortWithinPartitions(*keys, *order, size).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order, size).mapInArrow(run, schema)
 
 
 def greedy_quota(df: DataFrame, keys: list[str], order: str, size: str, each: int, total: int) -> DataFrame:
@@ -185,11 +186,37 @@ def greedy_quota(df: DataFrame, keys: list[str], order: str, size: str, each: in
 
 
 def unique_names(df: DataFrame, keys: list[str], order: list[str], name: str = "name") -> DataFrame:
-    """Adds unique_name: the first of equal names as it is, the next with ' (2)' before the extension, and so on."""
-    w = _within([*keys, name], order)
-    n = F.row_number().over(w)
-    stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return df.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+    """Adds unique_name: the first of equal names as it is, the next with ' (2)' before the extension, and so on; a number that another name has already is passed over.
+
+    Only names that are alike but for such numbers can meet; where one of these has a number of its own, they are named one after the other, else by a count.
+    """
+    parts = r"^(.*?)(\.[^.]*)?$"
+    stem, ext = F.regexp_extract(name, parts, 1), F.regexp_extract(name, parts, 2)
+    root = F.regexp_replace(stem, r"( \(\d+\))+$", "")
+    alike = df.withColumn("_root", F.concat_ws("\0", root, ext))
+    numbered = F.max(stem != root).over(Window.partitionBy(*keys, "_root"))
+    marked = alike.withColumn("_numbered", F.coalesce(numbered, F.lit(False)))
+    n = F.row_number().over(_within([*keys, name], order))
+    counted = marked.where(~F.col("_numbered")).withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), n.cast("string"), F.lit(")"), ext)))
+
+    def step(used: dict[str, int] | None, x: str | None) -> tuple[dict[str, int], str | None]:
+        used = {} if used is None else used
+        if x is None:
+            return used, None
+        if x not in used:
+            used[x] = 1
+            return used, x
+        base, dot, last = x.rpartition(".")
+        base, tail = (base, dot + last) if dot else (x, "")
+        i = used[x] + 1
+        while f"{base} ({i}){tail}" in used:
+            i += 1
+        used[x] = i
+        used[f"{base} ({i}){tail}"] = 1
+        return used, f"{base} ({i}){tail}"
+
+    folded = _folded(marked.where("_numbered"), [*keys, "_root"], order, name, "unique_name", "string", step, None)
+    return counted.unionByName(folded).drop("_root", "_numbered")
 
 
 def first_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:

@@ -36,8 +36,8 @@ def pasted(df: DataFrame, text: Column, ext: Column) -> DataFrame:
 
 
 def converted(files: DataFrame, options: Options = Options()) -> DataFrame:
-    """files (name, ext, content, more) with doc, package, status (done, warn, error, unsupported), error, error_category, issues and file_name."""
-    doc = files.withColumn("doc", parsed(F.col("ext"), F.col("content")))
+    """files (name, ext, content, more; with length, those over the cap are errors) with doc, package, status (done, warn, error, unsupported), error, error_category, issues and file_name."""
+    doc = files.withColumn("doc", parsed(F.col("ext"), F.col("content"), F.col("length") if "length" in files.columns else None))
     built = doc.withColumn("package", packaged(F.col("doc"), options.paper, options.landscape, options.margins()))
     checked = built.withColumn("_check", F.when(F.col("package").isNotNull(), validated(F.col("package"), options.margins())))
     status = F.when(F.col("doc.status") != "done", F.col("doc.status")).when(F.col("_check.pass"), "done").otherwise("warn")

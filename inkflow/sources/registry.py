@@ -125,9 +125,10 @@ def register_format(ext: str, parser: Callable[[Any], Document], binary: bool =
     (BINARY_FORMATS if binary else TEXT_FORMATS)[ext] = parser
 
 
-def parse_one(ext: str | None, data: bytes | str | None) -> dict:
+def parse_one(ext: str | None, data: bytes | str | None, size: int | None = None) -> dict:
+    """The fields of ir.PARSED; size is that of a file whose content was left out for it."""
     ext = (ext or "").lower()
-    size = len(data) if data is not None else 0
+    size = max(len(data) if data is not None else 0, size or 0)
     try:
         if ext in TEXT_FORMATS:
             if size > TEXT_CAP:
@@ -147,31 +148,34 @@ def parse_one(ext: str | None, data: bytes | str | None) -> dict:
         return failed("error", f"{ext.upper()} 파싱 오류: {e}", ext)
 
 
-def parsed(ext: Column, data: Column) -> Column:
-    """The struct of ir.PARSED for a file's extension and its bytes, or text in place of bytes."""
+def parsed(ext: Column, data: Column, size: Column | None = None) -> Column:
+    """The struct of ir.PARSED for a file's extension and its bytes, or text in place of bytes; with size, a file over the cap is an error whether its bytes are there or not."""
 
     kind = to_arrow_type(_parse_datatype_string(PARSED))
 
-    def parse(exts: pa.Array, contents: pa.Array) -> pa.Array:
-        return pa.array([parse_one(e, d) for e, d in zip(exts.to_pylist(), contents.to_pylist())], kind)
+    def parse(exts: pa.Array, contents: pa.Array, sizes: pa.Array) -> pa.Array:
+        return pa.array([parse_one(*x) for x in zip(exts.to_pylist(), contents.to_pylist(), sizes.to_pylist())], kind)
 
-    return F.arrow_udf(parse, PARSED)(ext, data)
+    return F.arrow_udf(parse, PARSED)(ext, data, F.lit(None).cast("long") if size is None else size)
 
 
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, ext, length, content of files; content is read only where it is selected, and too large files are left out before."""
+    """path, ext, length, content of files; content is read only where it is selected, and is null for files over their format's cap, which are never read."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(path)
     ext = extension_or_empty(F.element_at(F.split("path", "/"), -1))
     cap = F.when(ext.isin(*BINARY_FORMATS), BINARY_CAP).otherwise(TEXT_CAP)
-    return files.select("path", ext.alias("ext"), "length", "content").where(F.col("length") <= cap)
+    # the reader itself leaves files unread by a plain bound on length
+    some = files.select("path", ext.alias("ext"), "length", "content").where((F.col("length") <= max(BINARY_CAP, TEXT_CAP)) & (F.col("length") <= cap))
+    large = files.select("path", ext.alias("ext"), "length").where(F.col("length") > cap)
+    return some.unionByName(large.withColumn("content", F.lit(None).cast("binary")))
 
 
-def parse(df: DataFrame, key: str, ext: Column, data: Column) -> DataFrame:
+def parse(df: DataFrame, key: str, ext: Column, data: Column, size: Column | None = None) -> DataFrame:
     """df's key and one column doc, the parsed struct."""
-    return df.select(F.col(key), parsed(ext, data).alias("doc"))
+    return df.select(F.col(key), parsed(ext, data, size).alias("doc"))
 
 
 def docs_table(parsed_df: DataFrame, key: str) -> DataFrame:
