@@ -17,6 +17,7 @@ from ..sinks import html as sink_html
 from ..sinks import package as sink_package
 from ..sources import minimal, registry
 from ..sources import text as source_text
+from . import convert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,6 +44,11 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_custkey, o_orderkey, line: the lines of as many small files as there are customers with orders."""
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.concat("o_orderpriority", F.lit(" "), "o_orderstatus").alias("line"))
+
+
 def rows(names: tuple[str, ...], *values: tuple) -> Column:
     """An array of structs."""
     return F.array(*(F.struct(*((v if isinstance(v, Column) else F.lit(v)).alias(k) for k, v in zip(names, x))) for x in values))
@@ -235,19 +241,34 @@ def parsed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.parse(spread(table(spark, sf_dir, "pages")), "page_id", F.lit("html"), F.col("html"))
 
 
-@query("""
-    SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages""")
+# the blocks of a page by the shape that all pages have: a box, a heading and paragraphs, bold from the first <b> on, which nothing closes
+_PAGE_TITLE = r"""SELECT page_id, replace(replace(replace(replace(replace(trim(regexp_extract(html, '<title>(.*?)</title>', 1)), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages"""
+_PAGE_BLOCKS = r"""WITH seg AS (SELECT page_id, [regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1), regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)] || string_split(regexp_extract(html, '(?s)</h1>(.*)</article>', 1), '<p>')[2:] AS s FROM pages),
+    block AS (SELECT page_id, (i - 1)::INT AS pos, CASE WHEN i = 2 THEN 'heading' ELSE 'para' END AS type, contains(array_to_string(s[3:i], ''), '<b>') AND i > 2 AS bold,
+                     trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(s[i], '<[^>]+>', '', 'g'), '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r]+', ' ', 'g'), E' \n\t') AS text
+              FROM seg, unnest(range(1, len(s) + 1)) AS u(i))"""
+
+
+def _page_markup(c: str) -> str:
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#039;")):
+        c = f"replace({c}, '{a}', '{b}')"
+    return f"replace({c}, chr(10), '<br>')"
+
+
+@query(_PAGE_TITLE)
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", ft.decode_entities(ft.trim_space(F.regexp_extract("html", r"<title>(.*?)</title>", 1))).alias("title"))
+    return registry.docs_table(parsed_pages(spark, sf_dir), "page_id").select("page_id", "title")
 
 
-@query()
+@query(_PAGE_BLOCKS + " SELECT page_id, pos::VARCHAR AS block_id, NULL::VARCHAR AS parent_id, 0 AS depth, pos, type, CASE WHEN type = 'heading' THEN 1 END AS level, text FROM block")
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = registry.part_table(parsed_pages(spark, sf_dir), "page_id", "blocks")
     return blocks.select("page_id", "block_id", "parent_id", "depth", "pos", "type", "level", F.coalesce("text", ft.runs_text(F.col("runs"))).alias("text"))
 
 
-@query()
+@query(f"""{_PAGE_BLOCKS}
+    SELECT page_id, title, 1 AS n_title, count(*) FILTER (type = 'heading') AS n_heading, count(*) FILTER (type = 'para') AS n_para, {", ".join(f"count(*) FILTER (type = '{t}') AS n_{t}" for t in ("list", "table", "code", "quote", "image", "blank"))}
+    FROM block JOIN ({_PAGE_TITLE}) USING (page_id) GROUP BY page_id, title""")
 def page_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: web pages to blocks to one row of counts a page."""
     return relate.summary_of(parsed_pages(spark, sf_dir), "page_id")
@@ -261,7 +282,10 @@ def page_heading_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed_pages(spark, sf_dir).select("page_id", n_h1.alias("n_h1"), bold.alias("has_bold"))
 
 
-@query()
+@query(f"""{_PAGE_BLOCKS},
+    made AS (SELECT page_id, pos, CASE WHEN type = 'heading' THEN '<h1>' || {_page_markup("text")} || '</h1>' WHEN bold THEN '<p><strong>' || {_page_markup("text")} || '</strong></p>' ELSE '<p>' || {_page_markup("text")} || '</p>' END AS h FROM block)
+    SELECT page_id, '<!DOCTYPE html><html><head><meta charset="UTF-8"><title>' || {_page_markup("any_value(title)")} || '</title></head><body>' || string_agg(h, '' ORDER BY pos) || '</body></html>' AS html
+    FROM made JOIN ({_PAGE_TITLE}) USING (page_id) GROUP BY page_id""")
 def page_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages rendered again from their blocks; four tables read what is parsed once."""
     pages = parsed_pages(spark, sf_dir).persist()
@@ -290,6 +314,47 @@ def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", F.col("back.status").alias("status"), (F.size(F.array_except(words("doc"), words("back"))) == 0).alias("complete"))
 
 
+# --- whole files ----------------------------------------------------------------------------------------------------------
+
+
+def _mixed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of seven kinds by doc_id: Markdown, text, CSV, broken JSON, a broken archive, an unknown format, and one whose content was too large to read."""
+    kind = F.col("doc_id") % 7
+    ext = F.element_at(F.array(*map(F.lit, ("md", "txt", "CSV", "json", "docx", "xyz", "txt"))), (kind + 1).cast("int"))
+    said = F.coalesce("text", F.lit(""))
+    body = F.when(kind == 0, F.concat(F.lit("# title\n\n"), F.replace(said, F.lit("\n"), F.lit(" ")))).when(kind == 3, F.concat(F.lit('{"a": '), "lang")).when(kind == 2, F.lit("a,b\n1,2")).otherwise(F.concat(F.lit("x "), said))
+    name = F.concat(F.lit("file "), F.col("doc_id").cast("string"), F.lit("."), ext)
+    files = spread(table(spark, sf_dir, "documents")).where("doc_id is not null").select("doc_id", "source", name.alias("name"), F.lower(ext).alias("ext"), F.when(kind != 6, F.encode(body, "UTF-8")).alias("content"), F.when(kind == 6, F.lit(200 << 20)).otherwise(F.length(body)).cast("long").alias("length"))
+    return files
+
+
+@query("""
+    SELECT doc_id, CASE doc_id % 7 WHEN 3 THEN 'error' WHEN 4 THEN 'error' WHEN 5 THEN 'unsupported' WHEN 6 THEN 'error' ELSE 'done' END AS status,
+           CASE doc_id % 7 WHEN 3 THEN '파싱 오류' WHEN 4 THEN '파싱 오류' WHEN 5 THEN '지원하지 않는 포맷' WHEN 6 THEN '파일 크기' END AS error_category,
+           doc_id % 7 < 3 AS has_package, 'file ' || doc_id || '.hwpx' AS file_name FROM documents WHERE doc_id IS NOT NULL""")
+def converted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to packages, each by itself: broken, unknown and too large ones are rows with an error."""
+    out = convert.converted(_mixed_files(spark, sf_dir))
+    return out.select("doc_id", "status", "error_category", F.col("package").isNotNull().alias("has_package"), "file_name")
+
+
+@query("""
+    SELECT source, doc_id, greatest(a - 20, 0) AS overflow
+    FROM (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY source) AS a FROM documents WHERE doc_id IS NOT NULL AND doc_id % 7 <> 5 WINDOW w AS (PARTITION BY source ORDER BY doc_id)) WHERE n <= 20""")
+def file_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first twenty files of known formats of each source."""
+    return convert.queue(_mixed_files(spark, sf_dir).select("doc_id", "source", "name"), "source", "doc_id").select("source", "doc_id", "overflow")
+
+
+@query("""
+    SELECT doc_id, 'paste.md' AS name, 'done' AS status, 'paste.hwpx' AS file_name, trim(coalesce(source, 'none')) AS title FROM documents""")
+def pasted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pasted Markdown, converted as a file would be."""
+    text = F.concat(F.lit("# "), F.coalesce("source", F.lit("none")), F.lit("\n\n"), F.coalesce("lang", F.lit("")))
+    given = convert.pasted(spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("text")), F.col("text"), F.lit("MD"))
+    return convert.converted(given).select("doc_id", "name", "status", "file_name", F.col("doc.title").alias("title"))
+
+
 # --- delimited text and JSON --------------------------------------------------------------------------------------------
 
 
@@ -304,23 +369,34 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.groupBy("row").agg(*(F.max(F.when(F.col("ord") == i, F.col("text"))).alias(f"c{i}") for i in range(4))).withColumn("row", F.col("row").cast("long"))
 
 
-@query("SELECT r_regionkey, CASE WHEN r_regionkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS n_cells FROM region")
+@query("SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS row, o_orderkey::VARCHAR AS c0, line AS c1, o_custkey::VARCHAR AS c2, 'say \"' || line || '\", twice' AS c3 FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders)")
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders of a customer as CSV text, parsed back to cells."""
+    quoted = F.concat(F.lit('"say ""'), F.col("line"), F.lit('"", twice"'))
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), "line", F.col("o_custkey").cast("string"), quoted)
+    rows = _lines(spark, sf_dir).select("o_custkey", "o_orderkey", line.alias("text"))
+    text = relate.joined_text(rows, ["o_custkey"], "o_orderkey", "text", "\n").select("o_custkey", F.concat(F.lit("a,b,c,d\n"), "text").alias("text"))
+    cells = registry.part_table(registry.parse(text, "o_custkey", F.lit("csv"), F.col("text")), "o_custkey", "cells").where("row > 0")
+    return cells.groupBy("o_custkey", "row").agg(*(F.max(F.when(F.col("ord") == i, F.col("text"))).alias(f"c{i}") for i in range(4))).withColumn("row", F.col("row").cast("long"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 3 END::BIGINT AS n_cells FROM customer")
 def csv_delimiter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with commas and tabs: the more frequent one outside quotes separates."""
-    text = F.when(F.col("r_regionkey") % 2 == 0, F.concat(F.col("r_name"), F.lit("\t\"a,b,c\"\nx\ty"))).otherwise(F.concat(F.col("r_name"), F.lit(",b,c\nx\ty,1,2")))
-    docs = registry.parse(table(spark, sf_dir, "region").select("r_regionkey", text.alias("text")), "r_regionkey", F.lit("csv"), F.col("text"))
-    return registry.part_table(docs, "r_regionkey", "cells").where("row = 0").groupBy("r_regionkey").agg(F.count(F.lit(1)).alias("n_cells"))
+    text = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.col("c_name"), F.lit("\t\"a,b,c\"\nx\ty"))).otherwise(F.concat(F.col("c_name"), F.lit(",b,c\nx\ty,1,2")))
+    docs = registry.parse(table(spark, sf_dir, "customer").select("c_custkey", text.alias("text")), "c_custkey", F.lit("csv"), F.col("text"))
+    return registry.part_table(docs, "c_custkey", "cells").where("row = 0").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 @query("""
-    WITH j AS (SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN ['name', 'key'] ELSE ['key', 'extra'] END AS k FROM nation),
-    e AS (SELECT n_regionkey, n_nationkey, i, k[i] AS field FROM j, unnest([1, 2]) AS u(i)),
-    f AS (SELECT n_regionkey, field, min(n_nationkey * 10 + i) AS first FROM e GROUP BY ALL)
-    SELECT n_regionkey, field, row_number() OVER (PARTITION BY n_regionkey ORDER BY first) - 1 AS pos FROM f""")
+    WITH j AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ['name', 'key'] ELSE ['key', 'extra'] END AS k FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders)),
+    e AS (SELECT o_custkey, o_orderkey, i, k[i] AS field FROM j, unnest([1, 2]) AS u(i)),
+    f AS (SELECT o_custkey, field, min(o_orderkey * 10 + i) AS first FROM e GROUP BY ALL)
+    SELECT o_custkey, field, row_number() OVER (PARTITION BY o_custkey ORDER BY first) - 1 AS pos FROM f""")
 def json_key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    even = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key")))
-    odd = F.to_json(F.struct(F.col("n_nationkey").alias("key"), F.lit(1).alias("extra")))
-    return relate.key_union(table(spark, sf_dir, "nation"), ["n_regionkey"], "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, even).otherwise(odd)).withColumn("pos", F.col("pos").cast("long"))
+    even = F.to_json(F.struct(F.col("line").alias("name"), F.col("o_orderkey").alias("key")))
+    odd = F.to_json(F.struct(F.col("o_orderkey").alias("key"), F.lit(1).alias("extra")))
+    return relate.key_union(_lines(spark, sf_dir), ["o_custkey"], "o_orderkey", F.when(F.col("o_orderkey") % 2 == 0, even).otherwise(odd)).withColumn("pos", F.col("pos").cast("long"))
 
 
 @query("SELECT event_id, 'k' AS key, json_extract_string(props, '$.k') AS value FROM events")
@@ -332,13 +408,32 @@ def json_kv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "key", "value")
 
 
-@query("SELECT n_regionkey, 1::BIGINT AS n_tables, count(*) + 1 AS n_rows FROM nation GROUP BY n_regionkey")
+@query("SELECT o_custkey, 1::BIGINT AS n_tables, count(*) + 1 AS n_rows FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders) GROUP BY o_custkey")
 def json_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Arrays of objects as tables."""
-    row = F.to_json(F.struct("n_nationkey", "n_name"))
-    text = relate.joined_text(table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", row.alias("text")), ["n_regionkey"], "n_nationkey", "text", ",")
-    docs = registry.parse(text.select("n_regionkey", F.concat(F.lit("["), "text", F.lit("]")).alias("text")), "n_regionkey", F.lit("json"), F.col("text"))
-    return registry.part_table(docs, "n_regionkey", "cells").groupBy("n_regionkey").agg(F.countDistinct("block_id").alias("n_tables"), F.countDistinct("row").alias("n_rows"))
+    row = F.to_json(F.struct("o_orderkey", "line"))
+    text = relate.joined_text(_lines(spark, sf_dir).select("o_custkey", "o_orderkey", row.alias("text")), ["o_custkey"], "o_orderkey", "text", ",")
+    docs = registry.parse(text.select("o_custkey", F.concat(F.lit("["), "text", F.lit("]")).alias("text")), "o_custkey", F.lit("json"), F.col("text"))
+    return registry.part_table(docs, "o_custkey", "cells").groupBy("o_custkey").agg(F.countDistinct("block_id").alias("n_tables"), F.countDistinct("row").alias("n_rows"))
+
+
+@query("""
+    SELECT doc_id, 'cell' AS part, i AS ord, CASE i WHEN 0 THEN lang WHEN 1 THEN '**' || doc_id || '**' ELSE 'a|b' END AS text, NULL::BIGINT AS level, NULL::BOOLEAN AS checked, NULL AS href FROM documents, range(0, 3) AS r(i) WHERE doc_id % 2 = 0
+    UNION ALL SELECT doc_id, 'item', i, CASE i WHEN 0 THEN 'one ' || source WHEN 1 THEN 'two' WHEN 2 THEN 'task ' || lang ELSE 'open' END, CASE i WHEN 1 THEN 1 ELSE 0 END, i = 2, NULL FROM documents, range(0, 4) AS r(i) WHERE doc_id % 2 = 1
+    UNION ALL SELECT doc_id, 'link', 0, 'name', NULL, NULL, 'https://x.org/' || doc_id FROM documents""")
+def markdown_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markdown of two shapes: a table with a code span and an escaped bar, or nested and task lists; both with a link."""
+    made = F.concat(F.lit("| h | i | j |\n|---|:-:|---|\n| "), "lang", F.lit(" | `**"), F.col("doc_id").cast("string"), F.lit("**` | a\\|b |\n"))
+    lists = F.concat(F.lit("1. one "), "source", F.lit("\n   - two\n\n- [x] task "), "lang", F.lit("\n- [ ] open\n"))
+    link = F.concat(F.lit("\nsee [name](https://x.org/"), F.col("doc_id").cast("string"), F.lit(") and `code`\n"))
+    text = F.concat(F.lit("# t\n\n"), F.when(F.col("doc_id") % 2 == 0, made).otherwise(lists), link)
+    docs = registry.parse(spread(table(spark, sf_dir, "documents")).select("doc_id", text.alias("md")), "doc_id", F.lit("md"), F.col("md"))
+    cells = registry.part_table(docs, "doc_id", "cells").where("row = 1").select("doc_id", F.lit("cell").alias("part"), F.col("ord").cast("long").alias("ord"), F.coalesce(F.when(F.size("runs") > 0, ft.runs_text(F.col("runs"))), "text").alias("text"), F.lit(None).cast("long").alias("level"), F.lit(None).cast("boolean").alias("checked"), F.lit(None).cast("string").alias("href"))
+    w = Window.partitionBy("doc_id").orderBy(F.col("block_id").cast("int"), "pos")
+    items = registry.part_table(docs, "doc_id", "items").select("doc_id", F.lit("item").alias("part"), (F.row_number().over(w) - 1).cast("long").alias("ord"), F.coalesce("text", ft.runs_text(F.col("runs"))).alias("text"), F.col("level").cast("long").alias("level"), "checked", F.lit(None).cast("string").alias("href"))
+    runs = registry.part_table(docs, "doc_id", "blocks").select("doc_id", F.explode("runs").alias("r")).where("r.href is not null")
+    links = runs.select("doc_id", F.lit("link").alias("part"), F.lit(0).cast("long").alias("ord"), "r.text", F.lit(None).cast("long").alias("level"), F.lit(None).cast("boolean").alias("checked"), "r.href")
+    return cells.unionByName(items).unionByName(links)
 
 
 @query("SELECT doc_id, 'done' AS status, 'source ' || source AS title, 3 AS n_blocks, 2 AS n_items FROM documents")
@@ -467,13 +562,13 @@ def reference_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relate.broken_chain(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), [("lineitem", lines), ("shipped", lines.where("l_linestatus = 'F'"))], ["k"])
 
 
-@query("SELECT 'x' AS n_name, 0::BIGINT AS n_nationkey, '' AS only_in WHERE false")
+@query("SELECT 'x' AS line, 0::BIGINT AS o_orderkey, '' AS only_in WHERE false")
 def parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text as a column and as a file's bytes parse alike: no difference."""
-    t = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), F.concat(F.lit("# "), "n_name", F.lit("\n\ntext of "), "n_name").alias("text"))
-    one = registry.parse(t, "n_nationkey", F.lit("md"), F.col("text"))
-    two = registry.parse(t, "n_nationkey", F.lit("md"), F.encode("text", "UTF-8"))
-    a, b = (x.select(F.col("doc.title").alias("n_name"), "n_nationkey") for x in (one, two))
+    t = _lines(spark, sf_dir).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.concat(F.lit("# "), "line", F.lit("\n\ntext of "), "line").alias("text"))
+    one = registry.parse(t, "o_orderkey", F.lit("md"), F.col("text"))
+    two = registry.parse(t, "o_orderkey", F.lit("md"), F.encode("text", "UTF-8"))
+    a, b = (x.select(F.col("doc.title").alias("line"), "o_orderkey") for x in (one, two))
     return relate.same_rows(a, b)
 
 
@@ -544,13 +639,13 @@ def grid_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT n_regionkey, unnest([0, 1]) AS col, unnest([n_name, n_nationkey::VARCHAR]) AS text FROM nation),
-    m AS (SELECT n_regionkey, col, greatest(1, max(least(40, length(text)))) AS l FROM c GROUP BY ALL),
-    w AS (SELECT *, floor(3000 + l / sum(l) OVER (PARTITION BY n_regionkey) * (48000 - 6000) + 0.5)::BIGINT AS w FROM m)
-    SELECT n_regionkey, col, CASE WHEN col = 1 THEN w + 48000 - (sum(w) OVER (PARTITION BY n_regionkey))::BIGINT ELSE w END AS width FROM w""")
+    WITH c AS (SELECT o_custkey, unnest([0, 1]) AS col, unnest([line, o_orderkey::VARCHAR]) AS text FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders)),
+    m AS (SELECT o_custkey, col, greatest(1, max(least(40, length(text)))) AS l FROM c GROUP BY ALL),
+    w AS (SELECT *, floor(3000 + l / sum(l) OVER (PARTITION BY o_custkey) * (48000 - 6000) + 0.5)::BIGINT AS w FROM m)
+    SELECT o_custkey, col, CASE WHEN col = 1 THEN w + 48000 - (sum(w) OVER (PARTITION BY o_custkey))::BIGINT ELSE w END AS width FROM w""")
 def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = table(spark, sf_dir, "nation").select("n_regionkey", F.posexplode(F.array("n_name", F.col("n_nationkey").cast("string"))).alias("col", "text"))
-    return grid.column_widths(cells, ["n_regionkey"], 48000)
+    cells = _lines(spark, sf_dir).select("o_custkey", F.posexplode(F.array("line", F.col("o_orderkey").cast("string"))).alias("col", "text"))
+    return grid.column_widths(cells, ["o_custkey"], 48000)
 
 
 @query("""
@@ -566,58 +661,59 @@ def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.merged_down(t, ["user_id"]).select("user_id", "row", "row_span")
 
 
-@query("SELECT n_regionkey, n_nationkey, n_name AS c0, '' AS c1, '' AS c2 FROM nation")
+@query("SELECT o_custkey, o_orderkey, line AS c0, '' AS c1, '' AS c2 FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders)")
 def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = grid.padded(F.array("n_name"), F.lit(3))
-    return table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", *(row[i].alias(f"c{i}") for i in range(3)))
+    row = grid.padded(F.array("line"), F.lit(3))
+    return _lines(spark, sf_dir).select("o_custkey", "o_orderkey", *(row[i].alias(f"c{i}") for i in range(3)))
 
 
 # --- office formats, notebooks and markup, as round trips ---------------------------------------------------------------
 
 
-def _region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_regionkey, lines: the names of its nations in order."""
-    pieces = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name")))
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.transform(pieces, lambda x: x["n_name"]).alias("lines"))
+def _file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """o_custkey, lines: the names of its nations in order."""
+    pieces = F.array_sort(F.collect_list(F.struct("o_orderkey", "line")))
+    return _lines(spark, sf_dir).groupBy("o_custkey").agg(F.transform(pieces, lambda x: x["line"]).alias("lines"))
 
 
-def _region_files(spark: SparkSession, sf_dir: str, ext: str, kind: Callable) -> DataFrame:
-    files = _region_lines(spark, sf_dir).select("n_regionkey", minimal.built(kind, F.col("lines")).alias("data"))
-    return registry.parse(files, "n_regionkey", F.lit(ext), F.col("data"))
+def _files(spark: SparkSession, sf_dir: str, ext: str, kind: Callable) -> DataFrame:
+    files = _file_lines(spark, sf_dir).select("o_custkey", minimal.built(kind, F.col("lines")).alias("data"))
+    return registry.parse(files, "o_custkey", F.lit(ext), F.col("data"))
 
 
-_NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS i FROM nation)"
+_NUMBERED = "n AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders))"
 
 
-@query(f"WITH {_NUMBERED} SELECT n_regionkey, i - 1 AS pos, ((i - 1) % 2)::BIGINT AS level, CASE WHEN i % 2 = 1 THEN (i + 1) // 2 ELSE 1 END AS marker, n_name AS text FROM n WHERE i > 0")
+@query(f"WITH {_NUMBERED} SELECT o_custkey, i - 1 AS pos, ((i - 1) % 2)::BIGINT AS level, CASE WHEN i % 2 = 1 THEN (i + 1) // 2 ELSE 1 END AS marker, line AS text FROM n WHERE i > 0")
 def docx_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered paragraphs of word documents as lists."""
-    items = registry.part_table(_region_files(spark, sf_dir, "docx", minimal.docx), "n_regionkey", "items")
-    return items.select("n_regionkey", *(F.col(c).cast("long").alias(c) for c in ("pos", "level", "marker")), "text")
+    items = registry.part_table(_files(spark, sf_dir, "docx", minimal.docx), "o_custkey", "items")
+    return items.select("o_custkey", *(F.col(c).cast("long").alias(c) for c in ("pos", "level", "marker")), "text")
 
 
-@query(f"WITH {_NUMBERED}, s AS (SELECT n_regionkey, count(*) AS k FROM nation GROUP BY 1) SELECT n_regionkey, i AS row, 0::BIGINT AS ord, n_name AS text, 1::BIGINT AS row_span FROM n UNION ALL SELECT n_regionkey, 0, 1, '', k FROM s")
+@query(f"WITH {_NUMBERED}, s AS (SELECT o_custkey, count(*) AS k FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders) GROUP BY 1) SELECT o_custkey, i AS row, 0::BIGINT AS ord, line AS text, 1::BIGINT AS row_span FROM n UNION ALL SELECT o_custkey, 0, 1, '', k FROM s")
 def docx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of word documents, with a cell merged down."""
-    cells = registry.part_table(_region_files(spark, sf_dir, "docx", minimal.docx), "n_regionkey", "cells")
-    return cells.select("n_regionkey", *(F.col(c).cast("long").alias(c) for c in ("row", "ord")), "text", F.col("row_span").cast("long").alias("row_span"))
+    cells = registry.part_table(_files(spark, sf_dir, "docx", minimal.docx), "o_custkey", "cells")
+    return cells.select("o_custkey", *(F.col(c).cast("long").alias(c) for c in ("row", "ord")), "text", F.col("row_span").cast("long").alias("row_span"))
 
 
-@query(f"WITH {_NUMBERED} SELECT n_regionkey, i AS row, j AS ord, CASE j WHEN 0 THEN i::VARCHAR WHEN 1 THEN n_name WHEN 2 THEN '' ELSE length(n_name)::VARCHAR END AS text FROM n, range(0, 4) AS r(j)")
+@query(f"WITH {_NUMBERED} SELECT o_custkey, i AS row, j AS ord, CASE j WHEN 0 THEN i::VARCHAR WHEN 1 THEN line WHEN 2 THEN '' ELSE length(line)::VARCHAR END AS text FROM n, range(0, 4) AS r(j) WHERE o_custkey IN (SELECT o_custkey FROM n WHERE i = 1)")
 def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = registry.part_table(_region_files(spark, sf_dir, "xlsx", minimal.xlsx), "n_regionkey", "cells")
-    return cells.select("n_regionkey", F.col("row").cast("long").alias("row"), F.col("ord").cast("long").alias("ord"), "text")
+    """Cells of workbooks; a sheet of one row is a list and has none."""
+    cells = registry.part_table(_files(spark, sf_dir, "xlsx", minimal.xlsx), "o_custkey", "cells")
+    return cells.select("o_custkey", F.col("row").cast("long").alias("row"), F.col("ord").cast("long").alias("ord"), "text")
 
 
 @query(f"""
-    WITH {_NUMBERED} SELECT n_regionkey, 3 * i AS pos, '슬라이드 ' || (i + 1) AS text FROM n UNION ALL SELECT n_regionkey, 3 * i + 1, n_name FROM n UNION ALL SELECT n_regionkey, 3 * i + 2, string_agg(w, '+' ORDER BY k)
-    FROM (SELECT n_regionkey, i, unnest(string_split(n_name, ' ')) AS w, generate_subscripts(string_split(n_name, ' '), 1) AS k FROM n) GROUP BY ALL""")
+    WITH {_NUMBERED} SELECT o_custkey, 3 * i AS pos, '슬라이드 ' || (i + 1) AS text FROM n UNION ALL SELECT o_custkey, 3 * i + 1, line FROM n UNION ALL SELECT o_custkey, 3 * i + 2, string_agg(w, '+' ORDER BY k)
+    FROM (SELECT o_custkey, i, unnest(string_split(line, ' ')) AS w, generate_subscripts(string_split(line, ' '), 1) AS k FROM n) GROUP BY ALL""")
 def pptx_slides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slides in the order of the presentation: number, title, bullets."""
-    docs = _region_files(spark, sf_dir, "pptx", minimal.pptx)
-    bullets = relate.joined_text(registry.part_table(docs, "n_regionkey", "items").select("n_regionkey", "block_id", "pos", "text"), ["n_regionkey", "block_id"], "pos", "text", "+").withColumnRenamed("text", "bullets")
-    blocks = registry.part_table(docs, "n_regionkey", "blocks").join(bullets, ["n_regionkey", "block_id"], "left")
-    return blocks.select("n_regionkey", F.col("pos").cast("long").alias("pos"), F.coalesce("text", "bullets").alias("text"))
+    docs = _files(spark, sf_dir, "pptx", minimal.pptx)
+    bullets = relate.joined_text(registry.part_table(docs, "o_custkey", "items").select("o_custkey", "block_id", "pos", "text"), ["o_custkey", "block_id"], "pos", "text", "+").withColumnRenamed("text", "bullets")
+    blocks = registry.part_table(docs, "o_custkey", "blocks").join(bullets, ["o_custkey", "block_id"], "left")
+    return blocks.select("o_custkey", F.col("pos").cast("long").alias("pos"), F.coalesce("text", "bullets").alias("text"))
 
 
 @query("""
@@ -637,23 +733,23 @@ def notebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.select("conv_id", (turn * 2 + F.col("b.pos") % 2).alias("pos"), "b.type", "b.text")
 
 
-@query(f"WITH {_NUMBERED} SELECT n_regionkey, i AS pos, (i % 3)::BIGINT AS level, n_name AS text FROM n WHERE i % 3 = 0 UNION ALL SELECT n_regionkey, i, (i % 3)::BIGINT, n_name FROM n WHERE i % 3 > 0")
+@query(f"WITH {_NUMBERED} SELECT o_custkey, i AS pos, (i % 3)::BIGINT AS level, line AS text FROM n WHERE i % 3 = 0 UNION ALL SELECT o_custkey, i, (i % 3)::BIGINT, line FROM n WHERE i % 3 > 0")
 def html_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested lists of web pages: every third item holds the next two, one inside the other."""
     tag = F.transform("lines", lambda x, i: F.concat(F.lit("<li>"), ft.html_escape(x), F.when((i % 3 < 2) & (i + 1 < F.size("lines")), "<ul>").otherwise(""), F.when((i % 3 == 2) | (i + 1 == F.size("lines")), F.repeat(F.lit("</li></ul>"), (i % 3).cast("int"))).otherwise(""), F.when((i % 3 == 2) | (i + 1 == F.size("lines")), "</li>").otherwise("")))
-    pages = _region_lines(spark, sf_dir).select("n_regionkey", F.concat(F.lit("<ul>"), F.array_join(tag, ""), F.lit("</ul>")).alias("html"))
-    items = registry.part_table(registry.parse(pages, "n_regionkey", F.lit("html"), F.col("html")), "n_regionkey", "items")
-    return items.select("n_regionkey", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "text")
+    pages = _file_lines(spark, sf_dir).select("o_custkey", F.concat(F.lit("<ul>"), F.array_join(tag, ""), F.lit("</ul>")).alias("html"))
+    items = registry.part_table(registry.parse(pages, "o_custkey", F.lit("html"), F.col("html")), "o_custkey", "items")
+    return items.select("o_custkey", F.col("pos").cast("long").alias("pos"), F.col("level").cast("long").alias("level"), "text")
 
 
-@query(f"WITH {_NUMBERED} SELECT n_regionkey, i AS row, 0::BIGINT AS ord, n_name AS text, (i = 0) AS is_header FROM n UNION ALL SELECT n_regionkey, i, 1, 'x & y', (i = 0) FROM n")
+@query(f"WITH {_NUMBERED} SELECT o_custkey, i AS row, 0::BIGINT AS ord, line AS text, (i = 0 AND o_custkey IN (SELECT o_custkey FROM n WHERE i = 1)) AS is_header FROM n UNION ALL SELECT o_custkey, i, 1, 'x & y', (i = 0 AND o_custkey IN (SELECT o_custkey FROM n WHERE i = 1)) FROM n")
 def package_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of web pages, packaged and read back."""
     row = F.transform("lines", lambda x, i: F.concat(F.lit("<tr><td>"), ft.html_escape(x), F.lit("</td><td>x &amp; y</td></tr>")))
-    pages = _region_lines(spark, sf_dir).select("n_regionkey", F.concat(F.lit("<table>"), F.array_join(row, ""), F.lit("</table>")).alias("html"))
-    packages = pages.select("n_regionkey", sink_package.packaged(registry.parsed(F.lit("html"), F.col("html"))).alias("data"))
-    cells = registry.part_table(registry.parse(packages, "n_regionkey", F.lit("hwpx"), F.col("data")), "n_regionkey", "cells")
-    return cells.select("n_regionkey", F.col("row").cast("long").alias("row"), F.col("ord").cast("long").alias("ord"), "text", "is_header")
+    pages = _file_lines(spark, sf_dir).select("o_custkey", F.concat(F.lit("<table>"), F.array_join(row, ""), F.lit("</table>")).alias("html"))
+    packages = pages.select("o_custkey", sink_package.packaged(registry.parsed(F.lit("html"), F.col("html"))).alias("data"))
+    cells = registry.part_table(registry.parse(packages, "o_custkey", F.lit("hwpx"), F.col("data")), "o_custkey", "cells")
+    return cells.select("o_custkey", F.col("row").cast("long").alias("row"), F.col("ord").cast("long").alias("ord"), "text", "is_header")
 
 
 @query("""
@@ -680,16 +776,16 @@ def image_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN '' WHEN n_nationkey % 3 = 1 THEN '[이미지: ' || n_name || ']' ELSE '[이미지: img/' || n_nationkey || '.png]' END AS fallback FROM nation""")
+    SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' WHEN o_orderkey % 3 = 1 THEN '[이미지: ' || line || ']' ELSE '[이미지: img/' || o_orderkey || '.png]' END AS fallback FROM (SELECT o_custkey, o_orderkey, o_orderpriority || ' ' || o_orderstatus AS line FROM orders)""")
 def asset_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of Markdown documents: shown where the address holds one, else a paragraph."""
-    k = F.col("n_nationkey") % 3
+    k = F.col("o_orderkey") % 3
     png = "data:image/png;base64,iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAYAAAAfFcSJAAAADUlEQVR42mNk+M9QDwADhgGAWjR9awAAAABJRU5ErkJggg=="
-    source = F.when(k == 0, png).when(k == 1, "https://x.org/a.png").otherwise(F.concat(F.lit("img/"), F.col("n_nationkey").cast("string"), F.lit(".png")))
-    md = F.concat(F.lit("!["), F.when(k == 1, F.col("n_name")).otherwise(""), F.lit("]("), source, F.lit(")"))
-    docs = registry.parse(table(spark, sf_dir, "nation").select(F.struct("n_regionkey", "n_nationkey").alias("k"), md.alias("md")), "k", F.lit("md"), F.col("md"))
+    source = F.when(k == 0, png).when(k == 1, "https://x.org/a.png").otherwise(F.concat(F.lit("img/"), F.col("o_orderkey").cast("string"), F.lit(".png")))
+    md = F.concat(F.lit("!["), F.when(k == 1, F.col("line")).otherwise(""), F.lit("]("), source, F.lit(")"))
+    docs = registry.parse(_lines(spark, sf_dir).select(F.struct("o_custkey", "o_orderkey").alias("k"), md.alias("md")), "k", F.lit("md"), F.col("md"))
     shown = assets.resolve(registry.part_table(docs, "k", "assets"), "k")
-    return shown.select("k.n_regionkey", "k.n_nationkey", F.coalesce("fallback", F.lit("")).alias("fallback"))
+    return shown.select("k.o_custkey", "k.o_orderkey", F.coalesce("fallback", F.lit("")).alias("fallback"))
 
 
 # --- more of order, checks and labels -----------------------------------------------------------------------------------

@@ -1,6 +1,8 @@
 """Operators against plain loops over small random tables."""
 
 import random
+
+import pytest
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -28,7 +30,7 @@ def test_islands(spark):
 
 def test_level_markers(spark):
     rng = random.Random(2)
-    rows = [(rng.randint(0, 3), i, rng.randint(0, 3), rng.random() < 0.8) for i in range(200)]
+    rows = [(rng.randint(0, 3), i, rng.choice([0, 1, 2, 3, 9, 10, 11, 12]), rng.random() < 0.8) for i in range(300)]
     got = {(r.k, r.i): r.marker for r in order.level_markers(spark.createDataFrame(rows, "k int, i int, level int, ordered boolean"), ["k"], "i").collect()}
     for k, group in by_key(rows).items():
         counts = {}
@@ -91,6 +93,10 @@ def test_dictionaries_numbers_names(spark):
     assert sorted((r.colour, r.side, r.id) for r in order.border_variants(colours, ["k"]).collect()) == [("#A", "both", 23), ("#A", "full", 20), ("#A", "left", 21), ("#A", "right", 22), ("#B", "both", 27), ("#B", "full", 24), ("#B", "left", 25), ("#B", "right", 26)]
     names = spark.createDataFrame([(0, "a.txt"), (1, "a.txt"), (2, "b"), (3, "b"), (4, "a.txt")], "i int, name string")
     assert [r.unique_name for r in order.unique_names(names, [], ["i"]).orderBy("i").collect()] == ["a.txt", "a (2).txt", "b", "b (2)", "a (3).txt"]
+    names = spark.createDataFrame(list(enumerate(["x", "x (2)", "x", "x (2)", "x", "y (2).z", "y.z", "y.z", "y.z", None])), "i int, name string")
+    assert [r.unique_name for r in order.unique_names(names, [], ["i"]).orderBy("i").collect()] == ["x", "x (2)", "x (3)", "x (2) (2)", "x (4)", "y (2).z", "y.z", "y (3).z", "y (4).z", None]
+    with pytest.raises(ValueError):
+        order.greedy_quota(names, [], "i", "i", 1, 1)
 
 
 def test_relations(spark):

@@ -336,6 +336,19 @@ def test_tables_and_parity(spark, tmp_path):
     assert registry.part_table(from_files, "ext", "items").count() == 2
 
 
+def test_too_large_files_are_error_rows(spark, tmp_path, monkeypatch):
+    (tmp_path / "big.docx").write_bytes(b"x" * 900)
+    (tmp_path / "big.txt").write_text("y" * 900)
+    (tmp_path / "small.txt").write_text("fine")
+    monkeypatch.setattr(registry, "BINARY_CAP", 500)
+    files = registry.read_files(spark, str(tmp_path))
+    got = {r.path.rsplit("/")[-1]: (r.length, r.content is None) for r in files.collect()}
+    assert got == {"big.docx": (900, True), "big.txt": (900, False), "small.txt": (4, False)}
+    assert parse_one("txt", None, 200 << 20) == parse_one("txt", b"", 200 << 20) | {} and parse_one("txt", None, 200 << 20)["status"] == "error"
+    docs = registry.parse(files.withColumn("length", F.when(F.col("path").endswith("small.txt"), 200 << 20).otherwise(F.col("length")).cast("long")).withColumn("content", F.when(F.col("ext") == "txt", F.col("content"))), "path", F.col("ext"), F.col("content"), F.col("length"))
+    assert {r.path.rsplit("/")[-1]: r.doc.status for r in docs.collect()}["small.txt"] == "error"
+
+
 def test_new_format():
     registry.register_format("upper", lambda t: registry.parse_text(t.upper()))
     assert parse_one("upper", "abc")["blocks"][0]["text"] == "ABC"
