@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inkflow.llm import bpe_chunks, decontaminate, exact_dedup, jaccard_join, toxicity
-from inkflow.llm._shared import save
+from inkflow.llm._shared import Scratch, drop, save
 from inkflow.llm.queries import table, vocabulary_path
 
 
@@ -48,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table; what the stages wrote before is deleted when nothing reads it any more."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with Scratch(spark) as scratch:
+            done = scratch.keep(save(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        if before is not None:
+            drop(spark, before)
+        docs = before = done
     return docs
