@@ -39,8 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         star, total = now.groupBy("b").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
         if star is None or (star == 1 and now.select("a").distinct().join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()):
             break
-        large = save(_large_star(now, total), "links")
+        step = save(_small_star(_large_star(now, total), total), "links")
         drop(spark, now)
-        now = save(_small_star(large, large.count()), "links")
-        drop(spark, large)
+        now = step
     return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())

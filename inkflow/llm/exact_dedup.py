@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._shared import KeyFilter, drop, join_groups, save, sha256_text, small_batches
 
 #: Entries of a bucket before it is split.
-CAPACITY = 1 << 12
+CAPACITY = 1 << 14
 #: The directory has at most 2**MAX_DEPTH pointers; a bucket that is still overfull there keeps its entries as a chain.
 MAX_DEPTH = 20
 #: Rows of one key that one owner compares at most, unless all such keys together would be more than HOT_KEYS.

@@ -373,21 +373,21 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: boo
                 b += hits
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    ordered = _with_texts(wanted, docs, unique, k).repartition("home", "block").sortWithinPartitions("home", "block", "asks")
+    either = [at_home.select(F.col(f"{c}_doc_id").cast("long").alias("key")) for c in "ab"]
+    ordered = _with_texts(wanted, either[0].unionByName(either[1]).distinct(), docs, unique, k).repartition("home", "block").sortWithinPartitions("home", "block", "asks")
     return ordered.mapInArrow(run, "a binary, b binary")
 
 
-def _with_texts(wanted: DataFrame, docs: DataFrame, unique: bool, k: int) -> DataFrame:
-    """home, block, node, asks and the text of each row (home, block, node, doc_id, asks); a doc_id's other texts may come too."""
-    wanted = save(wanted, "jaccard-wanted")
-    ids = wanted.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("key")).distinct()
-    asked = texts(docs).where(KeyFilter(ids, ids.count()).maybe(F.col("doc_id").cast("long")))
+def _with_texts(wanted: DataFrame, ids: DataFrame, docs: DataFrame, unique: bool, k: int) -> DataFrame:
+    """home, block, node, asks and the text of each row (home, block, node, doc_id, asks; all doc_ids are in ids, as key); a doc_id's other texts may come too."""
+    known = ids.where("key is not null")
+    asked = texts(docs).where(KeyFilter(known, known.count()).maybe(F.col("doc_id").cast("long")))
     if not unique:
         asked = asked.dropDuplicates(["doc_id", "text"])
     out = asked.join(wanted, "doc_id").select("home", "block", "node", "asks", "text")
-    nameless = wanted.where("doc_id is null")
-    if nameless.isEmpty():
+    if ids.where("key is null").isEmpty():
         return out
+    nameless = wanted.where("doc_id is null")
 
     # classes of rows without a doc_id are found by their sets
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
