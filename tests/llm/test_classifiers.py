@@ -1,4 +1,4 @@
-"""Held-out accuracy of the two fitted operators, their gradients, and odd rows."""
+"""Held-out accuracy of the two fitted operators, plain-loop versions of their scores, and odd rows."""
 
 import random
 import zlib
@@ -93,6 +93,50 @@ def test_scores_do_not_depend_on_the_slice():
         assert abs(net.score(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0] - s) < 1e-5
 
 
+def plain_quality(net, text):
+    """The network's score, byte by byte, filter by filter."""
+    width, stride = byte_cnn.WIDTH, byte_cnn.STRIDE
+    chunks = max(1, -(-(len(text) - stride) // stride))
+    rows = []
+    for i in range((chunks + 1) * stride):
+        again = any(len(text[i : i + 4]) == 4 and text[i : i + 4] == text[i + lag : i + lag + 4] for lag in range(2, byte_cnn.REACH + 1))
+        rows.append([*net.embedding[text[i] + 1 if i < len(text) else 0].astype(float), float(again)])
+    pooled = []
+    for f in range(byte_cnn.FILTERS):
+        column = net.filters[:, f].astype(float)
+        pooled.append(max(sum(a * b for a, b in zip((x for row in rows[c * stride : c * stride + width] for x in row), column)) for c in range(chunks)))
+    a = [max(0.0, x + float(b)) for x, b in zip(pooled, net.bias)]
+    h = [max(0.0, sum(x * float(w) for x, w in zip(a, net.hidden[:, j])) + float(net.hidden_bias[j])) for j in range(byte_cnn.HIDDEN)]
+    return 1 / (1 + np.exp(-sum(x * float(w) for x, w in zip(h, net.out)) - net.out_bias))
+
+
+def test_quality_against_plain_loops():
+    net = byte_cnn.Network.random(5)
+    rng = random.Random(6)
+    texts = [b"", b"a", b"x" * 15, b"ab" * 8, b"y" * 17, b"z" * 33, *(prose(rng, rng.randint(1, 30)).encode() for _ in range(8)), b"again " * 20, "\u00fc\ud55c".encode() * 9]
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert np.abs(got - [plain_quality(net, t) for t in texts]).max() < 1e-5
+
+
+def test_severity_against_plain_loops():
+    """Counts of the chosen buckets, one occurrence at a time, and P(grade > j) from these."""
+    rng = random.Random(8)
+    texts = ["", *(prose(rng, rng.randint(1, 60)) for _ in range(12)), "same same SAME same"]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    one_by_one = [toxicity.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[1].tolist() for t in texts]
+    buckets = np.array(sorted({b for own in one_by_one for b in own})[::3])
+    weights = np.random.default_rng(1).normal(0, 1, len(buckets))
+    model = toxicity.Model(buckets, weights, np.array([0.5, 1.5, 4.0]))
+    got = model.probabilities(raw, offsets)
+    for own, row in zip(one_by_one, got):
+        score = 0.0
+        for b, w in zip(buckets.tolist(), weights.tolist()):
+            n = sum(1 for x in own if x == b)
+            score += w * np.log(1 + n)
+        assert np.abs(row - [1 - 1 / (1 + np.exp(-(c - score))) for c in (0.5, 1.5, 4.0)]).max() < 1e-9
+
+
 def test_long_texts_go_window_by_window(monkeypatch):
     net = byte_cnn.Network.random(3)
     rng = random.Random(4)
