@@ -18,7 +18,9 @@ from ._words import span_hashes
 
 OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
 #: Distinct pre-tokens (of at most KEPT_BYTES) that a Python worker remembers before it starts anew.
-KEPT_PIECES, KEPT_BYTES = 1_500_000, 64
+KEPT_PIECES, KEPT_BYTES = 500_000, 64
+#: Pre-tokens that the library encodes in one call: its results take about a kilobyte each until they are read.
+CALL = 1 << 13
 #: A text of more bytes is cut into windows of about that many, where a cut is safe.
 LONG = 4 << 20
 _CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
@@ -271,12 +273,16 @@ class Vocabulary:
         return np.where(self.pair_key[i] == key, self.pair_rank[i], len(self.merged))
 
     def library_merge(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same by the tokenizers library, one call for all spans."""
+        """The same by the tokenizers library, CALL spans at a time."""
         whole = raw.tobytes()
-        got = self.library.encode_batch_fast([whole[a:b].decode("utf-8") for a, b in zip(starts.tolist(), ends.tolist())], add_special_tokens=False)
-        lists = [g.ids for g in got]
-        counts = np.array([len(x) for x in lists], np.int64)
-        return np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum())), counts
+        counts, ids = np.zeros(len(starts), np.int64), [np.zeros(0, np.int64)]
+        for i in range(0, len(starts), CALL):
+            spans = zip(starts[i : i + CALL].tolist(), ends[i : i + CALL].tolist())
+            got = self.library.encode_batch_fast([whole[a:b].decode("utf-8") for a, b in spans], add_special_tokens=False)
+            lists = [g.ids for g in got]
+            counts[i : i + CALL] = [len(x) for x in lists]
+            ids.append(np.fromiter((x for y in lists for x in y), np.int64))
+        return np.concatenate(ids), counts
 
 
 class Encoder:

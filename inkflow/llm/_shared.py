@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -99,6 +100,15 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def release() -> None:
+    """Gives free memory back to the system: a Python worker outlives its task, and what it holds adds to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def sha256_text(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 

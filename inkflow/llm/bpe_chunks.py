@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._pieces import Growing, Vocabulary, bounds, encoder, ragged_take, same_bytes, vocabulary
-from ._shared import text_slices, texts
+from ._shared import release, text_slices, texts
 from ._words import mix, span_hashes
 
 WINDOW = 32
@@ -216,6 +216,7 @@ def encode_texts(docs: DataFrame, path: str) -> DataFrame:
                 at = parts[0][1] if len(parts) == 1 else np.array([0, len(ids)])
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i).cast(pa.int64()), lists], ["doc_id", "ids"])
+        release()
 
     return texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -276,5 +277,6 @@ def encoding_digests(docs: DataFrame, path: str, with_ids: bool = False) -> Data
                 columns.append(pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        release()
 
     return texts(docs).mapInArrow(run, DIGESTS + ", ids array<int>" * with_ids)

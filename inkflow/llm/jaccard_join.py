@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._components import components
-from ._shared import KeyFilter, Scratch, drop, join_groups, save, text_slices, texts
+from ._shared import KeyFilter, Scratch, drop, join_groups, release, save, text_slices, texts
 from ._words import shingles, words
 
 #: The sketch has sixteen counters a document or more, but no more than 2**MOST_BITS of them, in chunks of CHUNK.
@@ -186,6 +186,7 @@ def _profile(docs: DataFrame, k: int, more: tuple[str, ...] = ()) -> tuple[DataF
         parts = [pack(counts[c * CHUNK : (c + 1) * CHUNK].astype("<i8").tobytes()) for c in chunks]
         nothing = [pa.nulls(len(chunks), t) for t in (pa.int64(), pa.int64(), pa.binary())]
         yield pa.RecordBatch.from_arrays([*nothing, pa.array(chunks, pa.int32()), pa.array(parts, pa.binary()), *[pa.nulls(len(chunks), pa.int64())] * len(extra)], names)
+        release()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -230,6 +231,7 @@ def _postings(docs: DataFrame, k: int, percent: int, sketch: np.ndarray, block:
                 deals = np.maximum(1, 2.0 ** (np.concatenate(of) / STEPS) // (block * 32)).astype(np.int64)
                 deal = np.frombuffer(b"".join(n[:4] for n in node), "<u4") % deals
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token).view(np.int64)), pa.array(deal.astype(np.int32)), pa.array(deals.astype(np.int32)), pa.array(np.concatenate(size)), pa.array(np.concatenate(place)), pa.array(node, pa.binary())], ["token", "deal", "deals", "size", "place", "node"])
+        release()
 
     return texts(docs).mapInArrow(run, "token long, deal int, deals int, size int, place int, node binary")
 
@@ -372,6 +374,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: boo
                 a += [node] * len(hits)
                 b += hits
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        release()
 
     either = [at_home.select(F.col(f"{c}_doc_id").cast("long").alias("key")) for c in "ab"]
     ordered = _with_texts(wanted, either[0].unionByName(either[1]).distinct(), docs, unique, k).repartition("home", "block").sortWithinPartitions("home", "block", "asks")
