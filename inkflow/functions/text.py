@@ -33,6 +33,11 @@ def decode_entities(c: Column) -> Column:
     return _replaced(c, ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
+def closed_references(c: Column) -> Column:
+    """HTML in which only character references with their semicolon count: the ampersand of any other is escaped, so that its letters stay text."""
+    return F.regexp_replace(c, r"&(?=#?[0-9A-Za-z])(?!(?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][0-9A-Za-z]*);)", "&amp;")
+
+
 def xml_escape(c: Column) -> Column:
     return _replaced(c, ("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"))
 

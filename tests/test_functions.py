@@ -25,6 +25,11 @@ def test_text(spark):
     assert values(spark, ["목 차", "[Table of Contents]", "Overview:", "My overview", ""], ft.is_generic_title) == [True, True, True, False, False]
 
 
+def test_closed_references(spark):
+    given = ["a&amp;b &copy; &#39; &#x27;", "a&amp</p> &quot &#39 &#x2 &lt", "a & b && &; c&", None]
+    assert values(spark, given, ft.closed_references) == [given[0], "a&amp;amp</p> &amp;quot &amp;#39 &amp;#x2 &amp;lt", given[2], None]
+
+
 def test_names(spark):
     assert values(spark, ["a.b.MD", "noext", "x.", ".hidden"], ft.extension) == ["md", "noext", "", "hidden"]
     assert values(spark, ["a.b.MD", "noext"], ft.extension_or_empty) == ["md", ""]
