@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..batches import small_batches
+
 #: Bytes of text that one numpy step holds at most, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 #: A filter of keys has sixteen bits or more for a key, but no more than 2**MOST_BITS, in chunks of 2**CHUNK_BITS.
 LEAST_BITS, MOST_BITS, CHUNK_BITS = 15, 27, 15
-#: Rows of a batch between the JVM and Python; long texts make even these large.
-BATCH_ROWS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -88,12 +88,6 @@ class Scratch:
 _scratches: list[Scratch] = []
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch, which count rows and not bytes, to what long texts allow."""
-    if not 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the named columns and the whole text, null as empty."""
     small_batches(docs.sparkSession)

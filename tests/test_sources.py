@@ -353,3 +353,24 @@ def test_new_format():
     registry.register_format("upper", lambda t: registry.parse_text(t.upper()))
     assert parse_one("upper", "abc")["blocks"][0]["text"] == "ABC"
     del registry.TEXT_FORMATS["upper"]
+
+
+def test_block_items(spark):
+    given = ["- a\n- b\n\nx\n\n1. c\n   - d\n2. e", "no list", "", "- z"]
+    docs = registry.parse(spark.createDataFrame(list(enumerate(given)), "k int, md string"), "k", F.lit("md"), F.col("md"))
+    got = {r.k: [tuple(x) for x in r.x] for r in docs.select("k", registry.block_items(F.col("doc"), "+").alias("x")).collect()}
+    assert got == {0: [("0", "a+b"), ("2", "c+d+e")], 1: [], 2: [], 3: [("0", "z")]}
+
+
+def test_slides_are_parsed_once(spark):
+    """Blocks and items of a deck come from one parse, and only the orders are shuffled."""
+    from inkflow.plans.catalog import QUERIES
+
+    plan = QUERIES["pptx_slides"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse(pptx") == 1 and "Join" not in plan
+
+
+def test_many_documents_in_a_batch(spark):
+    n = 3 * registry.PARSED_AT_ONCE + 1
+    docs = registry.parse(spark.range(n).repartition(1), "id", F.lit("txt"), F.col("id").cast("string"))
+    assert docs.select("id", F.col("doc.blocks")[0]["text"].alias("t")).where("t = string(id)").count() == n
