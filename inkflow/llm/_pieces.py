@@ -11,6 +11,7 @@ import json
 import unicodedata
 from collections.abc import Callable
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
@@ -21,6 +22,10 @@ OTHER, LETTER, NUMBER, SPACE, UNKNOWN = range(5)
 KEPT_PIECES, KEPT_BYTES = 500_000, 64
 #: Pre-tokens that the library encodes in one call: its results take about a kilobyte each until they are read.
 CALL = 1 << 13
+#: Pre-tokens that go to the library as one text where that can't change them.
+JOINED = 64
+#: First bytes of characters some of which are white space.
+_MAYBE_WHITE = np.array([0xC2, 0xE1, 0xE2, 0xE3], np.uint8)
 #: A text of more bytes is cut into windows of about that many, where a cut is safe.
 LONG = 4 << 20
 _CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
@@ -273,15 +278,42 @@ class Vocabulary:
         return np.where(self.pair_key[i] == key, self.pair_rank[i], len(self.merged))
 
     def library_merge(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same by the tokenizers library, CALL spans at a time."""
-        whole = raw.tobytes()
-        counts, ids = np.zeros(len(starts), np.int64), [np.zeros(0, np.int64)]
-        for i in range(0, len(starts), CALL):
-            spans = zip(starts[i : i + CALL].tolist(), ends[i : i + CALL].tolist())
-            got = self.library.encode_batch_fast([whole[a:b].decode("utf-8") for a, b in spans], add_special_tokens=False)
+        """The same by the tokenizers library. Pre-tokens of a space and something that isn't white space start there and end before the next such one whatever
+        stands around, so they go to it as texts of JOINED each, which takes half the time; what a token stands for tells where each one's ids end."""
+        lengths = ends - starts
+        second = raw[np.minimum(starts + 1, len(raw) - 1)]
+        led = (raw[starts] == 0x20) & (lengths > 1) & (second > 0x20) & ~np.isin(second, _MAYBE_WHITE)
+        if not led.any() or any(b" " in w for w in self.special):
+            return self._apart(raw, starts, ends)
+        own, at = ragged_take(raw, starts[led], lengths[led]), bounds(lengths[led])
+        led_ids, _ = self._encode(own, np.append(at[:-1:JOINED], at[-1]), CALL // JOINED)
+        token_ends = np.cumsum(self.word_len[led_ids])
+        spot = np.minimum(np.searchsorted(token_ends, at[1:]), len(token_ends) - 1)
+        if token_ends[-1] != at[-1] or (token_ends[spot] != at[1:]).any():
+            return self._apart(raw, starts, ends)
+        counts = np.zeros(len(starts), np.int64)
+        counts[led] = np.diff(spot + 1, prepend=0)
+        rest, counts[~led] = self._apart(raw, starts[~led], ends[~led])
+        ids = np.empty(len(led_ids) + len(rest), np.int64)
+        mine = np.repeat(led, counts)
+        ids[mine], ids[~mine] = led_ids, rest
+        return ids, counts
+
+    def _apart(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and number of ids of each span, each a text of its own."""
+        lengths = ends - starts
+        return self._encode(ragged_take(raw, starts, lengths), bounds(lengths), CALL)
+
+    def _encode(self, raw: np.ndarray, at: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all texts, and their number of each; step texts a call."""
+        whole, cut = raw.tobytes(), at.tolist()
+        counts, ids = np.zeros(len(cut) - 1, np.int64), [np.zeros(0, np.int64)]
+        for i in range(0, len(counts), step):
+            own = cut[i : i + step + 1]
+            got = self.library.encode_batch_fast([whole[a:b].decode("utf-8") for a, b in zip(own[:-1], own[1:])], add_special_tokens=False)
             lists = [g.ids for g in got]
-            counts[i : i + CALL] = [len(x) for x in lists]
-            ids.append(np.fromiter((x for y in lists for x in y), np.int64))
+            counts[i : i + step] = [len(x) for x in lists]
+            ids.append(np.fromiter(chain.from_iterable(lists), np.int64, int(counts[i : i + step].sum())))
         return np.concatenate(ids), counts
 
 
@@ -388,7 +420,7 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, merge: str) -> Encoder:
+def encoder(path: str, merge: str, kept: int = KEPT_PIECES) -> Encoder:
     """The worker's encoder for a vocabulary file; it stays for the next task."""
     vocab = vocabulary(path)
-    return Encoder(vocab, getattr(vocab, merge))
+    return Encoder(vocab, getattr(vocab, merge), kept)

@@ -40,6 +40,8 @@ PERCENTILE = 0.9
 SEGMENT_IDS = BLOCK * 4096
 #: Bytes of text, and documents, of a file at most, about; and bytes below which there are no more files for the sake of more tasks.
 FILE_BYTES, FILE_ROWS, LEAST_BYTES = 64 << 20, 1 << 20, 1 << 20
+#: Distinct pre-tokens that a worker remembers: nothing else of its size is held beside them here.
+KEPT = 1_500_000
 #: Documents of a batch that reading yields.
 READ_ROWS = 1 << 14
 MANIFEST = "path string, first_id long, last_id long, n_docs long, n_ids long"
@@ -220,7 +222,7 @@ def write_ids(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | N
     files = files or max(math.ceil(size / FILE_BYTES), math.ceil(rows / FILE_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / LEAST_BYTES)), 1)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(vocabulary, "library_merge")
+        own = encoder(vocabulary, "library_merge", KEPT)
         system, place = _open(folder)
         system.create_dir(place, recursive=True)
         name = f"part-{uuid.uuid4().hex}.ids"

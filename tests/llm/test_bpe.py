@@ -41,6 +41,29 @@ def test_encoder_equals_library(library, merge):
     assert got == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pre_tokens_go_to_the_library_together(monkeypatch):
+    """Fewer texts than pre-tokens, with the same ids as one by one."""
+    vocab, sent = vocabulary(PATH), []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **more):
+            sent.extend(texts)
+            return library.encode_batch_fast(texts, **more)
+
+    library = vocab.library
+    for texts in (odd_texts(3000), [" ".join("".join(chr(97 + int(c)) for c in str(i)) for i in range(5000))], [" \u00e9t\u00e9 \u2003 \u3042 \u0085x \x1cy 's 't 're"], ["a\u00a0b"]):
+        raw = np.frombuffer("".join(texts).encode(), np.uint8)
+        starts, ends, number, _ = vocab.split(raw, np.append(0, np.cumsum([len(x.encode()) for x in texts])))
+        starts, ends = starts[number < 0], ends[number < 0]
+        want = vocab._apart(raw, starts, ends)
+        monkeypatch.setattr(vocab, "library", Counting())
+        sent.clear()
+        got = vocab.library_merge(raw, starts, ends)
+        monkeypatch.setattr(vocab, "library", library)
+        assert all((a == b).all() and len(a) == len(b) for a, b in zip(got, want))
+        assert len(texts) > 1 or len(starts) < 1000 or len(sent) < len(starts) / 10
+
+
 @pytest.mark.parametrize("bits,least", [(3, 4), (5, 16), (9, 128)])
 def test_chunks_repaired(library, monkeypatch, bits, least):
     cut = bpe_chunks.chunk_starts
