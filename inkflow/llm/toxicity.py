@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._sample import labelled
-from ._shared import small_batches, text_slices, texts
+from ._shared import release, small_batches, text_slices, texts
 from ._words import _LOWER, BARE, _cuts, span_hashes, spans
 
 #: Labelled rows of either class that the model is fitted on, and the longest text among them.
@@ -166,7 +166,12 @@ def fit_ordinal(doc: np.ndarray, own: np.ndarray, x: np.ndarray, grade: np.ndarr
 
 
 def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> Model:
-    sampled, toxic = labelled(docs, labels, "toxic", sample, max_chars)
+    model = _fitted(*labelled(docs, labels, "toxic", sample, max_chars))
+    release()  # the sample and its features are gone, and the driver goes on
+    return model
+
+
+def _fitted(sampled: list[str], toxic: list[int]) -> Model:
     if len(set(toxic)) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.arange(1.0, GRADES) * 20)
     model = Model(choose(sampled, toxic), np.zeros(0), np.zeros(0))
@@ -177,6 +182,7 @@ def fit_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_char
         marked.append(np.bincount(doc, count, minlength=len(n_words)))
         row += len(n_words)
     doc, own, x = (np.concatenate(c) for c in zip(*parts))
+    del parts
     y, n_marked = np.array(toxic), np.concatenate(marked)
     grade = np.where(y > 0, 1 + np.searchsorted(np.quantile(n_marked[y > 0], [1 / 3, 2 / 3]), n_marked), 0)
     model.weights, model.cuts = fit_ordinal(doc, own, x, grade, len(model.buckets))

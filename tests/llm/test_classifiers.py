@@ -159,3 +159,25 @@ def test_without_labels_or_rows(spark, corpus):
     assert {r.score for r in byte_cnn.quality(few, byte_cnn.fit(docs, labels.limit(0))).collect()} == {0.5}
     assert toxicity.severity(docs.limit(0), toxicity.fit_model(docs, labels.limit(0))).collect() == []
     assert byte_cnn.quality(docs.limit(0), byte_cnn.fit(docs, labels.limit(0))).collect() == []
+
+
+def test_driver_gives_memory_back_after_the_fit(spark, monkeypatch):
+    """The sample is gone when free memory is given back, not only afterwards."""
+    import gc
+    import weakref
+
+    import numpy as np
+
+    from inkflow.llm import toxicity
+
+    alive, seen, fit = [], [], toxicity.fit_ordinal
+
+    def watched(doc, own, x, grade, n):
+        alive.append(weakref.ref(x))
+        return fit(doc, own, x, grade, n)
+
+    monkeypatch.setattr(toxicity, "fit_ordinal", watched)
+    monkeypatch.setattr(toxicity, "release", lambda: (gc.collect(), seen.append(alive[-1]() is None)))
+    docs = spark.createDataFrame([(i, f"word{i % 7} {'vile nasty' if i % 2 else 'kind'} more {i}") for i in range(60)], "doc_id long, text string")
+    assert isinstance(toxicity.fit_model(docs, docs.selectExpr("doc_id", "int(doc_id % 2) AS toxic")).weights, np.ndarray)
+    assert seen == [True]
